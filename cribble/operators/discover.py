@@ -45,7 +45,7 @@ def cap_groups(
 ) -> DataFrame:
     """Rows of the first ``n`` distinct groups by first appearance, over all sources."""
     kept = (
-        rows.where(F.col(group).isNotNull() & (F.col(group) != ""))
+        rows.where(F.col(group).isNotNull() & (F.col(group).cast("string") != ""))
         .groupBy(group).agg(F.min(F.struct(*position)).alias("_first"))
         .orderBy("_first", group).limit(n).select(group)
     )
