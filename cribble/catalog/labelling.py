@@ -157,7 +157,7 @@ def training_set(t: Tables) -> DataFrame:
 
 
 def labelled_documents(t: Tables) -> DataFrame:
-    joined = t.documents.join(t.labels, "doc_id").selectExpr(
+    joined = t.texts.join(t.labels, "doc_id").selectExpr(
         "doc_id AS id", "text",
         "CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'REJECTED' ELSE 'WEAK_POSITIVE' END ELSE 'WEAK_NEGATIVE' END AS status")
     return score_texts(joined, LEX)

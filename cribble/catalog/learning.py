@@ -28,7 +28,7 @@ DIM = 64
 ELSE CAST(e.embedding[1] AS DOUBLE) END, 6) AS v0, round(CASE WHEN d.doc_id % 6 = 0 OR e.vec_id IS NULL THEN 0e0
 ELSE CAST(e.embedding[64] AS DOUBLE) END, 6) AS v63 FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id""")
 def attached_embeddings(t: Tables) -> DataFrame:
-    items = t.documents.selectExpr("doc_id AS id", "CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE text END AS text")
+    items = t.texts.selectExpr("doc_id AS id", "CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE text END AS text")
     joined = attach_embeddings(items, t.embeddings.withColumnRenamed("vec_id", "id"), DIM)
     return joined.select(
         "id", F.size("embedding").alias("dim"), F.round(F.get("embedding", 0), 6).alias("v0"),
@@ -44,7 +44,7 @@ def featured(t: Tables, items: DataFrame) -> DataFrame:
 CAST(strong_lb_hits AS DOUBLE) AS f2, msa_ratio_core AS f3, round(lexicon_score, 6) AS f4,
 round(coalesce(CAST(e.embedding[1] AS DOUBLE), 0e0), 6) AS f5 FROM scored s LEFT JOIN embeddings e ON s.doc_id = e.vec_id""")
 def feature_vectors(t: Tables) -> DataFrame:
-    scored = score_texts(t.documents.selectExpr("doc_id AS id", "text"), LEX)
+    scored = score_texts(t.texts.selectExpr("doc_id AS id", "text"), LEX)
     vec = attach_embeddings(scored, t.embeddings.withColumnRenamed("vec_id", "id"), DIM).select(
         "id", feature_array().alias("f"))
     return vec.select("id", F.size("f").alias("dim"),
@@ -53,7 +53,7 @@ def feature_vectors(t: Tables) -> DataFrame:
 
 @query("M3", """SELECT doc_id AS id, CAST(64 AS INT) AS dim, CASE WHEN doc_id % 6 = 0 THEN 0e0 ELSE 1e0 END AS norm FROM documents""")
 def text_embeddings(t: Tables) -> DataFrame:
-    items = t.documents.selectExpr("doc_id AS id", "CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE text END AS text")
+    items = t.texts.selectExpr("doc_id AS id", "CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE text END AS text")
     vectors = embed_text(items, fit_embedder(items, DIM))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return vectors.select("id", F.size("embedding").alias("dim"), F.round(norm, 6).alias("norm"))
@@ -61,7 +61,8 @@ def text_embeddings(t: Tables) -> DataFrame:
 
 def split_rows(t: Tables) -> DataFrame:
     rows = training_set(featured(t, labelled_documents(t)), check_size=False)
-    return stratified_split(rows.select("id", "label", "features"))
+    # The split reads ids and labels three times and training comes after: keep the rows.
+    return stratified_split(rows.select("id", "label", "features").persist())
 
 
 @query("M1, W8, U2")
@@ -87,8 +88,8 @@ def holdout_report(t: Tables) -> DataFrame:
 def scored_tiers(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "model")
     ml.save_model(ml.train_classifier(split_rows(t).where(~F.col("holdout"))), path)
-    items = t.documents.selectExpr("doc_id AS id", "CASE WHEN doc_id % 50 = 0 THEN NULL ELSE text END AS text")
+    items = t.texts.selectExpr("doc_id AS id", "CASE WHEN doc_id % 50 = 0 THEN NULL ELSE text END AS text")
     ready = featured(t, score_texts(items, LEX))
     return ml.score_and_tier(ready, ml.load_model(path)).select(
-        "id", "status", "error_msg", "model_probability", "reject_stage",
-        F.col("rejection_reason.diagnostics.final_score").alias("final_score"))
+        "id", F.col("tier").alias("status"), F.col("tier_error").alias("error_msg"),
+        "model_probability", "reject_stage", F.col("reason.diagnostics.final_score").alias("final_score"))

@@ -56,7 +56,7 @@ FROM scored s JOIN documents d ON s.doc_id = d.doc_id GROUP BY 1, 2""".replace(
     "sum(lb) AS", "CAST(sum(lb) AS BIGINT) AS"))
 def tiers_by_source(t: Tables) -> DataFrame:
     d = F.col("d")
-    scored = t.documents.select("source", lexicon_score("text", LEX).alias("d"))
+    scored = t.texts.select("source", lexicon_score("text", LEX).alias("d"))
     return scored.groupBy("source", tier(d["lexicon_score"]).alias("tier")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(d["lb"]).alias("lb_total"),
         F.round(F.avg(d["raw_score"]), 6).alias("mean_raw"),
@@ -65,14 +65,14 @@ def tiers_by_source(t: Tables) -> DataFrame:
 
 @query("F1", f"WITH x AS (SELECT doc_id, {counts_sql('lower(text)')} FROM documents) SELECT * FROM x")
 def count_matches_builtin(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", count_matches("text", LEX, "builtin").alias("c")).select(
+    return t.texts.select("doc_id", count_matches("text", LEX, "builtin").alias("c")).select(
         "doc_id", "c.*"
     )
 
 
 @query("F1", f"WITH x AS (SELECT doc_id, {counts_sql('lower(text)')} FROM documents) SELECT * FROM x")
 def count_matches_arrow(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", count_matches("text", LEX, "arrow").alias("c")).select(
+    return t.texts.select("doc_id", count_matches("text", LEX, "arrow").alias("c")).select(
         "doc_id", "c.*"
     )
 
@@ -80,7 +80,7 @@ def count_matches_arrow(t: Tables) -> DataFrame:
 @query("F2, F4", f"""{SCORED_DOCS} SELECT doc_id, lb, msa, egy, gulf, sy, strong_lb_hits,
 msa_ratio_core, round(raw_score, 6) AS raw_score, round(lexicon_score, 6) AS lexicon_score FROM scored""")
 def lexicon_details(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", lexicon_score("text", LEX).alias("d")).select("doc_id", "d.*")
+    d = t.texts.select("doc_id", lexicon_score("text", LEX).alias("d")).select("doc_id", "d.*")
     return d.withColumns({
         "raw_score": F.round("raw_score", 6), "lexicon_score": F.round("lexicon_score", 6),
     })
@@ -89,7 +89,7 @@ def lexicon_details(t: Tables) -> DataFrame:
 @query("F3", f"""{SCORED_DOCS} SELECT doc_id, round(ratio, 6) AS ratio, ratio >= 0.60e0 AS dominated
 FROM scored""")
 def dominance(t: Tables) -> DataFrame:
-    c = t.documents.select("doc_id", count_matches("text", LEX).alias("c"))
+    c = t.texts.select("doc_id", count_matches("text", LEX).alias("c"))
     ratio = dominance_ratio(F.col("c.lb"), F.col("c.msa"))
     return c.select("doc_id", F.round(ratio, 6).alias("ratio"), (ratio >= 0.60).alias("dominated"))
 
@@ -97,7 +97,7 @@ def dominance(t: Tables) -> DataFrame:
 @query("F5", f"""{SCORED_DOCS} SELECT doc_id, round(lexicon_score, 6) AS final_score,
 round(lexicon_score, 6) AS lex_score, strong_lb_hits, CAST(NULL AS VARCHAR) AS adi FROM scored""")
 def final_scores(t: Tables) -> DataFrame:
-    f = t.documents.select("doc_id", final_score("text", LEX).alias("f"))
+    f = t.texts.select("doc_id", final_score("text", LEX).alias("f"))
     return f.select(
         "doc_id", F.round("f.final_score", 6).alias("final_score"),
         F.round("f.lex_score", 6).alias("lex_score"),
@@ -108,7 +108,7 @@ def final_scores(t: Tables) -> DataFrame:
 
 @query("P17", f"{SCORED_DOCS} SELECT doc_id, strong_lb_hits FROM scored WHERE strong_lb_hits >= 1")
 def verified_positives(t: Tables) -> DataFrame:
-    scored = score_texts(t.documents.select("doc_id", "text"), LEX)
+    scored = score_texts(t.texts.select("doc_id", "text"), LEX)
     return verified_positive(scored).select(
         "doc_id", F.col("diagnostics.lexicon_details.strong_lb_hits").alias("strong_lb_hits")
     )
@@ -141,7 +141,7 @@ SELECT d.doc_id,
 FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY 1""")
 def count_matches_large_lists(t: Tables) -> DataFrame:
     lex = Lexicons.from_table(benchmark_words(t), ["lb", "msa", "egy", "gulf", "sy"])
-    return t.documents.select("doc_id", count_matches("text", lex).alias("c")).select("doc_id", "c.*")
+    return t.texts.select("doc_id", count_matches("text", lex).alias("c")).select("doc_id", "c.*")
 
 
 HITS_SQL = f"""WITH {WORDS_SQL}, m AS (SELECT term, lexicon, count(*) AS multiplicity FROM words GROUP BY 1, 2)
@@ -151,11 +151,11 @@ JOIN m ON contains(lower(d.text), m.term)"""
 
 @query("J10", HITS_SQL)
 def lexicon_term_hits(t: Tables) -> DataFrame:
-    return lexicon_hits(t.documents, benchmark_words(t), "doc_id")
+    return lexicon_hits(t.texts, benchmark_words(t), "doc_id")
 
 
 @query("J10", HITS_SQL)
 def lexicon_term_hits_by_join(t: Tables) -> DataFrame:
     counted = benchmark_words(t).groupBy("lexicon", "term").agg(
         F.count(F.lit(1)).alias("multiplicity"))
-    return gram_join_hits(t.documents, counted, "doc_id")
+    return gram_join_hits(t.texts, counted, "doc_id")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cribble.functions.meta import compact_map
 from cribble.schemas import QUEUE
+from cribble.sources.tables import read_spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def texts(self) -> DataFrame:
+        """``documents`` for queries that are heavy per text."""
+        return read_spread(self.spark, f"{self.folder}/documents.parquet")
+
 
 def query(covers: str, sql: str | None = None):
     """Register a function of ``Tables`` under its own name."""

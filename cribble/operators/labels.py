@@ -35,6 +35,8 @@ def classify_by_source(
         key = json_field(meta, field_name)
         if kind == "feed":
             key = F.nullif(normalize_feed(key), F.lit(""))
+        # Rows without the key match nothing; spread them in case this join shuffles.
+        key = F.coalesce(key, F.concat(F.lit("\0"), F.spark_partition_id().cast("string")))
         side = dim.where(F.col("kind") == kind).select(
             F.col("value").alias(f"_v_{kind}"), F.col("p").alias(f"_p_{kind}")
         )
@@ -208,7 +210,12 @@ def training_set(
     rows = scored.where(positive | F.col("status").isin(*negatives)).withColumn(
         "label", (F.col("status") == S.WEAK_POSITIVE).cast("int")
     )
-    need = thresholds.min_training_rows
-    if check_size and rows.limit(need).count() < need:
-        raise ValueError("Not enough labeled data to train model.")
+    if check_size:
+        require_rows(rows, thresholds.min_training_rows)
     return rows
+
+
+def require_rows(rows: DataFrame, need: int) -> None:
+    """Fail on fewer than ``need`` rows; stops reading once there are enough."""
+    if rows.limit(need).count() < need:
+        raise ValueError("Not enough labeled data to train model.")

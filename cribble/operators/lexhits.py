@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribble.functions.lexicon import Lexicons, LexiconTooLarge, matched_terms
@@ -33,35 +33,52 @@ def lexicon_hits(
     )
 
 
+def _grams(text: str, size: int) -> Column:
+    """Distinct overlapping grams; a look-ahead yields them in one pass over the text."""
+    if size == 0:
+        return F.array(F.lit(""))
+    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    return F.array_distinct(every)
+
+
+def _anchored(counted: DataFrame, gram: int) -> DataFrame:
+    """Terms with the gram they are looked up by: whole if short, else their rarest one.
+
+    Rarest among the terms, so that a prefix many terms share draws no pairs.
+    """
+    size = F.least(F.char_length("term"), F.lit(gram))
+    terms = counted.withColumn("_len", size)
+    long_terms = terms.where(F.char_length("term") > gram).select("term").distinct()
+    shingled = long_terms.select("term", F.explode(_grams("term", gram)).alias("_gram"))
+    shared = shingled.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = shingled.join(shared, "_gram").groupBy("term").agg(
+        F.min(F.struct("_n", "_gram")).alias("_a")
+    ).select("term", F.col("_a._gram").alias("_gram"))
+    short = terms.where(F.char_length("term") <= gram).withColumn("_gram", F.col("term"))
+    return short.unionByName(terms.where(F.char_length("term") > gram).join(rarest, "term"))
+
+
 def gram_join_hits(
     items: DataFrame, counted: DataFrame, id_col: str = "id", text_col: str = "text",
     gram: int = GRAM,
 ) -> DataFrame:
-    """The same hits for a term table of any size, as an equi-join.
+    """The same hits for a term table of any size, as an equi-join; ids must be unique.
 
-    A contained term's first characters occur in the text, so texts are
-    expanded to their distinct grams of each length 1..``gram``, joined to the
-    terms by (length, leading gram) and verified. Terms of at most ``gram``
-    characters need no verification beyond the join. A gram length no term
-    uses is not expanded. AQE splits the partitions of frequent grams.
+    Every gram of a contained term occurs in the text, so texts are expanded
+    to their distinct grams of each length a term is anchored by, joined on
+    (length, gram) and verified. Terms of at most ``gram`` characters need no
+    verification. AQE splits the partitions of frequent grams.
     """
-    terms = counted.withColumn(
-        "_len", F.least(F.char_length("term"), F.lit(gram))
-    ).withColumn("_gram", F.left(F.col("term"), F.col("_len")))
-    used = sorted(r[0] for r in terms.select("_len").distinct().collect())
+    terms = _anchored(counted, gram)
+    # At most gram + 1 values.
+    used = sorted(r[0] for r in counted.select(
+        F.least(F.char_length("term"), F.lit(gram)).alias("l")).distinct().collect())
     low = items.select(
         F.col(id_col), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low")
     )
 
-    def grams(size: int):
-        # A look-ahead yields overlapping grams in one pass over the text.
-        if size == 0:
-            return F.array(F.lit(""))
-        every = F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-        return F.array_distinct(every)
-
     keyed = [
-        low.select(id_col, F.lit(size).alias("_len"), F.explode(grams(size)).alias("_gram"))
+        low.select(id_col, F.lit(size).alias("_len"), F.explode(_grams("_low", size)).alias("_gram"))
         for size in used
     ]
     if not keyed:

@@ -53,49 +53,40 @@ def score_and_tier(
     rows: DataFrame, model: LogisticRegressionModel,
     thresholds: S.Thresholds = S.Thresholds(),
 ) -> DataFrame:
-    """``id, status, error_msg, model_probability, rejection_reason, reject_stage``.
+    """Add ``tier, tier_error, model_probability, reason, reject_stage`` to feature rows.
 
-    Rows whose text or features are missing become ERROR_SCORING instead of
-    failing the job. The probability is kept for every tier; only rejects
-    carry the structured reason.
+    A row without text becomes ERROR_SCORING instead of failing the job. The
+    probability is kept for every tier; only rejects carry the structured reason.
     """
     bad = F.col("text").isNull()
-    good = predict(rows.where(~bad), model)
-    status = tier("model_probability", thresholds.potential, thresholds.borderline)
-    reason = F.struct(F.col("model_probability"), F.col("diagnostics"))
-    none = F.lit(None)
-    scored = good.select(
-        "id", status.alias("status"), none.cast("string").alias("error_msg"),
-        "model_probability",
-        F.when(status == S.REJECTED, reason).alias("rejection_reason"),
-        F.when(status == S.REJECTED, "model").alias("reject_stage"),
+    p = F.when(~bad, F.col("model_probability"))
+    status = F.when(bad, S.ERROR_SCORING).otherwise(
+        tier(p, thresholds.potential, thresholds.borderline)
     )
-    failed = rows.where(bad).select(
-        "id", F.lit(S.ERROR_SCORING).alias("status"),
-        F.lit(S.MISSING_TRANSCRIPT_MESSAGE).alias("error_msg"),
-        none.cast("double").alias("model_probability"),
-        none.cast(scored.schema["rejection_reason"].dataType).alias("rejection_reason"),
-        none.cast("string").alias("reject_stage"),
-    )
-    return scored.unionByName(failed)
+    rejected = status == S.REJECTED
+    return predict(rows, model).withColumns({
+        "tier": status,
+        "tier_error": F.when(bad, S.MISSING_TRANSCRIPT_MESSAGE),
+        "reason": F.when(rejected, F.struct("model_probability", "diagnostics")),
+        "reject_stage": F.when(rejected, "model"),
+    }).withColumn("model_probability", p)
 
 
-def apply_scores(queue: DataFrame, scored: DataFrame, now) -> DataFrame:
-    """Write scoring outcomes into the queue; a reject keeps its earlier ``error_msg``."""
+def apply_scores(
+    rows: DataFrame, model: LogisticRegressionModel, now,
+    thresholds: S.Thresholds = S.Thresholds(),
+) -> DataFrame:
+    """Queue rows with features, moved to their tier; a reject keeps its ``error_msg``."""
     stamp = now if isinstance(now, Column) else F.lit(now)
-    got = scored.select("id", F.struct("status", "error_msg", "rejection_reason").alias("u"))
-    joined = queue.join(got, "id", "left")
-    hit = F.col("u").isNotNull()
-    rejected = hit & (F.col("u.status") == S.REJECTED)
-    values = {
-        "status": F.when(hit, F.col("u.status")).otherwise(F.col("status")),
-        "error_msg": F.when(hit & ~rejected, F.col("u.error_msg")).otherwise(F.col("error_msg")),
-        "rejection_reason": F.when(rejected, F.col("u.rejection_reason")).otherwise(
+    rejected = F.col("tier") == S.REJECTED
+    return score_and_tier(rows, model, thresholds).withColumns({
+        "status": F.col("tier"),
+        "error_msg": F.when(rejected, F.col("error_msg")).otherwise(F.col("tier_error")),
+        "rejection_reason": F.when(rejected, F.col("reason")).otherwise(
             F.col("rejection_reason")
         ),
-        "last_update_at": F.when(hit, stamp).otherwise(F.col("last_update_at")),
-    }
-    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in queue.columns])
+        "last_update_at": stamp,
+    })
 
 
 def evaluate(rows: DataFrame, model: LogisticRegressionModel, label: str = "label"):

@@ -7,6 +7,7 @@ rows, so every operator that ranks goes through one of these instead.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 20_000
 SALTS = 32
-BUCKETS = 256
+MIN_BUCKETS = 256
+MAX_BUCKETS = 4096
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -118,12 +120,35 @@ def _bounds(df: DataFrame, key: str, buckets: int) -> list[float]:
     return sorted(set(row.b or []))
 
 
+def _bucket_of(key: Column, bounds: list[float]) -> Column:
+    """Number of bounds below the key, looked up in two steps of about sqrt(n) comparisons."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds) - 1) + 1
+    chunks = [bounds[i:i + width] for i in range(0, len(bounds), width)]
+
+    def below(values: Column) -> Column:
+        return F.coalesce(F.size(F.filter(values, lambda b: b < key)), F.lit(0))
+
+    def within(i: Column) -> Column:
+        chunk = F.get(F.array(*[F.lit(c) for c in chunks]), i)
+        return i * width + F.when(i < len(chunks), below(chunk)).otherwise(F.lit(0))
+
+    coarse = below(F.lit([c[-1] for c in chunks]))
+    return F.get(F.transform(F.array(coarse), within), 0)
+
+
+def _bucket_count(df: DataFrame) -> int:
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, partitions))
+
+
 def running_sums(
     df: DataFrame,
     key: str,
     sums: Sequence[str],
     groups: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``<sum>_before`` and ``<sum>_total`` per group in order of a numeric ``key``.
 
@@ -131,9 +156,8 @@ def running_sums(
     task, and bucket offsets come from a table of ``groups * buckets`` rows.
     Give it rows already aggregated by ``(groups, key)`` so that ties are one row.
     """
-    bounds = _bounds(df, key, buckets)
-    cuts = F.lit(bounds) if bounds else F.array().cast("array<double>")
-    placed = df.withColumn("_bucket", F.size(F.filter(cuts, lambda b: b < F.col(key))))
+    bounds = _bounds(df, key, buckets or _bucket_count(df))
+    placed = df.withColumn("_bucket", _bucket_of(F.col(key), bounds))
     totals = placed.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     over_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     before = over_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,10 +184,9 @@ def running_sums(
     )
 
 
-def number_rows(df: DataFrame, order: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
     """Dense 0-based row numbers by a unique numeric column, without one global sort task."""
-    numbered = running_sums(df.withColumn("_one", F.lit(1).cast("long")), order, ["_one"],
-                            buckets=buckets)
+    numbered = running_sums(df.withColumn("_one", F.lit(1).cast("long")), order, ["_one"])
     return numbered.withColumnRenamed("_one_before", out).drop("_one", "_one_total")
 
 

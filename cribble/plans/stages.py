@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribble import settings as S
@@ -25,12 +26,14 @@ from cribble.operators.features import add_features, score_texts
 from cribble.operators.files import usable_audio
 from cribble.operators.labels import (
     attach_transcripts,
-    label_by_source,
+    classify_by_source,
     lexical_negative,
+    require_rows,
     training_set,
 )
-from cribble.operators.model import apply_scores, evaluate, score_and_tier, train_classifier
-from cribble.operators.queue import fetch, insert_if_absent, transition
+from cribble.operators.model import apply_scores, evaluate, train_classifier
+from cribble.operators.queue import fetch, insert_if_absent
+from cribble.operators.ranking import broadcast_if_small
 from cribble.operators.sampling import (
     latest_annotation,
     shuffle_sample,
@@ -41,6 +44,10 @@ from cribble.operators.sampling import (
 Embed = Callable[[DataFrame], DataFrame]
 
 
+def _stamp(now) -> Column:
+    return now if isinstance(now, Column) else F.lit(now)
+
+
 def discover_feed_episodes(
     queue: DataFrame, items: DataFrame, now, settings: S.Settings = S.Settings(),
     searched: bool = False,
@@ -68,17 +75,34 @@ def label_screened(
     queue: DataFrame, trusted: DataFrame, transcripts: DataFrame, lexicons: Lexicons, now,
     settings: S.Settings = S.Settings(), unlabelled_status: str = S.SCREENED_NO_LABEL,
 ) -> DataFrame:
-    """Metadata labels first, lexical negatives over what is still SCREENED."""
-    by_source = transition(queue, label_by_source(queue, trusted, unlabelled_status), now)
-    waiting = by_source.where(F.col("status") == S.SCREENED).select("id")
-    outcome = lexical_negative(
-        attach_transcripts(waiting, transcripts.select("id", "screening_samples"), "drop"),
-        lexicons, settings.weights, settings.thresholds,
+    """Metadata labels first, lexical negatives over what is still SCREENED.
+
+    Only SCREENED rows take part; the rest pass by untouched. They carry their
+    columns along, so nothing is joined back to the queue.
+    """
+    rest = queue.where(~F.col("status").eqNullSafe(S.SCREENED))
+    waiting = queue.where(F.col("status") == S.SCREENED)
+    labelled = classify_by_source(waiting, trusted, out="_label").withColumn(
+        "_by_source",
+        F.when(F.col("source_metadata").isNotNull(),
+               F.coalesce("_label", F.lit(unlabelled_status))),
+    )
+    settled = F.coalesce(F.col("_by_source") != S.SCREENED, F.lit(False))
+    samples = transcripts.select("id", "screening_samples")
+    # Settled rows are past scoring: without samples they cost the scorer nothing.
+    joined = labelled.join(samples, "id", "left").withColumn(
+        "screening_samples", F.when(~settled, F.col("screening_samples"))
     )
-    negatives = outcome.where(F.col("outcome") == S.WEAK_NEGATIVE).select(
-        "id", F.col("outcome").alias("status")
+    judged = lexical_negative(joined, lexicons, settings.weights, settings.thresholds)
+    status = F.when(settled, F.col("_by_source")).when(
+        F.col("outcome") == S.WEAK_NEGATIVE, F.col("outcome")
     )
-    return transition(by_source, negatives, now)
+    done = judged.withColumns({
+        "status": F.coalesce(status, F.lit(S.SCREENED)),
+        "error_msg": F.when(status.isNull(), F.col("error_msg")),
+        "last_update_at": F.when(status.isNull(), F.col("last_update_at")).otherwise(_stamp(now)),
+    })
+    return rest.unionByName(done.select(*queue.columns))
 
 
 def featurize(
@@ -96,26 +120,37 @@ def score_items(
     model: LogisticRegressionModel, now, settings: S.Settings = S.Settings(),
     limit: int | None = None,
 ) -> DataFrame:
-    """Queue with all SCREENED items (or the oldest ``limit``) scored into tiers."""
-    waiting = fetch(queue, S.SCREENED, limit=limit) if limit else queue.where(
-        F.col("status") == S.SCREENED
-    )
-    ready = featurize(waiting.select("id"), transcripts, lexicons, embed, "skip", settings)
-    return apply_scores(queue, score_and_tier(ready, model, settings.thresholds), now)
+    """Queue with all SCREENED items (or the oldest ``limit``) scored into tiers.
+
+    Scored rows carry their queue columns, so they are not joined back.
+    """
+    if limit is None:
+        waiting = queue.where(F.col("status") == S.SCREENED)
+        rest = queue.where(~F.col("status").eqNullSafe(S.SCREENED))
+    else:
+        waiting = fetch(queue, S.SCREENED, limit=limit)
+        rest = queue.join(broadcast_if_small(waiting.select("id")), "id", "left_anti")
+    ready = featurize(waiting, transcripts, lexicons, embed, "skip", settings)
+    scored = apply_scores(ready, model, now, settings.thresholds)
+    return rest.unionByName(scored.select(*queue.columns))
 
 
 def train(
     queue: DataFrame, transcripts: DataFrame, lexicons: Lexicons, embed: Embed,
     settings: S.Settings = S.Settings(), include_rejected: bool = True,
 ):
-    """``(model, report, auc)`` from the weak labels with a stratified hold-out."""
+    """``(model, report, auc)`` from the weak labels with a stratified hold-out.
+
+    The feature rows are kept for the passes of the split, the training and
+    the two reports; call ``unpersist`` on the session's cache when done.
+    """
     labelled = [S.WEAK_POSITIVE, S.WEAK_NEGATIVE, S.REJECTED]
     items = queue.where(F.col("status").isin(*labelled)).select("id", "status")
     ready = featurize(items, transcripts, lexicons, embed, "drop", settings)
-    rows = training_set(ready, settings.thresholds, include_rejected)
-    split = stratified_split(
-        rows.select("id", "label", "features"), fraction=settings.thresholds.holdout_fraction
-    )
+    rows = training_set(ready, settings.thresholds, include_rejected, check_size=False)
+    kept = rows.select("id", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    require_rows(kept, settings.thresholds.min_training_rows)
+    split = stratified_split(kept, fraction=settings.thresholds.holdout_fraction)
     model = train_classifier(split.where(~F.col("holdout")))
     report, auc = evaluate(split.where("holdout"), model)
     return model, report, auc

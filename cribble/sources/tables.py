@@ -22,7 +22,19 @@ def write_queue(queue: DataFrame, path: str) -> None:
 
     Refuses an existing path: a state is written beside its predecessor, never over it.
     """
-    queue.write.mode("errorifexists").partitionBy("status").parquet(path)
+    # Rebalancing keeps files of even size: a large status is split, small ones are merged.
+    queue.hint("rebalance", "status").write.mode("errorifexists").partitionBy("status").parquet(path)
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table for work that is heavy per row.
+
+    An input of fewer splits than there are cores is spread over all of them;
+    it is small by that very fact. A larger one is left as it is scanned.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def read_contrastive(
