@@ -11,7 +11,6 @@ import json
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,7 +30,7 @@ MAX_PLAN_TERMS = 100_000
 
 # Up to here trying each term with ``contains`` beats one automaton pass that
 # first ships the text to Python (see the timings in README.md).
-BUILTIN_TERMS = 48
+BUILTIN_TERMS = 32
 
 
 class LexiconTooLarge(ValueError):
@@ -84,50 +83,55 @@ class Lexicons:
         )
 
 
-@lru_cache(maxsize=8)
-def _automaton(lexicons: Lexicons):
-    """Built once per Python worker; ask for it once per task, not per text."""
-    machine = ahocorasick.Automaton()
-    for i, (term, _) in enumerate(lexicons.terms):
-        if term:
-            machine.add_word(term, i)
-    machine.make_automaton()
-    return machine
+def _matcher_builder(lexicons: Lexicons) -> Callable[[], Callable[[str], set[int]]]:
+    """A function that builds, on an executor, the map from a text to its matched terms.
 
+    Everything shipped is nested in here, so executors need no copy of this package.
+    """
+    terms = [t for t, _ in lexicons.terms]
+
+    def build():
+        import ahocorasick
 
-def _matcher(lexicons: Lexicons) -> Callable[[str], set[int]]:
-    """Function from a text to the positions of its matched terms."""
-    always = {i for i, (term, _) in enumerate(lexicons.terms) if not term}
-    if len(always) == len(lexicons.terms):
-        return lambda text: always
-    machine = _automaton(lexicons)
-    return lambda text: always.union(i for _, i in machine.iter(text))
+        always = {i for i, term in enumerate(terms) if not term}
+        if len(always) == len(terms):
+            return lambda text: always
+        machine = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            if term:
+                machine.add_word(term, i)
+        machine.make_automaton()
+        return lambda text: always.union(i for _, i in machine.iter(text))
+
+    return build
 
 
 def _arrow_counts(lexicons: Lexicons, low: Column) -> Column:
     schema = T.StructType([T.StructField(n, T.IntegerType()) for n in lexicons.names])
+    build, names = _matcher_builder(lexicons), list(lexicons.names)
+    weights = [c for _, c in lexicons.terms]
 
     @F.pandas_udf(schema)
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        match = _matcher(lexicons)
-        weights = [c for _, c in lexicons.terms]
-        none = (0,) * len(lexicons.names)
+        match, none = build(), (0,) * len(names)
         for texts in batches:
             rows = [
                 [sum(column) for column in zip(none, *(weights[i] for i in match(t)))]
                 for t in texts
             ]
-            yield pd.DataFrame(rows, columns=list(lexicons.names))
+            yield pd.DataFrame(rows, columns=names)
 
     return count(low)
 
 
 def _arrow_hits(lexicons: Lexicons, low: Column) -> Column:
+    build, terms = _matcher_builder(lexicons), [t for t, _ in lexicons.terms]
+
     @F.pandas_udf("array<string>")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        match = _matcher(lexicons)
+        match = build()
         for texts in batches:
-            yield pd.Series([[lexicons.terms[i][0] for i in sorted(match(t))] for t in texts])
+            yield pd.Series([[terms[i] for i in sorted(match(t))] for t in texts])
 
     return hits(low)
 
