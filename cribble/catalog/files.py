@@ -21,7 +21,7 @@ from cribble.plans.stages import annotation_sample
 from cribble.sources.annotations import read_annotations, write_annotations, write_sample
 from cribble.sources.tables import read_contrastive, read_queue, scratch_path, write_queue
 from cribble.sources.transcripts import flatten_samples, read_transcripts, write_transcripts
-from cribble.streaming.dedup import dedup_ingest
+from cribble.streaming.dedup import dedup_ingest, distinct_urls
 from cribble.streaming.drain import drain, read_drained
 
 LIST_SQL = "ls AS (SELECT 'raw/' || l_orderkey || CASE l_linenumber % 2 WHEN 0 THEN '.wav' ELSE '.FLAC' END AS path FROM lineitem GROUP BY 1)"
@@ -141,3 +141,15 @@ def dedup_stream(t: Tables) -> DataFrame:
     _drop_files(rows, f"{home}/in", 6)
     dedup_ingest(t.spark, f"{home}/in", rows.schema, f"{home}/out", f"{home}/ck", files_per_batch=2)
     return t.spark.read.parquet(f"{home}/out").groupBy("url").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query("Z2", "SELECT 'u' || user_id || '/' || event_type AS url, count(*) AS copies FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
+def distinct_url_stream(t: Tables) -> DataFrame:
+    home = scratch_path(t.spark, "distinct")
+    rows = t.events.selectExpr("'u' || user_id || '/' || event_type AS url", "event_id AS user_id")
+    _drop_files(rows, f"{home}/in", 6)
+    waiting = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/in")
+    run = distinct_urls(waiting).select("url").writeStream.format("parquet").option("path", f"{home}/out").option(
+        "checkpointLocation", f"{home}/ck").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.parquet(f"{home}/out").groupBy("url").agg(F.count(F.lit(1)).alias("copies"))

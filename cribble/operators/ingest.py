@@ -31,7 +31,7 @@ def route_ingest(
     ).when(~F.coalesce(p.isin(*S.DOWNLOAD_PLATFORMS), F.lit(False)), 3)
     rule = F.coalesce(
         by_url,
-        F.when(~F.col("ok") | F.col("duration").isNull(), 4).when(F.col("ok"), 5),
+        F.when(F.col("ok") & F.col("duration").isNotNull(), 5).when(F.col("ok").isNotNull(), 4),
     )
     routed = joined.withColumn("_rule", rule).where(F.col("_rule").isNotNull())
     r = F.col("_rule")
