@@ -86,11 +86,11 @@ def probability_profile(t: Tables) -> DataFrame:
         "mean": F.round("mean", 6), "median": F.round("median", 6)})
 
 
-@query("A12", """SELECT l_returnflag AS ground_truth, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, min(l_extendedprice) AS min,
+@query("A12", """SELECT l_returnflag AS ground_truth, count(*) AS n, round(avg(l_extendedprice), 3) AS mean, min(l_extendedprice) AS min,
 max(l_extendedprice) AS max, round(median(l_extendedprice), 6) AS median FROM lineitem GROUP BY 1""")
 def value_profile(t: Tables) -> DataFrame:
     return rounded(ev.probability_profile(t.lineitem, "l_extendedprice", "l_returnflag")).withColumnRenamed(
-        "l_returnflag", "ground_truth").withColumn("mean", F.round("mean", 4))
+        "l_returnflag", "ground_truth").withColumn("mean", F.round("mean", 3))
 
 
 @query("A13", f"WITH {JUDGED_SQL} SELECT ground_truth, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM j GROUP BY 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cribble import settings as S
 from cribble.operators.ranking import exact_median, running_sums
+from cribble.sources.tables import materialize
 
 
 def join_truth(
@@ -87,11 +88,10 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     Per-score counts, then running sums over equi-depth score buckets: no
     task sees all scores.
     """
-    rows = df.select(F.col(score).cast("double").alias("s"), F.col(label).alias("y"))
-    counts = rows.groupBy("s").agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
+    counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    ranked = running_sums(counts, "s", ["pos", "neg"], spread_by=rows)
+    ranked = running_sums(materialize(counts, "scores"), "s", ["pos", "neg"])
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return ranked.agg(
         (won / F.nullif(F.sum("pos") * F.sum("neg").cast("double"), F.lit(0.0))).alias("auc"),

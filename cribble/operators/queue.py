@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cribble import settings as S
 from cribble.operators.ranking import number_rows
 from cribble.schemas import QUEUE
+from cribble.sources.tables import materialize
 
 # Positions inside one source stay below this, so (source, item) packs into one long.
 POSITION_SPAN = 1 << 32
@@ -87,8 +88,14 @@ def new_items(queue: DataFrame, candidates: DataFrame, now: datetime | Column) -
     """
     stamp = now if isinstance(now, Column) else F.lit(now)
     fresh = _first_per_url(candidates).join(queue.select("url"), "url", "left_anti")
-    placed = fresh.withColumn(
-        "_pos", F.col("source_pos") * F.lit(POSITION_SPAN) + F.col("item_pos")
+    # Parsing, de-duplication and the anti-join run once; numbering then reads
+    # only the new rows.
+    placed = materialize(
+        fresh.select(
+            "url", "platform", "source_metadata",
+            (F.col("source_pos") * F.lit(POSITION_SPAN) + F.col("item_pos")).alias("_pos"),
+        ),
+        "new-items",
     )
     last_id = queue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
     numbered = number_rows(placed, "_pos", "_n")

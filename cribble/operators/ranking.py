@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cribble.sources.tables import materialize
+
 MAX_BROADCAST_ROWS = 20_000
 SALTS = 32
 MIN_BUCKETS = 256
@@ -149,17 +151,15 @@ def running_sums(
     sums: Sequence[str],
     groups: Sequence[str] = (),
     buckets: int | None = None,
-    spread_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<sum>_before`` and ``<sum>_total`` per group in order of a numeric ``key``.
 
     Rows are cut into equi-depth buckets, each bucket is summed in its own
     task, and bucket offsets come from a table of ``groups * buckets`` rows.
-    Give it rows already aggregated by ``(groups, key)`` so that ties are one row;
-    ``spread_by`` may name the rows before that, whose quantiles need no shuffle.
+    Give it rows already aggregated by ``(groups, key)`` so that ties are one row,
+    and materialized where they are costly: they are read three times.
     """
-    source = df if spread_by is None else spread_by
-    bounds = _bounds(source, key, buckets or _bucket_count(df))
+    bounds = _bounds(df, key, buckets or _bucket_count(df))
     placed = df.withColumn("_bucket", _bucket_of(F.col(key), bounds))
     totals = placed.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     over_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
@@ -195,10 +195,13 @@ def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
 
 def exact_median(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
     """Exact median per group: the mean of the two middle values, found by running counts."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
-        F.count(F.lit(1)).alias("n")
+    counted = materialize(
+        df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
+            F.count(F.lit(1)).alias("n")
+        ),
+        "counts",
     )
-    ranked = running_sums(counted, value, ["n"], groups, spread_by=df)
+    ranked = running_sums(counted, value, ["n"], groups)
     low = F.floor((F.col("n_total") - 1) / 2)
     high = F.floor(F.col("n_total") / 2)
     upto = F.col("n_before") + F.col("n")

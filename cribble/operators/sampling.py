@@ -45,34 +45,36 @@ def quota_per_class(
         firsts.select(class_col, "file_pos", "row_pos"), [class_col],
         [F.col("file_pos"), F.col("row_pos")], quota,
     )
-    filled = (
+    # At most quota rows per class: the rows themselves are joined without a shuffle.
+    added = broadcast_if_small(
         ranked.join(broadcast_if_small(have), F.col(class_col) == F.col("_class"), "left")
         .withColumn("_room", F.lit(quota) - F.coalesce("_have", F.lit(0)))
-        .where(F.col("rank") == F.col("_room"))
-        .select(F.col(class_col).alias("_full"), position.alias("_cut"))
-    )
-    full_before = have.where(F.col("_have") >= quota).select(
-        F.col("_class").alias("_full"),
-        F.struct(F.lit(-1).cast("long").alias("file_pos"),
-                 F.lit(-1).cast("long").alias("row_pos")).alias("_cut"),
+        .where(F.col("rank") <= F.col("_room"))
+        .select(
+            F.col(class_col).alias("_c"), F.col("file_pos").alias("_f"), F.col("row_pos").alias("_r"),
+            (F.col("rank") == F.col("_room")).alias("_last"),
+        ),
     )
+    nowhere = F.lit(-1).cast("long")
     cuts = broadcast_if_small(
-        filled.select("_full", F.struct(
-            F.col("_cut.file_pos").cast("long").alias("file_pos"),
-            F.col("_cut.row_pos").cast("long").alias("row_pos")).alias("_cut"))
-        .unionByName(full_before)
+        added.where("_last").select(
+            F.col("_c").alias("_full"), F.struct(
+                F.col("_f").cast("long").alias("f"), F.col("_r").cast("long").alias("r")).alias("_cut"))
+        .unionByName(have.where(F.col("_have") >= quota).select(
+            F.col("_class").alias("_full"),
+            F.struct(nowhere.alias("f"), nowhere.alias("r")).alias("_cut")))
     )
     here = F.struct(F.col("file_pos").cast("long"), F.col("row_pos").cast("long"))
-    first_rows = firsts.select("url", "file_pos", "row_pos", F.lit(True).alias("_first"))
-    # The join key holds the position, so copies of one URL spread over the tasks.
     marked = rows.join(cuts, F.col(class_col) == F.col("_full"), "left").join(
-        first_rows, ["url", "file_pos", "row_pos"], "left"
+        added,
+        (F.col(class_col) == F.col("_c")) & (F.col("file_pos") == F.col("_f"))
+        & (F.col("row_pos") == F.col("_r")), "left",
     )
     outcome = (
         F.when(~F.coalesce(target, F.lit(False)), "not_target")
         .when(here > F.col("_cut"), "quota_full")
         .when(~F.coalesce("ok", F.lit(False)), "failed")
-        .when(F.col("_first").isNull(), "already_present")
+        .when(F.col("_c").isNull(), "already_present")
         .otherwise("added")
     )
     return marked.select(*rows.columns, outcome.alias("outcome"))

@@ -18,32 +18,32 @@ def con():
     return connect(FOLDER)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def check_plan(name, df):
+    """No cross join anywhere, and Python only where long word lists call for it."""
+    text = plan(df)
+    assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
+    if "Python" in text or "ArrowEval" in text:
+        assert name in ("count_matches_arrow", "count_matches_large_lists", "lexicon_term_hits")
+
+
 @pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_equals_its_sql(spark, con, name):
-    problem = compare(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name])
+    df = entry.queries()[name](spark, FOLDER)
+    check_plan(name, df)
+    problem = compare(df, con, entry.oracle_sql()[name])
     # A few filters find nothing in the smallest tables.
     assert problem in (None, "no rows")
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_query_without_sql_gives_rows(spark, name):
-    assert entry.queries()[name](spark, FOLDER).count() > 0
-
-
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-LAZY = [n for n in entry.queries() if n not in (
-    "classifier_weights", "holdout_report", "scored_tiers", "drain_clicks", "dedup_stream", "distinct_url_stream")]
-
-
-@pytest.mark.parametrize("name", LAZY)
-def test_no_cross_join_and_python_only_for_long_lists(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
-    assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
-    if "Python" in text or "ArrowEval" in text:
-        assert name in ("count_matches_arrow", "count_matches_large_lists", "lexicon_term_hits")
+    df = entry.queries()[name](spark, FOLDER)
+    check_plan(name, df)
+    assert df.count() > 0
 
 
 def test_group_limits_and_broadcasts(spark):
