@@ -13,6 +13,9 @@ from cribble.operators.evaluate import class_weights, classification_report, roc
 from cribble.operators.labels import tier
 from cribble.operators.ranking import broadcast_if_small
 
+# About 60 MB of 389 doubles; a larger input keeps its own, finer partitioning.
+ROWS_PER_PARTITION = 20_000
+
 
 def train_classifier(
     rows: DataFrame, label: str = "label", features: str = "features",
@@ -29,7 +32,10 @@ def train_classifier(
     try:
         weights = class_weights(cached)
         n = weights.agg(F.sum("n")).first()[0]
-        weighted = cached.join(broadcast_if_small(weights.drop("n")), "label")
+        # Every iteration is a job over these partitions: none should be tiny.
+        weighted = cached.join(broadcast_if_small(weights.drop("n")), "label").coalesce(
+            -(-n // ROWS_PER_PARTITION)
+        )
         return LogisticRegression(
             labelCol="label", featuresCol="features", weightCol="weight",
             regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
