@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cribble import settings as S
 from cribble.functions.lexicon import Lexicons, final_score
+from cribble.operators.once import compute_once
 
 LEXICAL_FEATURES = ("lb", "msa", "strong_lb_hits", "msa_ratio_core")
 
@@ -21,7 +22,7 @@ def score_texts(
     weights: S.LexiconWeights = S.LexiconWeights(), plan: str = "auto",
 ) -> DataFrame:
     """Add ``diagnostics``, the full lexical score of the text."""
-    return df.withColumn("diagnostics", final_score(text, lexicons, weights, plan))
+    return compute_once(df, "diagnostics", final_score(text, lexicons, weights, plan))
 
 
 def attach_embeddings(

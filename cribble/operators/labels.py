@@ -10,6 +10,7 @@ from cribble.functions.lexicon import Lexicons, lexicon_score
 from cribble.functions.meta import json_field
 from cribble.functions.text import language_gate, transcript_text
 from cribble.functions.urls import normalize_feed
+from cribble.operators.once import compute_once
 from cribble.operators.ranking import broadcast_if_small
 
 KIND_FIELDS = (("channel", "channel_id"), ("feed", "feed_url"), ("user", "user"))
@@ -136,7 +137,7 @@ def lexical_negative(
     gated = items.withColumn("_pass", passed["passed"])
     text = F.when(F.col("_pass"), transcript_text(samples)).otherwise(F.lit(""))
     return _lexical_outcome(
-        gated.withColumn("_d", lexicon_score(text, lexicons, weights, plan)),
+        compute_once(gated, "_d", lexicon_score(text, lexicons, weights, plan)),
         F.col(samples).isNull(), F.col("_pass"),
     ).drop("_pass", "_d")
 
@@ -154,7 +155,7 @@ def lexical_negative_flat(
     ok = F.coalesce(F.col(confidence) >= thresholds.min_language_probability, F.lit(False))
     shown = F.when(ok, F.col(text)).otherwise(F.lit(""))
     return _lexical_outcome(
-        items.withColumn("_d", lexicon_score(shown, lexicons, weights, plan)),
+        compute_once(items, "_d", lexicon_score(shown, lexicons, weights, plan)),
         F.col(text).isNull(), ok,
     ).drop("_d")
 

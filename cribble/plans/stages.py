@@ -32,6 +32,7 @@ from cribble.operators.labels import (
     training_set,
 )
 from cribble.operators.model import apply_scores, evaluate, train_classifier
+from cribble.operators.once import compute_once
 from cribble.operators.queue import fetch, insert_if_absent
 from cribble.operators.ranking import broadcast_if_small
 from cribble.operators.sampling import (
@@ -64,8 +65,8 @@ def discover_feed_episodes(
     else:
         capped, url = items, pick_audio_url("enclosures", "links")
         meta, platform = episode_meta("feed_url"), "podcast"
-    candidates = capped.select(
-        url.alias("url"), F.lit(platform).alias("platform"), meta.alias("source_metadata"),
+    candidates = compute_once(capped, "url", url).select(
+        "url", F.lit(platform).alias("platform"), meta.alias("source_metadata"),
         "source_pos", "item_pos",
     ).where(F.col("url").isNotNull())
     return insert_if_absent(queue, candidates, now)

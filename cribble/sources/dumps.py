@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribble import settings as S
+from cribble.operators.once import compute_once
 
 
 def _entries(df: DataFrame, json: str, schema: str, field: str, n: int | None) -> DataFrame:
@@ -13,7 +14,9 @@ def _entries(df: DataFrame, json: str, schema: str, field: str, n: int | None) -
     parsed = F.from_json(F.col(json), schema)[field]
     cut = F.slice(parsed, 1, n) if n is not None else parsed
     keys = [c for c in df.columns if c != json]
-    return df.select(*keys, F.posexplode(cut).alias("item_pos", "e")).withColumn(
+    # Exploding infers a size filter, which would parse each document again.
+    once = compute_once(df, "_entries", cut)
+    return once.select(*keys, F.posexplode("_entries").alias("item_pos", "e")).withColumn(
         "item_pos", F.col("item_pos").cast("long")
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cribble.operators.once import compute_once
+
 _LINK = "struct<_href:string,_rel:string,_type:string,_VALUE:string>"
 _ENC = "struct<_url:string,_type:string>"
 
@@ -23,7 +25,7 @@ ATOM_SCHEMA = (
 
 def _parse(feeds: DataFrame, xml: str, schema: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = feeds.withColumn("_f", F.from_xml(F.col(xml), schema, options))
+    parsed = compute_once(feeds, "_f", F.from_xml(F.col(xml), schema, options))
     return parsed.where(F.col("_f").isNotNull() & F.col("_f._corrupt_record").isNull())
 
 

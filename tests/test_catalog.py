@@ -80,3 +80,16 @@ def test_bench_prints_one_json_line():
     env = dict(os.environ, BENCH_SF_DIR=FOLDER, BENCH_ONLY="status_summary", BENCH_CPUS="2")
     out = subprocess.run([sys.executable, "bench.py"], cwd=ROOT, env=env, capture_output=True, text=True).stdout
     assert json.loads(out.strip())["queries"].keys() == {"status_summary"}
+
+
+def test_costly_columns_are_evaluated_once(spark):
+    assert plan(entry.queries()["playlist_entries"](spark, FOLDER)).count("from_json(") == 1
+    assert plan(entry.queries()["rss_items"](spark, FOLDER)).count("from_xml(") == 1
+    from cribble.functions.lexicon import Lexicons
+    from cribble.operators.features import score_texts
+    from cribble.operators.labels import training_set
+
+    lists = Lexicons.from_lists({n: [f"{n}{i}" for i in range(20)] for n in ("lb", "msa", "egy", "gulf", "sy", "strong_lb_hits")})
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("doc_id AS id", "text", "'WEAK_POSITIVE' AS status")
+    rows = training_set(score_texts(docs, lists), check_size=False)
+    assert plan(rows).count("ArrowEvalPython") == 1
