@@ -269,7 +269,7 @@ def route_ingest(t: Tables) -> DataFrame:
 
 BACKFILL_SQL = f"""{FEED_SQL}, um AS (SELECT audio AS url, arg_max(feed_url, source_pos * 100 + item_pos) AS feed_url FROM au
 WHERE audio IS NOT NULL GROUP BY 1), pq AS (SELECT p_partkey AS id, 'http://a.example.org/' || p_size || '/' || (p_partkey % 50) || '.mp3' AS url
-FROM part WHERE p_partkey % 3 = 1), bf AS (SELECT id, pq.url, um.url IS NOT NULL AS matched, um.feed_url FROM pq LEFT JOIN um ON pq.url = um.url)"""
+FROM part), bf AS (SELECT id, pq.url, um.url IS NOT NULL AS matched, um.feed_url FROM pq LEFT JOIN um ON pq.url = um.url)"""
 
 
 def backfilled(t: Tables) -> DataFrame:
@@ -279,7 +279,7 @@ def backfilled(t: Tables) -> DataFrame:
     entries = feeds.rss_items(feed_documents(t)).select(
         pick_audio_url("enclosures", "links", enclosure_href=True).alias("url"),
         episode_meta("feed_url").alias("meta"), "source_pos", "item_pos")
-    q = t.part.where("p_partkey % 3 = 1").selectExpr(
+    q = t.part.selectExpr(
         "p_partkey AS id", "'http://a.example.org/' || p_size || '/' || (p_partkey % 50) || '.mp3' AS url",
         "'podcast' AS platform", "CAST(NULL AS map<string,string>) AS source_metadata")
     return backfill.backfill_metadata(q, backfill.url_metadata(entries))

@@ -42,13 +42,13 @@ def usable_audio(t: Tables) -> DataFrame:
     return files.usable_audio(queue(t), listing(t)).select("id", "audio_path")
 
 
-CONV_SQL = f"""{QUEUE_SQL}, w AS (SELECT id, audio_path, CASE WHEN id % 13 = 0 OR id % 17 = 1 THEN 'missing' WHEN id % 5 = 0 THEN 'encode_fail'
+CONV_SQL = f"""{QUEUE_SQL}, w AS (SELECT id, audio_path, CASE WHEN id % 13 = 0 OR duration_seconds < 200 THEN 'missing' WHEN id % 5 = 0 THEN 'encode_fail'
 WHEN id % 7 = 0 THEN 'verify_fail' ELSE 'ok' END AS outcome FROM q WHERE lower(audio_path) LIKE '%.wav')"""
 
 
 def converted(t: Tables) -> DataFrame:
     q = queue(t)
-    results = q.where("id % 17 <> 1").selectExpr(
+    results = q.where("duration_seconds >= 200").selectExpr(
         "id", "id % 13 <> 0 AS found", "id % 5 <> 0 AS encoded", "id % 7 <> 0 AS verified")
     return files.conversion_outcomes(files.by_extension(q).select("id", "audio_path"), results)
 

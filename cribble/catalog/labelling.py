@@ -97,7 +97,7 @@ def language_gates(t: Tables) -> DataFrame:
 
 
 LIMITS = S.Thresholds(language="user")
-NEG_SQL = f"""{TEXT_SQL}, it AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 2 * (SELECT max(id) + 1 FROM s)),
+NEG_SQL = f"""{TEXT_SQL}, it AS (SELECT c_custkey AS id FROM customer),
 {scored_sql("tx", "id").strip()}, oc AS (SELECT it.id, CASE WHEN tx.id IS NULL THEN 'no_transcript'
 WHEN NOT coalesce(confidence >= 0.70e0, false) THEN 'not_language' WHEN raw_score >= 0 THEN 'score_not_negative'
 WHEN msa + egy + gulf + sy = 0 THEN 'no_signal' ELSE 'WEAK_NEGATIVE' END AS outcome
@@ -105,8 +105,8 @@ FROM it LEFT JOIN tx ON it.id = tx.id LEFT JOIN scored ON it.id = scored.id)"""
 
 
 def waiting(t: Tables) -> DataFrame:
-    last = samples(t).agg((F.max("id") + 1).alias("m")).scalar()
-    return t.customer.where(F.col("c_custkey") < 2 * last).select(F.col("c_custkey").alias("id"))
+    """Customers as items; only some have a conversation as their transcript."""
+    return t.customer.select(F.col("c_custkey").alias("id"))
 
 
 @query("P14, J3", f"WITH {NEG_SQL} SELECT * FROM oc")
@@ -179,7 +179,7 @@ QUOTA = 60
 QUOTA_SQL = f"""r AS (SELECT {', '.join(f'{e} AS {n}' for n, e in QUOTA_E.items())} FROM part),
 have AS (SELECT p_type AS dialect, count(*) AS n FROM part WHERE p_size > 45 AND p_type <> 'PROMO' AND p_retailprice < 905 GROUP BY 1
 UNION ALL SELECT 'PROMO', {QUOTA}),
-pres AS (SELECT 'http://c/' || p_partkey AS url FROM part WHERE p_partkey % 10 = 3),
+pres AS (SELECT 'http://c/' || p_partkey AS url FROM part WHERE p_size < 6),
 ok AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY file_pos, row_pos) AS rn FROM r
 WHERE dialect IN ('ECONOMY', 'SMALL', 'STANDARD', 'PROMO') AND ok) WHERE rn = 1 AND url NOT IN (SELECT url FROM pres)),
 rk AS (SELECT ok.*, row_number() OVER (PARTITION BY ok.dialect ORDER BY file_pos, row_pos) AS k, {QUOTA} - coalesce(have.n, 0) AS room
@@ -197,7 +197,7 @@ def quota_outcomes(t: Tables) -> DataFrame:
     have = t.part.where("p_size > 45 AND p_type <> 'PROMO' AND p_retailprice < 905").groupBy(
         F.col("p_type").alias("dialect")).agg(F.count(F.lit(1)).alias("n")).unionByName(
         t.spark.createDataFrame([("PROMO", QUOTA)], "dialect string, n long"))
-    present = t.part.where("p_partkey % 10 = 3").selectExpr("'http://c/' || p_partkey AS url")
+    present = t.part.where("p_size < 6").selectExpr("'http://c/' || p_partkey AS url")
     return sampling.quota_per_class(rows, have, present, TARGETS, QUOTA)
 
 

@@ -45,8 +45,8 @@ def numbered_items(t: Tables) -> DataFrame:
 
 
 # Candidates: pages three times over (two sources and a re-listing), beside
-# urls of a queue that already holds every third page.
-BASE_SQL = """base AS (SELECT page_id AS id, url FROM pages WHERE page_id % 3 = 0),
+# a queue that already holds the .com pages.
+BASE_SQL = """base AS (SELECT page_id AS id, url FROM pages WHERE contains(url, '.com/')),
 cand AS (SELECT url, page_id % 5 AS source_pos, page_id AS item_pos, 'a' || page_id AS tag FROM pages
 UNION ALL SELECT url, page_id % 7 + 5 AS source_pos, page_id + 1 AS item_pos, 'b' || page_id AS tag FROM pages
 UNION ALL SELECT url, page_id % 5 AS source_pos, page_id + 1000000 AS item_pos, 'c' || page_id AS tag FROM pages
@@ -55,7 +55,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_pos, it
 
 
 def base(t: Tables) -> DataFrame:
-    return t.pages.where("page_id % 3 = 0").selectExpr("page_id AS id", "url")
+    return t.pages.where("contains(url, '.com/')").selectExpr("page_id AS id", "url")
 
 
 def candidates(t: Tables) -> DataFrame:
@@ -90,49 +90,50 @@ def inserted_flags(t: Tables) -> DataFrame:
 
 # --- Transitions -----------------------------------------------------------
 
-UPD = "id % 4 = 1"
-
-
-@query("X1", f"""WITH {QUEUE_SQL} SELECT id, CASE WHEN {UPD} THEN 'SCREENED' ELSE status END AS status,
-CASE WHEN {UPD} THEN CASE WHEN id % 8 = 1 THEN 'bad' END ELSE error_msg END AS error_msg,
-CASE WHEN {UPD} THEN {STAMP} ELSE CAST(last_update_at AS STRING) END AS last_update_at FROM q""")
+@query("X1", f"""WITH {QUEUE_SQL} SELECT id, CASE WHEN status = 'DOWNLOADED' THEN CASE WHEN audio_path IS NULL THEN 'ERROR_SCREEN'
+ELSE 'SCREENED' END ELSE status END AS status,
+CASE WHEN status = 'DOWNLOADED' THEN CASE WHEN audio_path IS NULL THEN 'no audio' END ELSE error_msg END AS error_msg,
+CASE WHEN status = 'DOWNLOADED' THEN {STAMP} ELSE CAST(last_update_at AS STRING) END AS last_update_at FROM q""")
 def transition(t: Tables) -> DataFrame:
     q = queue(t)
-    updates = q.where(UPD).selectExpr("id", "'SCREENED' AS status", "CASE WHEN id % 8 = 1 THEN 'bad' END AS error_msg")
+    updates = q.where("status = 'DOWNLOADED'").selectExpr(
+        "id", "CASE WHEN audio_path IS NULL THEN 'ERROR_SCREEN' ELSE 'SCREENED' END AS status",
+        "CASE WHEN audio_path IS NULL THEN 'no audio' END AS error_msg")
     stray = q.selectExpr("-1 - id AS id", "'X' AS status", "'x' AS error_msg")
     return ops.transition(q, updates.unionByName(stray), now()).select(
         "id", "status", "error_msg", *as_text("last_update_at"))
 
 
-@query("X2", f"""WITH {QUEUE_SQL} SELECT id, CASE WHEN {UPD} THEN 'DOWNLOADED' ELSE status END AS status,
-CASE WHEN {UPD} THEN 'new/' || id ELSE audio_path END AS audio_path,
-CASE WHEN {UPD} THEN CAST(id % 99 AS INT) ELSE duration_seconds END AS duration_seconds,
-CASE WHEN {UPD} THEN NULL ELSE error_msg END AS error_msg FROM q""")
+@query("X2", f"""WITH {QUEUE_SQL} SELECT id, CASE WHEN status = 'DISCOVERED' THEN 'DOWNLOADED' ELSE status END AS status,
+CASE WHEN status = 'DISCOVERED' THEN 'new/' || id ELSE audio_path END AS audio_path,
+CASE WHEN status = 'DISCOVERED' THEN duration_seconds + 1 ELSE duration_seconds END AS duration_seconds,
+CASE WHEN status = 'DISCOVERED' THEN NULL ELSE error_msg END AS error_msg FROM q""")
 def mark_downloaded(t: Tables) -> DataFrame:
     q = queue(t)
-    updates = q.where(UPD).selectExpr("id", "'new/' || id AS audio_path", "id % 99 AS duration_seconds")
+    updates = q.where("status = 'DISCOVERED'").selectExpr(
+        "id", "'new/' || id AS audio_path", "duration_seconds + 1 AS duration_seconds")
     return ops.mark_downloaded(q, updates, now()).select(
         "id", "status", "audio_path", "duration_seconds", "error_msg")
 
 
-@query("X3", f"""WITH {QUEUE_SQL} SELECT id, CASE WHEN {UPD} THEN 'REJECTED' ELSE status END AS status, error_msg,
-CASE WHEN {UPD} THEN CAST(id % 64 AS DOUBLE) / 128e0 END AS model_probability FROM q""")
+@query("X3", f"""WITH {QUEUE_SQL} SELECT id, CASE WHEN status = 'SCREENED' THEN 'REJECTED' ELSE status END AS status, error_msg,
+CASE WHEN status = 'SCREENED' THEN CAST(duration_seconds % 64 AS DOUBLE) / 128e0 END AS model_probability FROM q""")
 def mark_rejected(t: Tables) -> DataFrame:
     q = queue(t)
     reason = F.struct(
-        (F.col("id") % 64 / 128).alias("model_probability"),
+        (F.col("duration_seconds") % 64 / 128).alias("model_probability"),
         F.lit(None).cast(q.schema["rejection_reason"].dataType["diagnostics"].dataType).alias("diagnostics"),
     )
-    updates = q.where(UPD).select("id", reason.alias("rejection_reason"))
+    updates = q.where("status = 'SCREENED'").select("id", reason.alias("rejection_reason"))
     return ops.mark_rejected(q, updates, now()).select(
         "id", "status", "error_msg", F.col("rejection_reason.model_probability").alias("model_probability"))
 
 
-@query("X4", f"""WITH {QUEUE_SQL} SELECT id, status, CASE WHEN {UPD} THEN 'n' || id
+@query("X4", f"""WITH {QUEUE_SQL} SELECT id, status, CASE WHEN meta_kind = 'null' THEN 'n' || id
 WHEN meta_kind = 'full' THEN meta_channel END AS channel_id FROM q""")
 def set_metadata(t: Tables) -> DataFrame:
     q = queue(t)
-    updates = q.where(UPD).select("id", F.create_map(
+    updates = q.where("source_metadata IS NULL").select("id", F.create_map(
         F.lit("channel_id"), F.concat(F.lit("n"), F.col("id").cast("string"))).alias("source_metadata"))
     return ops.set_metadata(q, updates, now()).select(
         "id", "status", F.try_element_at("source_metadata", F.lit("channel_id")).alias("channel_id"))
