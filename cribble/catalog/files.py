@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cribble import settings as S
 from cribble.catalog.labelling import SAMPLE_SQL, TRUTH
 from cribble.catalog.registry import (
     QUEUE_SQL,
@@ -16,6 +15,7 @@ from cribble.catalog.registry import (
     queue,
     transcripts,
 )
+from cribble.functions.urls import stable_name
 from cribble.operators import files, reports
 from cribble.plans.stages import annotation_sample
 from cribble.sources.annotations import read_annotations, write_annotations, write_sample
@@ -42,6 +42,17 @@ def usable_audio(t: Tables) -> DataFrame:
     return files.usable_audio(queue(t), listing(t)).select("id", "audio_path")
 
 
+@query("J9, F8", f"""WITH {QUEUE_SQL}, nm AS (SELECT id, status, 'podcast_' || sha1(url) || CASE WHEN url LIKE '%.mp3' THEN '.mp3'
+WHEN lower(url) LIKE '%.ogg' AND NOT contains(url, '?') THEN '.ogg' WHEN contains(url, '.M4A?') THEN '.m4a' ELSE '.mp3' END AS name FROM q)
+SELECT 'd/' || name AS path, id, status FROM nm WHERE status = 'ERROR_DOWNLOAD' UNION ALL
+SELECT 'd/x' || p_partkey, NULL, NULL FROM part""")
+def orphan_owners(t: Tables) -> DataFrame:
+    q = queue(t)
+    left = q.where("status = 'ERROR_DOWNLOAD'").select(F.concat(F.lit("d/"), stable_name("url")).alias("path"))
+    listed = left.unionByName(t.part.selectExpr("'d/x' || p_partkey AS path"))
+    return files.orphan_owners(files.orphan_files(listed, q), q).select("path", "id", "status")
+
+
 CONV_SQL = f"""{QUEUE_SQL}, w AS (SELECT id, audio_path, CASE WHEN id % 13 = 0 OR duration_seconds < 200 THEN 'missing' WHEN id % 5 = 0 THEN 'encode_fail'
 WHEN id % 7 = 0 THEN 'verify_fail' ELSE 'ok' END AS outcome FROM q WHERE lower(audio_path) LIKE '%.wav')"""
 

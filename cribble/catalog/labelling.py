@@ -11,7 +11,6 @@ from cribble.catalog.registry import (
     QUEUE_SQL,
     SAMPLES_SQL,
     Tables,
-    judged,
     now,
     query,
     queue,

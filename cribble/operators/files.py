@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribble.functions.media import has_extension, swap_extension
+from cribble.functions.urls import stable_name
 
 
 def usable_audio(queue: DataFrame, listing: DataFrame | None = None) -> DataFrame:
@@ -26,6 +27,16 @@ def orphan_files(listing: DataFrame, queue: DataFrame) -> DataFrame:
     return listing.join(used, "path", "left_anti")
 
 
+def orphan_owners(orphans: DataFrame, queue: DataFrame) -> DataFrame:
+    """Orphans with the item they were fetched for, told by the URL hash in the file name.
+
+    Such a file was downloaded and then not kept. ``id`` is null for other orphans.
+    """
+    name = F.regexp_extract("path", r"([^/\\]*)$", 1)
+    fetched = queue.select(stable_name("url").alias("_name"), "id", "status", "error_msg")
+    return orphans.withColumn("_name", name).join(fetched, "_name", "left").drop("_name")
+
+
 def conversion_outcomes(worklist: DataFrame, results: DataFrame) -> DataFrame:
     """Add ``outcome`` and the new ``audio_path`` from ``results(id, found, encoded, verified)``."""
     joined = worklist.join(results, "id", "left")

@@ -148,11 +148,15 @@ def stratified_split(
 def latest_annotation(
     annotations: DataFrame, key: str = "item_id", ts: str = "timestamp", seq: str = "seq"
 ) -> DataFrame:
-    """The newest annotation of each item; a later one replaces an earlier one."""
+    """The newest annotation of each item; a later one replaces an earlier one.
+
+    Files hold no ``seq``; without it equal times are told apart by the other columns.
+    """
     rest = [c for c in annotations.columns if c != key]
+    order = [ts, seq] if seq in rest else [ts, *[c for c in rest if c != ts]]
     return (
         annotations.groupBy(key)
-        .agg(F.max_by(F.struct(*rest), F.struct(ts, seq)).alias("a"))
+        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("a"))
         .select(key, "a.*")
     )
 

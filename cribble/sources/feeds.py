@@ -14,7 +14,7 @@ RSS_SCHEMA = (
     "channel struct<title:string,language:string,country:string,author:string,"
     "`itunes:author`:string,`itunes:country`:string,"
     "item:array<struct<title:string,pubDate:string,guid:string,link:string,"
-    f"enclosure:array<{_ENC}>>>>, _corrupt_record string"
+    f"enclosure:array<{_ENC}>,`atom:link`:array<{_LINK}>>>>, _corrupt_record string"
 )
 ATOM_SCHEMA = (
     "title string, author struct<name:string>,"
@@ -43,8 +43,16 @@ def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
                 e["_url"].alias("url"), e["_url"].alias("href"), e["_type"].alias("type"))),
             F.array().cast("array<struct<url:string,href:string,type:string>>"),
         ).alias("enclosures"),
-        F.when(F.col("i.link").isNotNull(), F.array(F.struct(F.col("i.link").alias("href"))))
-        .otherwise(F.array().cast("array<struct<href:string>>")).alias("links"),
+        F.filter(
+            F.concat(
+                F.array(F.struct(F.col("i.link").alias("href"))),
+                F.coalesce(
+                    F.transform("i.`atom:link`", lambda x: F.struct(x["_href"].alias("href"))),
+                    F.array().cast("array<struct<href:string>>"),
+                ),
+            ),
+            lambda x: x["href"].isNotNull(),
+        ).alias("links"),
     )
 
 
@@ -60,7 +68,9 @@ def rss_feed_meta(feeds: DataFrame, xml: str = "xml") -> DataFrame:
 
 def atom_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """Channel-feed entries that have a link, as ``(channel_id, positions, url, title, published)``."""
-    link = F.get(F.col("e.link"), 0)["_href"]
+    # A link without ``rel`` is an alternate one; an entry without any is left out.
+    alternate = F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.get(alternate, 0)["_href"]
     return _parse(feeds, xml, ATOM_SCHEMA).select(
         "channel_id", "source_pos", F.posexplode("_f.entry").alias("item_pos", "e")
     ).select(

@@ -7,7 +7,6 @@ from cribble import settings as S
 from cribble.functions.lexicon import Lexicons
 from cribble.operators import evaluate as ev
 from cribble.operators import labels, reports, sampling
-from cribble.operators import ranking
 from cribble.sources.source_lists import read_source_lists, used_fall_back
 
 LEX = Lexicons.from_lists({
@@ -169,6 +168,7 @@ def test_annotations_replace_and_skip(spark):
                                 "item_id long, ground_truth string, timestamp string, seq int")
     last = sampling.latest_annotation(raw)
     assert {r.item_id: r.ground_truth for r in last.collect()} == {1: "lebanese", 2: "skip"}
+    assert {r.item_id for r in sampling.latest_annotation(raw.drop("seq")).collect()} == {1, 2}
     sample = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "id long, pos int")
     assert [r.id for r in sampling.unlabelled(sample, last).collect()] == [3, 2]
 

@@ -14,29 +14,33 @@ from cribble.streaming.drain import drain, read_drained
 
 # --- Feeds and dumps -------------------------------------------------------
 
-RSS = """<?xml version="1.0"?><rss version="2.0" xmlns:itunes="http://i"><channel><title>T &amp; U</title>
+RSS = """<?xml version="1.0"?><rss version="2.0" xmlns:itunes="http://i" xmlns:atom="http://at"><channel><title>T &amp; U</title>
 <itunes:author>Who</itunes:author><language>ar</language>
 <item><title>One</title><guid>g1</guid><pubDate>d</pubDate>
 <enclosure url="http://a/1.pdf" type="x"/><enclosure url="http://a/1.mp3" type="audio/mpeg"/><link>http://l/1</link></item>
-<item><title>Two</title></item></channel></rss>"""
+<item><title>Two</title></item>
+<item><title>Three</title><link>http://l/3</link><atom:link href="http://l/3.mp3" rel="x"/></item></channel></rss>"""
 
 
 def test_rss(spark):
     docs = spark.createDataFrame([("f1", 0, RSS), ("bad", 1, "<rss><channel><item>"), ("none", 2, None)],
                                  "feed_url string, source_pos long, xml string")
     rows = feeds.rss_items(docs).orderBy("item_pos").collect()
-    assert [(r.feed_url, r.item_pos, r.title) for r in rows] == [("f1", 0, "One"), ("f1", 1, "Two")]
+    assert [(r.feed_url, r.item_pos, r.title) for r in rows] == [("f1", 0, "One"), ("f1", 1, "Two"), ("f1", 2, "Three")]
     assert [e.url for e in rows[0].enclosures] == ["http://a/1.pdf", "http://a/1.mp3"]
     assert [x.href for x in rows[0].links] == ["http://l/1"] and rows[1].enclosures == [] and rows[1].links == []
+    assert [x.href for x in rows[2].links] == ["http://l/3", "http://l/3.mp3"]
     m = feeds.rss_feed_meta(docs).first()
     assert (m.itunes_author, m.language, m.author) == ("Who", "ar", None)
 
 
 def test_atom(spark):
     xml = ('<feed><title>c</title><entry><id>1</id><title>a</title><link rel="alternate" href="http://v/1"/>'
-           '<published>p</published></entry><entry><title>no link</title></entry></feed>')
+           '<published>p</published></entry><entry><title>no link</title></entry>'
+           '<entry><title>b</title><link rel="self" href="http://s"/><link href="http://v/2"/></entry></feed>')
     docs = spark.createDataFrame([("UC1", 0, xml), ("UC2", 1, "<feed>")], "channel_id string, source_pos long, xml string")
-    assert [(r.channel_id, r.url, r.title) for r in feeds.atom_items(docs).collect()] == [("UC1", "http://v/1", "a")]
+    assert [(r.channel_id, r.url, r.title) for r in feeds.atom_items(docs).collect()] == [
+        ("UC1", "http://v/1", "a"), ("UC1", "http://v/2", "b")]
 
 
 def test_playlist_caps_before_the_host_test(spark):
