@@ -292,7 +292,9 @@ def duration_gate(t: Tables) -> DataFrame:
     )
 
 
-@query("F12")
+@query("F12", f"""WITH {PROBE_SQL}, k AS (SELECT unnest([0, 1, 2]) AS idx)
+SELECT id, duration, idx, CASE WHEN duration < 20 THEN 0 ELSE CAST('0x' || substr(md5(id || ':' || idx || ':42'), 1, 8) AS BIGINT)
+% (CAST(floor(duration - 20) AS BIGINT) + 1) END AS start FROM o CROSS JOIN k WHERE duration >= 20 OR idx = 0""")
 def chunk_plan(t: Tables) -> DataFrame:
     planned = probes(t).select(
         "id", "duration", F.explode(media.chunk_plan("id", "duration")).alias("c")

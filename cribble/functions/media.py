@@ -55,12 +55,14 @@ def chunk_plan(
     """Array of ``struct(idx, start)``: hash-chosen integer starts that leave room for a chunk."""
     d, i = _col(duration), _col(item_id)
     room = F.floor(d - limits.chunk_seconds).cast("long") + 1
+
+    def start(k: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", i.cast("string"), k.cast("string"), F.lit(str(seed))))
+        return F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long") % room
+
     picks = F.transform(
         F.sequence(F.lit(0), F.lit(limits.chunk_count - 1)),
-        lambda k: F.struct(
-            k.alias("idx"),
-            F.pmod(F.xxhash64(i, k, F.lit(seed)), room).alias("start"),
-        ),
+        lambda k: F.struct(k.alias("idx"), start(k).alias("start")),
     )
     whole = F.array(F.struct(F.lit(0).alias("idx"), F.lit(0).cast("long").alias("start")))
     return F.when(d < limits.chunk_seconds, whole).otherwise(picks)
