@@ -78,6 +78,11 @@ def feature_array(diagnostics: Column | str = "diagnostics", embedding: Column |
 def add_features(
     scored: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """Add ``features`` (a vector). ``embed`` may add the ``embedding`` column first."""
+    """Add ``features`` (a vector, null without an embedding).
+
+    ``embed`` may add the ``embedding`` column first.
+    """
     ready = embed(scored) if embed is not None else scored
-    return ready.withColumn("features", array_to_vector(feature_array()))
+    return ready.withColumn(
+        "features", F.when(F.col("embedding").isNotNull(), array_to_vector(feature_array()))
+    )

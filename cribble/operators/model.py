@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +46,12 @@ def train_classifier(
 
 
 def predict(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
-    """Add ``model_probability`` of the positive class and the 0/1 ``prediction``."""
-    out = model.transform(rows)
+    """Add ``model_probability`` of the positive class and the 0/1 ``prediction``.
+
+    Rows without features score as if all were 0; ``score_and_tier`` sets them apart.
+    """
+    zeros = array_to_vector(F.array_repeat(F.lit(0.0), model.numFeatures))
+    out = model.transform(rows.withColumn("features", F.coalesce("features", zeros)))
     return out.withColumn(
         "model_probability", F.get(vector_to_array("probability"), 1)
     ).withColumn("prediction", F.col("prediction").cast("int")).drop(
@@ -61,21 +65,24 @@ def score_and_tier(
 ) -> DataFrame:
     """Add ``tier, tier_error, model_probability, reason, reject_stage`` to feature rows.
 
-    A row without text becomes ERROR_SCORING instead of failing the job. The
-    probability is kept for every tier; only rejects carry the structured reason.
+    A row without text or features becomes ERROR_SCORING instead of failing the
+    job. The probability is kept for every tier; only rejects carry the reason.
     """
-    bad = F.col("text").isNull()
+    no_text, bad = F.col("text").isNull(), F.col("_bad")
     p = F.when(~bad, F.col("model_probability"))
     status = F.when(bad, S.ERROR_SCORING).otherwise(
         tier(p, thresholds.potential, thresholds.borderline)
     )
     rejected = status == S.REJECTED
-    return predict(rows, model).withColumns({
+    marked = rows.withColumn("_bad", no_text | F.col("features").isNull())
+    return predict(marked, model).withColumns({
         "tier": status,
-        "tier_error": F.when(bad, S.MISSING_TRANSCRIPT_MESSAGE),
+        "tier_error": F.when(no_text, S.MISSING_TRANSCRIPT_MESSAGE).when(
+            bad, S.MISSING_FEATURES_MESSAGE
+        ),
         "reason": F.when(rejected, F.struct("model_probability", "diagnostics")),
         "reject_stage": F.when(rejected, "model"),
-    }).withColumn("model_probability", p)
+    }).withColumn("model_probability", p).drop("_bad")
 
 
 def apply_scores(

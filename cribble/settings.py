@@ -46,6 +46,7 @@ BLOCKED_HOST = "buzzsprout.com"
 BLOCKED_HOST_MESSAGE = "host-blocked (buzzsprout)"
 SHORTS_MESSAGE = "youtube_short_skipped"
 MISSING_TRANSCRIPT_MESSAGE = "Missing transcript"
+MISSING_FEATURES_MESSAGE = "Missing features"
 NO_TRANSCRIPT_EXCERPT = "(no transcript available)"
 EMPTY_TRANSCRIPT_EXCERPT = "(empty transcript)"
 

@@ -91,6 +91,10 @@ def test_train_then_score(spark, world):
             if new.rejection_reason:
                 assert new.rejection_reason.model_probability < 0.5
                 assert new.rejection_reason.diagnostics.lexicon_details.msa == 1
+    holes = lambda df: embed(df).withColumn("embedding", F.when(F.col("id") != 0, F.col("embedding")))
+    broken = by_id(stages.score_items(queue, transcripts, LEX, holes, model, NOW))
+    assert (broken[0].status, broken[0].error_msg) == ("ERROR_SCORING", "Missing features")
+    assert {i for i in broken if broken[i] != scored[i]} == {0}
     few = by_id(stages.score_items(queue, transcripts, LEX, embed, model, NOW, limit=20))
     changed = [i for i in few if few[i].status != before[i].status]
     assert changed == sorted(i for i, r in before.items() if r.status == "SCREENED")[:20]
