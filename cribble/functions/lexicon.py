@@ -24,6 +24,9 @@ try:
 except ImportError:  # the built-in plan is used instead
     ahocorasick = None
 
+# Lists the score reads.
+SCORED_LISTS = ("lb", "msa", "egy", "gulf", "sy", "strong_lb_hits")
+
 # The word lists travel inside the plan, so their size is checked. Larger
 # tables go through ``cribble.operators.lexhits``, which joins instead.
 MAX_PLAN_TERMS = 100_000
@@ -74,6 +77,13 @@ class Lexicons:
                 terms.setdefault(r.term, [0] * len(order))[order.index(r.lexicon)] = r.n
         return cls(order, tuple((t, tuple(terms[t])) for t in sorted(terms)))
 
+    def select(self, names: Iterable[str]) -> Lexicons:
+        """The given lists only, in that order; one that is missing is an empty list."""
+        names = tuple(names)
+        at = [self.names.index(n) if n in self.names else None for n in names]
+        kept = ((t, tuple(0 if i is None else c[i] for i in at)) for t, c in self.terms)
+        return Lexicons(names, tuple((t, c) for t, c in kept if any(c)))
+
     def as_array(self) -> Column:
         """The terms as one constant ``array<struct<term, counts>>``."""
         rows = [{"term": t, "counts": list(c)} for t, c in self.terms]
@@ -222,7 +232,7 @@ def lexicon_details(counts: Column, weights: LexiconWeights = LexiconWeights())
     def build(c: Column) -> Column:
         raw = raw_score(c, weights)
         return F.struct(
-            *[c[k].alias(k) for k in ("lb", "msa", "egy", "gulf", "sy", "strong_lb_hits")],
+            *[c[k].alias(k) for k in SCORED_LISTS],
             F.round(dominance_ratio(c["lb"], c["msa"]), 3).alias("msa_ratio_core"),
             raw.alias("raw_score"),
             clamp_score(raw, weights).alias("lexicon_score"),
@@ -238,7 +248,8 @@ def lexicon_score(
     weights: LexiconWeights = LexiconWeights(),
     plan: str = "auto",
 ) -> Column:
-    return lexicon_details(count_matches(text, lexicons, plan), weights)
+    """Counts of the six lists and the score from them; lists of other names are ignored."""
+    return lexicon_details(count_matches(text, lexicons.select(SCORED_LISTS), plan), weights)
 
 
 def final_score(

@@ -121,6 +121,13 @@ def test_final_score_shape(spark):
     assert f.adi is None
 
 
+def test_missing_and_other_lists(spark):
+    lex = Lexicons.from_lists({"other": ["x"], "lb": ["y", "y"]})
+    assert lex.select(["lb", "sy"]) == Lexicons(("lb", "sy"), (("y", (2, 0)),))
+    d = spark.createDataFrame([("xy",)], "text string").select(lexicon_score("text", lex).alias("d")).first().d
+    assert (d.lb, d.sy, d.strong_lb_hits, d.raw_score) == (2, 0, 0, 3.6)
+
+
 def test_table_round_trip_and_size_check(spark):
     rows = [("lb", "a"), ("lb", "a"), ("msa", "a"), ("msa", "b")]
     table = spark.createDataFrame(rows, "lexicon string, term string")
