@@ -65,10 +65,13 @@ def read_lexicons(spark: SparkSession, path: str) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the session names in ``spark.checkpoint.dir``.
 
-    A local folder is used only where that is unset, as in tests.
+    A local folder is used only where that is unset and the master is local, as in
+    tests; on a cluster each executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="cribble-")
     return f"{base.rstrip('/')}/cribble/{name}-{uuid4().hex}"
 

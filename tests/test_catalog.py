@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import compare, connect
+from cribble import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -30,7 +31,7 @@ def check_plan(name, df):
         assert name in ("count_matches_arrow", "count_matches_large_lists", "lexicon_term_hits")
 
 
-@pytest.mark.parametrize("name", list(entry.oracle_sql()))
+@pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_query_equals_its_sql(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     check_plan(name, df)
@@ -39,7 +40,7 @@ def test_query_equals_its_sql(spark, con, name):
     assert problem in (None, "no rows")
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_gives_rows(spark, name):
     df = entry.queries()[name](spark, FOLDER)
     check_plan(name, df)
