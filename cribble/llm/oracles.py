@@ -43,3 +43,68 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, shor
        NOT (short OR repetitive) AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept
 FROM f
 """
+
+SQL["op1_line_dedup"] = r"""
+WITH l AS (
+  SELECT r, doc_id, i, s[i] AS line,
+         translate(regexp_replace(regexp_replace(s[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, s, unnest(range(1, len(s) + 1)) AS i
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+bad AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(bad.k) FILTER (WHERE bad.last <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE bad.k IS NULL OR bad.last = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN bad USING (k) GROUP BY r, doc_id
+"""
+
+SQL["op6_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17') AS o
+  FROM documents),
+s AS (
+  SELECT source, n, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source)),
+f AS (
+  SELECT *, 1.5::DOUBLE * sum(n) OVER () - coalesce(sum(2 * n) OVER b, 0) AS rest,
+         sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS weight, row_number() OVER (ORDER BY 2 * n / w, source NULLS LAST) AS k
+  FROM s WINDOW b AS (ORDER BY 2 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT min(k) AS k FROM f WHERE w * rest / weight <= 2 * n),
+t AS (
+  SELECT source, n, CASE WHEN f.k < c.k THEN 2.0::DOUBLE * n
+         ELSE w * (SELECT g.rest / g.weight FROM f AS g, c AS h WHERE g.k = h.k) END AS target
+  FROM f, c),
+p AS (
+  SELECT d.*, n, target, CAST(round_even(target, 0) AS BIGINT) AS q,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, n AS source_size, target,
+       CAST(CASE WHEN n = 0 THEN 0 ELSE q // n * size + greatest(0, least(size, q % n - before)) END AS BIGINT) AS taken
+FROM p
+"""
+
+SQL["op5_decontamination"] = r"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+g AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+c AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+m AS (SELECT r, i, n, item_id FROM c JOIN g USING (n, g)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+k AS (
+  SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)
+"""

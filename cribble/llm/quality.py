@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribble.llm.shared import WORD_GAP, settle
+from cribble.operators.ranking import broadcast_if_small
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -127,12 +128,12 @@ def quality_verdicts(transcripts: DataFrame, source_limit: float = SOURCE_LIMIT)
     are judged by themselves. Repeated rows are judged one by one.
     """
     measured = settle(measures(transcripts), "quality")
-    failing = source_rates(measured).groupBy("source").agg(
-        (F.max("rate") > source_limit).alias("source_failed"))
+    failing = broadcast_if_small(source_rates(measured).where(F.col("rate") > source_limit)
+                                 .select("source", F.lit(True).alias("source_failed")).distinct())
     rules = _failures()
     base = rules["short"] | rules["repetitive"]
-    # Counts only go through this join, no texts; AQE broadcasts a short list of sources
-    # by its measured size and splits a hot source otherwise.
+    # Failing sources are counted before they are broadcast; beyond that limit the counts
+    # (no texts) are joined by shuffle, where AQE splits a hot source.
     return measured.join(failing, "source", "left").select(
         "id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"),

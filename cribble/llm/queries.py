@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cribble.llm import oracles
+from cribble.llm.contamination import find_contamination
+from cribble.llm.language import fit_language_tagger, tag_language
+from cribble.llm.line_dedup import drop_shared_lines
+from cribble.llm.mixing import mix_sources
+from cribble.llm.phrase_dedup import remove_repeated_phrases
 from cribble.llm.quality import quality_verdicts
+from cribble.llm.suffix_dedup import remove_repeated_bytes
 from cribble.llm.url_filter import url_verdicts
 
 URL_RULES = (
@@ -16,6 +22,8 @@ URL_RULES = (
     ("allow", "com/fr/"), ("block", "com/de/"),
 )
 
+MIX_WEIGHTS = [5.0, 2.0, 1.0]
+
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,19 +34,59 @@ def _texts(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     return _read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", *more)
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_shared_lines(_texts(spark, folder)).select(
+        F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(_texts(spark, folder, "source")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", "kept")
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _texts(spark, folder, "lang")
+    held_out = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) == 2
+    net = fit_language_tagger(documents.where(~held_out).select("text", F.col("lang").alias("language")))
+    return tag_language(documents, net).select(
+        F.col("id").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        F.col("language").alias("lang_pred"), F.col("language_probability").alias("score"))
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    found = find_contamination(_texts(spark, folder), _read(spark, folder, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix_sources(_texts(spark, folder, F.array("source").alias("sources")), MIX_WEIGHTS)
+    return mixed.select(
+        F.col("id").alias("doc_id"), "size", F.get("source_sizes", F.lit(0)).alias("source_size"),
+        F.get("targets", F.lit(0)).alias("target"), "taken")
+
+
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeated_bytes(_texts(spark, folder)).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_phrase_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeated_phrases(_texts(spark, folder)).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = _read(spark, folder, "pages").select(F.col("page_id").alias("id"), "url")
     return url_verdicts(pages, URL_RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_rules, op10_url_filters]
+    found = [op1_line_dedup, op2_quality_rules, op3_language_id, op5_decontamination, op6_mixing,
+             op8_suffix_dedup, op9_phrase_dedup, op10_url_filters]
     return {f.__name__: f for f in found}
 
 

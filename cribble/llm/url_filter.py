@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cribble.llm.shared import settle
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-_:?=&"
 #: One symbol for the start of a URL and for any other character, so a context
 #: of two symbols and what follows it make ``SYMBOLS ** 3`` cells whatever the corpus.
@@ -151,8 +153,9 @@ def url_verdicts(queue: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFram
     labelled = rows.where(F.col("_m").isNotNull()).select(
         "url", (F.col("_m.verdict") == "allow").alias("accepted"))
     half = F.pmod(F.crc32("url"), F.lit(2))
-    model = language_model(labelled.where(half == 0))
-    cut = threshold(_score(labelled.where(half == 1), model))
+    # Both are one row; settled, they are worked out once for all that reads them.
+    model = settle(language_model(labelled.where(half == 0)), "url_model")
+    cut = settle(threshold(_score(labelled.where(half == 1), model)), "url_cut")
     scored = _score(rows, model).withColumn("cut", cut.scalar())
     by_model = F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block")
     return scored.select("id", "host", "path", F.col("_m.rule").alias("rule"),
