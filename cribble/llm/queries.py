@@ -14,8 +14,10 @@ from cribble.llm.line_dedup import drop_shared_lines
 from cribble.llm.mixing import mix_sources
 from cribble.llm.phrase_dedup import remove_repeated_phrases
 from cribble.llm.quality import quality_verdicts
+from cribble.llm.set_join import similar_components
 from cribble.llm.suffix_dedup import remove_repeated_bytes
 from cribble.llm.url_filter import url_verdicts
+from cribble.llm.warc import read_archives, write_archives
 
 URL_RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -54,6 +56,12 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
         F.col("language").alias("lang_pred"), F.col("language_probability").alias("score"))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _read(spark, folder, "pages").select(F.col("page_id").alias("id"), "url", F.col("html").alias("body"))
+    return read_archives(write_archives(pages)).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     found = find_contamination(_texts(spark, folder), _read(spark, folder, "benchmark"))
@@ -69,6 +77,11 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
         F.get("targets", F.lit(0)).alias("target"), "taken")
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_components(_texts(spark, folder)).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated_bytes(_texts(spark, folder)).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -85,8 +98,8 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_quality_rules, op3_language_id, op5_decontamination, op6_mixing,
-             op8_suffix_dedup, op9_phrase_dedup, op10_url_filters]
+    found = [op1_line_dedup, op2_quality_rules, op3_language_id, op4_warc, op5_decontamination,
+             op6_mixing, op7_jaccard_join, op8_suffix_dedup, op9_phrase_dedup, op10_url_filters]
     return {f.__name__: f for f in found}
 
 
