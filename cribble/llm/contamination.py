@@ -87,9 +87,9 @@ def _scan(spans: list[int], bits: np.ndarray, shift: int):
                     [pa.array(c.view(np.int64).astype(k)) for c, k in zip(columns, kinds)],
                     ["start", "span", "low", "h1", "h2"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(first)),
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(first)),
                      pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items)],
-                    ["id", "n_words", "windows"])
+                    ["id", "text_hash", "n_words", "windows"])
 
     return run
 
@@ -104,7 +104,8 @@ def find_contamination(
     ASCII included, without case (A-Z). The windows of an item are its ``span``
     consecutive words; an item with fewer words is one window, one without words none.
 
-    Returns one row per transcript row: ``id, n_words, n_hit`` (words inside an
+    Returns one row per transcript row: ``id, text_hash`` (which tells rows with
+    the same id apart), ``n_words, n_hit`` (words inside an
     occurrence of any window), ``items`` (sorted distinct ids of items with
     such windows), ``contaminated`` (a hit, and ``min_percent`` of the words or
     more hit). A null or empty text has no words. Repeated rows are judged one
@@ -129,9 +130,9 @@ def find_contamination(
     np.bitwise_or.at(bits, set_cells >> 3, (1 << (set_cells & 7)).astype(np.uint8))
     spans = sorted(r.span for r in known.select("span").distinct().collect())  # at most ``span`` values
 
-    texts = transcripts.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = transcripts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    scanned = texts.mapInArrow(_scan(spans, bits, 64 - width), f"id {kind}, n_words bigint, windows array<struct<{WINDOW.replace(' ', ':').replace(',:', ',')}>>")
+    scanned = texts.mapInArrow(_scan(spans, bits, 64 - width), f"id {kind}, text_hash bigint, n_words bigint, windows array<struct<{WINDOW.replace(' ', ':').replace(',:', ',')}>>")
     rows = settle(scanned.withColumn("row", F.monotonically_increasing_id()), "contamination")
     occurring = rows.select("row", F.inline("windows")).join(known, ["span", "low", "h1", "h2"])
     per_text = occurring.groupBy("row").agg(
@@ -144,5 +145,5 @@ def find_contamination(
     found = per_text.select("row", hit.cast("bigint").alias("n_hit"), "items")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return rows.drop("windows").join(found, "row", "left").select(
-        "id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast(f"array<{schema}>")).alias("items"),
+        "id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast(f"array<{schema}>")).alias("items"),
         ((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * min_percent)).alias("contaminated"))

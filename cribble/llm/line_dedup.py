@@ -8,7 +8,7 @@ then sent to the shard that owns them and look themselves up there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -182,24 +182,26 @@ def _rewriting(min_length: int):
                 lost.append(len(lines) - len(kept))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()),
-                 pa.array(n, pa.int64()), pa.array(lost, pa.int64())], ["id", "text", "n_lines", "n_dropped"])
+                 pa.array(n, pa.int64()), pa.array(lost, pa.int64()), batch.column(3)],
+                ["id", "text", "n_lines", "n_dropped", "carried"])
 
     return run
 
 
 def drop_shared_lines(
     transcripts: DataFrame, min_length: int = MIN_LENGTH, min_texts: int = MIN_TEXTS,
-    shard_keys: int = SHARD_KEYS,
+    shard_keys: int = SHARD_KEYS, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Keep each line that many transcripts share only in the transcript with the largest id.
 
-    ``transcripts``: ``id, text``; other columns are ignored. Lines end at
+    ``transcripts``: ``id, text``; of other columns, those named in ``carry`` come
+    along in a struct ``carried``. Lines end at
     ``\\n``; they are equal when they agree without white space at both ends and
     without case (A-Z). Lines of ``min_length`` characters or more that stand in
     ``min_texts`` transcripts or more lose all copies but those in the last.
 
     Returns one row per input row: ``id, text`` (the lines left), ``n_lines``
-    (before), ``n_dropped``. A null or empty text is one empty line. A null id
+    (before), ``n_dropped, carried``. A null or empty text is one empty line. A null id
     counts as the smallest id. Each row counts as a transcript; rows with the
     same id keep or lose the same lines.
 
@@ -208,8 +210,9 @@ def drop_shared_lines(
     """
     spark = transcripts.sparkSession
     rows = transcripts.select(F.coalesce(F.col("id").cast("bigint"), F.lit(NULL_ID)).alias("id"),
-                              F.coalesce("text", F.lit("")).alias("text"))
-    pairs = settle(rows.mapInArrow(_hashing(min_length), COLUMNS), "lines")
+                              F.coalesce("text", F.lit("")).alias("text"),
+                              F.struct(*(carry or [F.lit(True).alias("none")])).alias("carried"))
+    pairs = settle(rows.select("id", "text").mapInArrow(_hashing(min_length), COLUMNS), "lines")
     # Partial counts leave one row per hash and task, however often a line occurs.
     held = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id"))
     index = settle(held.where(F.col("n") >= min_texts), "line_index")
@@ -234,6 +237,7 @@ def drop_shared_lines(
     if len(hot[0]):
         lost = lost.unionByName(pairs.mapInArrow(_hot_probing(hot, min_texts), COLUMNS))
     drops = lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
-    return rows.join(drops, "id", "left").select("id", "text", "drop").mapInArrow(
-        _rewriting(min_length), "id bigint, text string, n_lines bigint, n_dropped bigint",
+    kind = rows.schema["carried"].dataType.simpleString()
+    return rows.join(drops, "id", "left").select("id", "text", "drop", "carried").mapInArrow(
+        _rewriting(min_length), f"id bigint, text string, n_lines bigint, n_dropped bigint, carried {kind}",
     ).withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id")))

@@ -70,7 +70,7 @@ def measures(transcripts: DataFrame) -> DataFrame:
     rows = transcripts.select("id", "source", text.alias("text"))
     rows = rows.withColumn("w", F.explode(F.array(words_of(F.col("text")))))  # evaluated once
     return rows.select(
-        "id", "source",
+        "id", "source", F.xxhash64("text").alias("text_hash"),
         F.size("w").cast("bigint").alias("n_words"),
         F.length(F.regexp_replace("text", WORD_GAP, "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
@@ -122,9 +122,9 @@ def quality_verdicts(transcripts: DataFrame, source_limit: float = SOURCE_LIMIT)
     source fails when its shrunk rate of failures exceeds ``source_limit`` for
     any rule; its texts then go as well.
 
-    Returns one row per input row: ``id, source, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, source_failed, kept``. A null or
-    empty text has no words and fails. A null source is no source: its texts
+    Returns one row per input row: ``id, source, text_hash, n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words, base_failed, source_failed, kept``
+    (``text_hash`` tells rows with the same id apart). A null or empty text has no words and fails. A null source is no source: its texts
     are judged by themselves. Repeated rows are judged one by one.
     """
     measured = settle(measures(transcripts), "quality")
@@ -135,7 +135,7 @@ def quality_verdicts(transcripts: DataFrame, source_limit: float = SOURCE_LIMIT)
     # Failing sources are counted before they are broadcast; beyond that limit the counts
     # (no texts) are joined by shuffle, where AQE splits a hot source.
     return measured.join(failing, "source", "left").select(
-        "id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "id", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"),
         F.coalesce("source_failed", F.lit(False)).alias("source_failed"),
         (~base & ~F.coalesce("source_failed", F.lit(False))).alias("kept"),

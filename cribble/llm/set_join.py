@@ -314,9 +314,11 @@ def similar_components(transcripts: DataFrame, percent: int = PERCENT, width: in
     separated by ASCII white space, without case (A-Z); a set holds the distinct
     runs of ``width`` words, of a text with fewer words all of them as one.
 
-    Returns one row per input row: ``id, n_shingles, component`` (the smallest
-    id reachable over links, its own included). A null or empty text has an
-    empty set and links with nothing. A null id is the smallest id. Repeated
+    Returns one row per input row: ``id, text_hash, n_shingles, component`` (the
+    smallest id reachable over links, its own included) and ``representative``:
+    whether this id and text are the least of the component, so that exactly one
+    text of each component has it. A null or empty text has an empty set, links
+    with nothing and represents itself. A null id is the smallest id. Repeated
     rows have equal sets and so share a component. An empty table gives none.
     """
     texts = keyed(transcripts).select("id", F.xxhash64("text").alias("print"), "text")
@@ -360,10 +362,11 @@ def similar_components(transcripts: DataFrame, percent: int = PERCENT, width: in
     checked = compare_with_leaders(held, pairs.where("NOT sure").select("leader", "id"), width, percent, False)
     more = checked.where("linked IS NOT NULL").select("id", "leader").unionByName(pairs.where("sure").select("id", "leader"))
     whole = components(links.unionByName(more.toDF("a", "b")), "components")
-    placed_sets = same.select("s1", "s2", F.col("id").alias("first"), F.col("node").alias("id")).join(whole, "id", "left") \
-        .select("s1", "s2", "first", F.coalesce("comp", "id").alias("comp"))
-    smallest = placed_sets.groupBy("comp").agg(F.min("first").alias("component"))
-    of_set = placed_sets.join(smallest, "comp").select("s1", "s2", "component")
-    found = sets.join(of_set, ["s1", "s2"], "left").withColumn("component", F.coalesce("component", "id"))
-    return found.select(id_or_null("id").alias("id"), F.col("n").cast("bigint").alias("n_shingles"),
-                        id_or_null("component").alias("component"))
+    placed_sets = same.select("s1", "s2", F.struct("id", "print").alias("first"), F.col("node").alias("id")) \
+        .join(whole, "id", "left").select("s1", "s2", "first", F.coalesce("comp", "id").alias("comp"))
+    smallest = placed_sets.groupBy("comp").agg(F.min("first").alias("first"))
+    of_set = placed_sets.drop("first").join(smallest, "comp").select("s1", "s2", "first")
+    found = sets.join(of_set, ["s1", "s2"], "left").withColumn("component", F.coalesce("first.id", "id"))
+    own = F.coalesce((F.col("first.id") == F.col("id")) & (F.col("first.print") == F.col("print")), F.lit(True))
+    return found.select(id_or_null("id").alias("id"), F.col("print").alias("text_hash"), F.col("n").cast("bigint").alias("n_shingles"),
+                        id_or_null("component").alias("component"), own.alias("representative"))
