@@ -108,3 +108,65 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)
 """
+
+SQL["op10_url_filters"] = r"""
+WITH u AS (
+  SELECT row_number() OVER () AS r, page_id, url,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         list_transform(string_split(chr(10) || chr(10) || translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+                        lambda c: instr('abcdefghijklmnopqrstuvwxyz0123456789/.-_:?=&', c)) AS s
+  FROM pages),
+rules(v, h, p) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (
+  SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+x AS (
+  SELECT u.*, rule, v, list_transform(range(1, len(s) - 1), lambda i: s[i] * 2025 + s[i + 1] * 45 + s[i + 2]) AS cells
+  FROM u LEFT JOIN m USING (r)),
+t AS (SELECT v = 'allow' AS a, instr('13579bdf', right(md5(url), 1)) > 0 AS odd, cells FROM x WHERE v IS NOT NULL),
+seen AS (SELECT a, cell, count(*) AS n FROM (SELECT a, unnest(cells) AS cell FROM t WHERE NOT odd) GROUP BY a, cell),
+g AS (
+  SELECT c.a, i.cell, coalesce(n, 0) AS n3, i.cell // 45 AS ctx, i.cell % 2025 AS pair, (i.cell // 45) % 45 AS mid, i.cell % 45 AS c
+  FROM (SELECT unnest([true, false]) AS a) AS c CROSS JOIN (SELECT unnest(range(0, 91125)) AS cell) AS i
+  LEFT JOIN seen ON seen.a = c.a AND seen.cell = i.cell),
+g2 AS (SELECT a, pair, mid, c, CAST(sum(n3) AS BIGINT) AS n2 FROM g GROUP BY ALL),
+g1 AS (SELECT a, c, CAST(sum(n2) AS BIGINT) AS n1 FROM g2 GROUP BY ALL),
+g0 AS (SELECT a, CAST(sum(n1) AS BIGINT) AS n0, count_if(n1 > 0) AS t0 FROM g1 GROUP BY a),
+p1 AS (
+  SELECT a, c, CASE WHEN n0 = 0 THEN 1::DOUBLE / 45 ELSE (n1 + t0 * (1::DOUBLE / 45)) / (n0 + t0) END AS p1
+  FROM g1 JOIN g0 USING (a)),
+o2 AS (SELECT a, mid, CAST(sum(n2) AS BIGINT) AS m, count_if(n2 > 0) AS t FROM g2 GROUP BY a, mid),
+p2 AS (
+  SELECT a, pair, CASE WHEN m = 0 THEN p1 ELSE (n2 + t * p1) / (m + t) END AS p2
+  FROM g2 JOIN o2 USING (a, mid) JOIN p1 USING (a, c)),
+o3 AS (SELECT a, ctx, CAST(sum(n3) AS BIGINT) AS m, count_if(n3 > 0) AS t FROM g GROUP BY a, ctx),
+p3 AS (
+  SELECT a, cell, CASE WHEN m = 0 THEN p2 ELSE (n3 + t * p2) / (m + t) END AS p3
+  FROM g JOIN o3 USING (a, ctx) JOIN p2 USING (a, pair)),
+model AS (
+  SELECT list(r ORDER BY cell) AS w FROM (
+    SELECT cell, CAST(round((max(ln(p3)) FILTER (WHERE a) - max(ln(p3)) FILTER (WHERE NOT a)) * 1000000) AS BIGINT) AS r
+    FROM p3 GROUP BY cell)),
+scored AS (
+  SELECT page_id, host, path, rule, v, odd, CASE WHEN n = 0 THEN 0 ELSE CAST(trunc(total / n) AS BIGINT) END AS score
+  FROM (SELECT x.*, instr('13579bdf', right(md5(url), 1)) > 0 AS odd, len(cells) AS n,
+               CAST(coalesce(list_sum(list_transform(cells, lambda i: w[i + 1])), 0) AS BIGINT) AS total FROM x, model)),
+bins AS (
+  SELECT CAST(floor(score / 10000.0::DOUBLE) AS BIGINT) AS bin, count_if(v = 'allow') AS good, count_if(v = 'block') AS bad
+  FROM scored WHERE v IS NOT NULL AND odd GROUP BY 1),
+edges AS (
+  SELECT bin, (tg - gb)::DOUBLE / tg + bb::DOUBLE / tb AS gain
+  FROM (SELECT bin, sum(good) OVER () AS tg, sum(bad) OVER () AS tb,
+               coalesce(sum(good) OVER w, 0) AS gb, coalesce(sum(bad) OVER w, 0) AS bb
+        FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WHERE tg > 0 AND tb > 0),
+cut AS (
+  SELECT coalesce((SELECT b[(len(b) - 1) // 2 + 1] * 10000 FROM (
+    SELECT list(bin ORDER BY bin) AS b FROM edges WHERE gain = (SELECT max(gain) FROM edges))), 0) AS cut)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
+FROM scored, cut
+"""

@@ -152,7 +152,7 @@ def url_verdicts(queue: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFram
     rows = rows.withColumn("_m", matched_rule(F.col("host"), F.col("path"), rules))
     labelled = rows.where(F.col("_m").isNotNull()).select(
         "url", (F.col("_m.verdict") == "allow").alias("accepted"))
-    half = F.pmod(F.crc32("url"), F.lit(2))
+    half = F.expr("if(instr('13579bdf', right(md5(url), 1)) > 0, 1, 0)")
     # Both are one row; settled, they are worked out once for all that reads them.
     model = settle(language_model(labelled.where(half == 0)), "url_model")
     cut = settle(threshold(_score(labelled.where(half == 1), model)), "url_cut")
