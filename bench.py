@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -24,11 +25,12 @@ HEADLINE = (
     "quota_per_class", "stratified_sample", "stratified_split",
     "classification_report", "roc_auc_skewed", "tier_precision", "threshold_sweep",
     "value_profile", "feature_vectors", "classifier_weights", "scored_tiers",
-    "drain_clicks", "dedup_stream",
+    "drain_clicks", "dedup_stream", "distinct_url_stream",
+    "lexicon_term_hits_by_join", "lexical_negatives_flat", "holdout_report", "text_embeddings",
 )
 
 
-def session(cpus: str):
+def session(cpus: str, shared: str):
     from pyspark.sql import SparkSession
 
     spark = (
@@ -36,6 +38,7 @@ def session(cpus: str):
         .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .getOrCreate()
     )
@@ -46,17 +49,22 @@ def session(cpus: str):
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     only = os.environ.get("BENCH_ONLY")
-    spark = session(os.environ.get("BENCH_CPUS", "8"))
+    shared = tempfile.TemporaryDirectory(prefix="bench-")
+    spark = session(os.environ.get("BENCH_CPUS", "8"), shared.name)
     from cribble import catalog
+    from cribble.sources.tables import clear_materialized
 
     registered = catalog.queries()
     times: dict[str, float] = {}
     spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_returnflag").count().collect()
+    # Start-up of text scans and of Python workers is no query's own time.
+    registered["count_matches_arrow"](spark, folder).write.format("noop").mode("overwrite").save()
     for name in only.split(",") if only else HEADLINE:
         start = time.perf_counter()
         registered[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         spark.catalog.clearCache()
+        clear_materialized(spark)
     print(json.dumps({
         "metric": "total seconds of the headline queries", "value": round(sum(times.values()), 3),
         "unit": "sec", "queries": times, "sf": os.path.basename(folder.rstrip("/")),

@@ -9,7 +9,7 @@ from cribble.catalog.queueing import BASE_SQL, base, candidates
 from cribble.catalog.registry import QUEUE_SQL, Tables, now, query, queue
 from cribble.catalog.urls import GATE_SQL
 from cribble.operators import backfill, discover, ingest
-from cribble.plans.stages import discover_feed_episodes
+from cribble.plans.stages import discover_clips, discover_feed_episodes, discover_videos
 from cribble.sources import dumps, feeds
 
 # Feeds: ten parts each, every seventh feed cut short so that it does not parse.
@@ -77,6 +77,31 @@ def atom_items(t: Tables) -> DataFrame:
     return feeds.atom_items(docs).select("channel_id", "source_pos", "item_pos", "url", "title")
 
 
+@query("S4, P7", """WITH x AS (SELECT p_partkey, p_partkey % 3 AS kind, 'http://a/' || p_partkey || '.mp3' AS audio FROM part)
+SELECT 'http://feed/' || p_partkey AS feed_url, 'g' || p_partkey AS guid, CASE WHEN kind < 2 THEN audio END AS enc,
+'http://l/' || p_partkey AS link, CASE WHEN kind < 2 THEN audio END AS audio FROM x""")
+def other_feed_items(t: Tables) -> DataFrame:
+    """Atom feeds with enclosures, and feeds whose items stand beside the channel."""
+    from cribble.functions.urls import pick_audio_url
+
+    key = F.col("p_partkey").cast("string")
+    audio = F.concat(F.lit("http://a/"), key, F.lit(".mp3"))
+    atom = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>c</title><entry><id>g'), key, F.lit('</id><link href="http://l/'), key,
+        F.lit('"/><link rel="enclosure" type="audio/mpeg" href="'), audio, F.lit('"/></entry></feed>'))
+    outer = F.concat(
+        F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><channel><title>c</title></channel><item rdf:about="g'), key,
+        F.lit('"><link>http://l/'), key, F.lit("</link>"),
+        F.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('<enclosure url="'), audio, F.lit('" type="t"/>'))).otherwise(F.lit("")),
+        F.lit("</item></rdf:RDF>"))
+    docs = t.part.select(
+        F.concat(F.lit("http://feed/"), key).alias("feed_url"), F.col("p_partkey").alias("source_pos"),
+        F.when(F.col("p_partkey") % 3 == 0, atom).otherwise(outer).alias("xml"))
+    return feeds.rss_items(docs).select(
+        "feed_url", "guid", F.get("enclosures", 0)["href"].alias("enc"), F.get("links", 0)["href"].alias("link"),
+        pick_audio_url("enclosures", "links").alias("audio"))
+
+
 # Listings: one JSON page per order, its lines as entries.
 def listing_pages(t: Tables) -> DataFrame:
     entry = F.struct(F.col("l_linenumber").alias("o"), F.struct(F.concat(
@@ -102,6 +127,11 @@ def playlist_entries(t: Tables) -> DataFrame:
     return dumps.playlist_entries(listing_pages(t), n=3).select("source_pos", "item_pos", "url")
 
 
+@query("S5", f"WITH {LISTING_SQL} SELECT source_pos, CAST(item_pos AS BIGINT) AS item_pos, url FROM li WHERE contains(url, 'tiktok.com')")
+def playlist_all(t: Tables) -> DataFrame:
+    return dumps.playlist_entries(listing_pages(t)).select("source_pos", "item_pos", "url")
+
+
 def _json_rows(t: Tables, body, key: str = "c_custkey") -> DataFrame:
     return t.customer.select(F.col(key).alias("source_pos"), F.concat(F.lit("q"), F.col("c_nationkey").cast("string")).alias("query"), F.to_json(body).alias("json"))
 
@@ -166,6 +196,39 @@ def relevant_feed_list(t: Tables) -> DataFrame:
     return discover.merge_sorted_distinct(kept, t.nation.selectExpr("'http://known/' || n_nationkey AS url"))
 
 
+def _new_only(t: Tables, after: DataFrame) -> DataFrame:
+    return after.join(t.orders.selectExpr("o_orderkey AS id"), "id", "left_anti")
+
+
+@query("S6, U1, J1, F18", f"""WITH {QUEUE_SQL}, c AS (SELECT 0 AS part, c_custkey AS sp, c_custkey % 3 AS ip, 'https://www.youtube.com/watch?v=' || (c_custkey % 500) AS url,
+'ch' || c_nationkey AS channel_id, 'q' || c_nationkey AS query FROM customer
+UNION ALL SELECT 1, s_suppkey, 0, 'https://www.youtube.com/watch?v=' || (s_suppkey * 3), 'up' || s_nationkey, NULL FROM supplier
+UNION ALL SELECT 2, p_partkey, 0, 'http://v/' || p_size, 'UC' || p_brand, NULL FROM part),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY part, sp, ip) AS rn FROM c) WHERE rn = 1 AND url NOT IN (SELECT url FROM q))
+SELECT (SELECT max(id) FROM q) + row_number() OVER (ORDER BY part, sp, ip, url) AS id, url, 'youtube' AS platform, channel_id, query FROM f""")
+def video_discovery(t: Tables) -> DataFrame:
+    searched = t.customer.selectExpr(
+        "CAST(c_custkey % 500 AS STRING) AS video_id", "'ch' || c_nationkey AS channel", "'q' || c_nationkey AS query",
+        "c_custkey AS source_pos", "c_custkey % 3 AS item_pos")
+    uploads = t.supplier.selectExpr("CAST(s_suppkey * 3 AS STRING) AS video_id", "'up' || s_nationkey AS channel", "s_suppkey AS source_pos", "0L AS item_pos")
+    channel_feeds = t.part.selectExpr("'http://v/' || p_size AS url", "'UC' || p_brand AS channel_id", "p_partkey AS source_pos", "0L AS item_pos")
+    return _new_only(t, discover_videos(queue(t), searched, uploads, channel_feeds, now())).select(
+        "id", "url", "platform", F.col("source_metadata")["channel_id"].alias("channel_id"), F.col("source_metadata")["query"].alias("query"))
+
+
+@query("U4, J1", f"""WITH {QUEUE_SQL}, c AS (SELECT 'https://www.tiktok.com/' || (user_id % 97) AS url, event_id % 2 AS part, user_id AS sp, event_id AS ip,
+event_type AS tag, 'u' || user_id AS usr FROM events),
+g AS (SELECT url, min(part * 1000000000000000 + sp * 1000000000 + ip) AS o, arg_max(tag, sp * 1000000000 + ip) FILTER (WHERE part = 0) AS hashtag,
+arg_max(usr, sp * 1000000000 + ip) FILTER (WHERE part = 1) AS user_name FROM c GROUP BY url)
+SELECT (SELECT max(id) FROM q) + row_number() OVER (ORDER BY o) AS id, url, hashtag, user_name FROM g""")
+def clip_discovery(t: Tables) -> DataFrame:
+    place = ["'https://www.tiktok.com/' || (user_id % 97) AS url", "user_id AS source_pos", "event_id AS item_pos"]
+    by_tag = t.events.where("event_id % 2 = 0").selectExpr(*place, "event_type AS tag")
+    by_user = t.events.where("event_id % 2 = 1").selectExpr(*place, "'u' || user_id AS user")
+    return _new_only(t, discover_clips(queue(t), by_tag, by_user, now())).select(
+        "id", "url", F.col("source_metadata")["hashtag"].alias("hashtag"), F.col("source_metadata")["user"].alias("user_name"))
+
+
 # --- De-duplication and caps ----------------------------------------------
 
 @query("W1", f"""WITH {BASE_SQL} SELECT url, CAST(source_pos AS BIGINT) AS source_pos, item_pos, tag FROM ranked WHERE rn = 1""")

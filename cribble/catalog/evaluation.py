@@ -32,7 +32,7 @@ def classification_report(t: Tables) -> DataFrame:
 
 
 AUC = """SELECT round((sum(CASE WHEN label = 1 THEN r END) - p * (p + 1) / 2) / (CAST(p AS DOUBLE) * n), 6) AS auc,
-p AS positives, n AS negatives FROM (SELECT label, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r,
+p AS positives, n AS negatives, CAST(0 AS BIGINT) AS unscored FROM (SELECT label, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r,
 count(*) FILTER (WHERE label = 1) OVER () AS p, count(*) FILTER (WHERE label = 0) OVER () AS n FROM x) GROUP BY p, n"""
 
 
@@ -68,6 +68,14 @@ def tier_precision_clear(t: Tables) -> DataFrame:
     return rounded(ev.tier_precision(judged(t), count_unclear=False))
 
 
+@query("A10, A11", f"""WITH {JUDGED_SQL}, a AS (SELECT status, count(*) AS n, count(*) FILTER (WHERE probability >= 0.75e0) AS predicted,
+count(*) FILTER (WHERE {POS}) AS positive, count(*) FILTER (WHERE probability >= 0.75e0 AND {POS}) AS tp,
+count(*) FILTER (WHERE probability >= 0.75e0 AND NOT {POS}) AS fp FROM j WHERE ground_truth <> 'unclear' GROUP BY 1)
+SELECT *, round(CASE WHEN predicted > 0 THEN tp / predicted ELSE 0e0 END, 6) AS precision FROM a""")
+def tier_at_threshold(t: Tables) -> DataFrame:
+    return rounded(ev.tier_at_threshold(judged(t)))
+
+
 @query("A11", f"""WITH {JUDGED_SQL}, th AS (SELECT unnest([0.50e0, 0.60e0, 0.70e0, 0.75e0, 0.80e0, 0.85e0, 0.90e0]) AS threshold),
 c AS (SELECT threshold, count(*) FILTER (WHERE probability >= threshold AND {POS}) AS tp,
 count(*) FILTER (WHERE probability >= threshold AND NOT {POS}) AS fp, count(*) FILTER (WHERE probability < threshold AND {POS}) AS fn,

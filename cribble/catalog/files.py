@@ -17,6 +17,7 @@ from cribble.catalog.registry import (
 )
 from cribble.functions.urls import stable_name
 from cribble.operators import files, reports
+from cribble.operators.queue import apply_conversions
 from cribble.plans.stages import annotation_sample
 from cribble.sources.annotations import read_annotations, write_annotations, write_sample
 from cribble.sources.tables import read_contrastive, read_queue, scratch_path, write_queue
@@ -70,6 +71,13 @@ def conversion_outcomes(t: Tables) -> DataFrame:
     return converted(t).select("id", "outcome", "audio_path")
 
 
+@query("P18, X4", f"""WITH {CONV_SQL} SELECT q.id, q.status, CASE WHEN w.outcome = 'ok' THEN left(q.audio_path, length(q.audio_path) - 4) || '.flac'
+ELSE q.audio_path END AS audio_path, CAST(q.last_update_at AS STRING) AS last_update_at FROM q LEFT JOIN w ON q.id = w.id""")
+def conversions_applied(t: Tables) -> DataFrame:
+    done = converted(t).where("outcome = 'ok'").select("id", "audio_path")
+    return apply_conversions(queue(t), done).select("id", "status", "audio_path", *as_text("last_update_at"))
+
+
 @query("A7", f"WITH {CONV_SQL} SELECT " + ", ".join(
     f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ("ok", "missing", "encode_fail", "verify_fail")) + ", count(*) AS total FROM w")
 def conversion_report(t: Tables) -> DataFrame:

@@ -19,20 +19,19 @@ from cribble.operators.features import (
 )
 from cribble.operators.labels import training_set
 from cribble.operators.sampling import stratified_split
-from cribble.sources.tables import scratch_path
+from cribble.sources.tables import materialize, scratch_path
 
 DIM = 64
 
 
-@query("J5", """SELECT d.doc_id AS id, CAST(64 AS INT) AS dim, round(CASE WHEN d.doc_id % 6 = 0 OR e.vec_id IS NULL THEN 0e0
-ELSE CAST(e.embedding[1] AS DOUBLE) END, 6) AS v0, round(CASE WHEN d.doc_id % 6 = 0 OR e.vec_id IS NULL THEN 0e0
-ELSE CAST(e.embedding[64] AS DOUBLE) END, 6) AS v63 FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id""")
+@query("J5", """SELECT d.doc_id AS id, CAST(i AS INT) AS i, round(CASE WHEN d.doc_id % 6 = 0 OR e.vec_id IS NULL THEN 0e0
+ELSE CAST(e.embedding[i + 1] AS DOUBLE) END, 6) AS v FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id,
+(SELECT unnest(range(64)) AS i)""")
 def attached_embeddings(t: Tables) -> DataFrame:
+    """Every component is compared, one row each."""
     items = t.texts.selectExpr("doc_id AS id", "CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE text END AS text")
     joined = attach_embeddings(items, t.embeddings.withColumnRenamed("vec_id", "id"), DIM)
-    return joined.select(
-        "id", F.size("embedding").alias("dim"), F.round(F.get("embedding", 0), 6).alias("v0"),
-        F.round(F.get("embedding", 63), 6).alias("v63"))
+    return joined.select("id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
 def featured(t: Tables, items: DataFrame) -> DataFrame:
@@ -40,15 +39,15 @@ def featured(t: Tables, items: DataFrame) -> DataFrame:
     return add_features(items, lambda d: attach_embeddings(d, vectors, DIM))
 
 
-@query("F11", f"""{SCORED_DOCS} SELECT s.doc_id AS id, CAST(69 AS INT) AS dim, CAST(lb AS DOUBLE) AS f0, CAST(msa AS DOUBLE) AS f1,
-CAST(strong_lb_hits AS DOUBLE) AS f2, msa_ratio_core AS f3, round(lexicon_score, 6) AS f4,
-round(coalesce(CAST(e.embedding[1] AS DOUBLE), 0e0), 6) AS f5 FROM scored s LEFT JOIN embeddings e ON s.doc_id = e.vec_id""")
+@query("F11", f"""{SCORED_DOCS} SELECT s.doc_id AS id, CAST(i AS INT) AS i, CASE i WHEN 0 THEN CAST(lb AS DOUBLE) WHEN 1 THEN CAST(msa AS DOUBLE)
+WHEN 2 THEN CAST(strong_lb_hits AS DOUBLE) WHEN 3 THEN msa_ratio_core WHEN 4 THEN round(lexicon_score, 6)
+ELSE round(coalesce(CAST(e.embedding[i - 4] AS DOUBLE), 0e0), 6) END AS f
+FROM scored s LEFT JOIN embeddings e ON s.doc_id = e.vec_id, (SELECT unnest(range(69)) AS i)""")
 def feature_vectors(t: Tables) -> DataFrame:
     scored = score_texts(t.texts.selectExpr("doc_id AS id", "text"), LEX)
     vec = attach_embeddings(scored, t.embeddings.withColumnRenamed("vec_id", "id"), DIM).select(
         "id", feature_array().alias("f"))
-    return vec.select("id", F.size("f").alias("dim"),
-                      *[F.round(F.get("f", i), 6).alias(f"f{i}") for i in range(6)])
+    return vec.select("id", F.posexplode("f").alias("i", "f")).withColumn("f", F.round("f", 6))
 
 
 @query("M3", """SELECT doc_id AS id, CAST(64 AS INT) AS dim, CASE WHEN doc_id % 6 = 0 THEN 0e0 ELSE 1e0 END AS norm FROM documents""")
@@ -62,7 +61,7 @@ def text_embeddings(t: Tables) -> DataFrame:
 def split_rows(t: Tables) -> DataFrame:
     rows = training_set(featured(t, labelled_documents(t)), check_size=False)
     # The split reads ids and labels three times and training comes after: keep the rows.
-    return stratified_split(rows.select("id", "label", "features").persist())
+    return stratified_split(materialize(rows.select("id", "label", "features"), "training"))
 
 
 @query("M1, W8, U2")

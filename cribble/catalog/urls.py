@@ -136,24 +136,24 @@ def normalize_feed(t: Tables) -> DataFrame:
     return pages(t).select("page_id", urls.normalize_feed("url").alias("feed"))
 
 
-@query("F7", f"WITH {PAGE_SQL} SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') AS root FROM p WHERE url IS NOT NULL")
+@query("F7", f"WITH {PAGE_SQL} SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') AS root FROM p")
 def site_root(t: Tables) -> DataFrame:
-    return pages(t).where("url IS NOT NULL").select("page_id", urls.site_root("url").alias("root"))
+    return pages(t).select("page_id", urls.site_root("url").alias("root"))
 
 
 @query("F8", f"""WITH {PAGE_SQL}, x AS (SELECT page_id, url, lower(regexp_extract(regexp_extract(
-regexp_replace({PATH}, '/+$', ''), '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1)) AS ext FROM p WHERE url IS NOT NULL)
+regexp_replace({PATH}, '/+$', ''), '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1)) AS ext FROM p)
 SELECT page_id, 'podcast_' || sha1(url) || CASE WHEN ext IN ('.mp3', '.m4a', '.wav', '.aac', '.ogg')
 THEN ext ELSE '.mp3' END AS name FROM x""")
 def stable_name(t: Tables) -> DataFrame:
-    return pages(t).where("url IS NOT NULL").select("page_id", urls.stable_name("url").alias("name"))
+    return pages(t).select("page_id", urls.stable_name("url").alias("name"))
 
 
 @query("F9", f"""WITH {PAGE_SQL} SELECT page_id, replace(lower(regexp_extract(url, {HOST}, 1)), '.', '_') || '_' ||
 replace(coalesce(nullif(regexp_extract(regexp_replace({PATH}, '/+$', ''), '([^/]*)$', 1), ''), 'tiktok'), '.', '_')
-AS name FROM p WHERE url IS NOT NULL""")
+AS name FROM p""")
 def url_basename(t: Tables) -> DataFrame:
-    return pages(t).where("url IS NOT NULL").select("page_id", urls.url_basename("url").alias("name"))
+    return pages(t).select("page_id", urls.url_basename("url").alias("name"))
 
 
 @query("F15", """SELECT p_partkey AS id, 'https://www.youtube.com/watch?v=' || p_partkey AS video,
@@ -329,16 +329,12 @@ def swap_extension(t: Tables) -> DataFrame:
         "audio_path", F.col("id") % 5 > 0, F.col("id") % 7 > 0).alias("audio_path"))
 
 
-@query("F20", """WITH x AS (SELECT vec_id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE),
-CAST(embedding[3] AS DOUBLE)] AS v FROM embeddings),
-s AS (SELECT vec_id, exp(v[1]) / (exp(v[1]) + exp(v[2]) + exp(v[3])) AS a,
-exp(v[2]) / (exp(v[1]) + exp(v[2]) + exp(v[3])) AS b, exp(v[3]) / (exp(v[1]) + exp(v[2]) + exp(v[3])) AS c FROM x)
-SELECT vec_id, CASE WHEN a >= b AND a >= c THEN 'EGY' WHEN b >= c THEN 'LEV' ELSE 'MSA' END AS top,
-round(greatest(a, b, c), 6) AS top_score FROM s""")
+@query("F20", """WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: exp(CAST(e AS DOUBLE))) AS v FROM embeddings)
+SELECT vec_id, 'C' || lpad(CAST(list_position(v, list_max(v)) - 1 AS VARCHAR), 2, '0') AS top,
+round(list_max(v) / list_sum(v), 6) AS top_score FROM x""")
 def top_class(t: Tables) -> DataFrame:
-    e = F.col("embedding")
-    logits = F.create_map(*[
-        x for i, name in enumerate(("egy", "lev", "msa")) for x in (F.lit(name), F.get(e, i).cast("double"))
-    ])
-    best = t.embeddings.select("vec_id", text.top_class(text.softmax(logits)).alias("b"))
+    """Every component of the vector is the logit of a class."""
+    entries = F.transform("embedding", lambda e, i: F.struct(
+        F.concat(F.lit("c"), F.lpad(i.cast("string"), 2, "0")).alias("key"), e.cast("double").alias("value")))
+    best = t.embeddings.select("vec_id", text.top_class(text.softmax(F.map_from_entries(entries))).alias("b"))
     return best.select("vec_id", "b.top", F.round("b.top_score", 6).alias("top_score"))

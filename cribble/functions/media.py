@@ -27,21 +27,24 @@ def capped_duration(
 def duration_gate(
     platform: Column | str, duration: Column | str, limits: S.AudioLimits = S.AudioLimits()
 ) -> Column:
-    """``struct(status, error_msg, duration_seconds)`` decided by length alone."""
-    p, d = _col(platform), _col(duration).cast("double")
+    """``struct(status, error_msg, duration_seconds)`` decided by length alone.
+
+    A length that is null or NaN is none: the item ends as ERROR_DOWNLOAD.
+    """
+    p, d = _col(platform), F.nullif(_col(duration).cast("double"), F.lit(float("nan")))
     too_long = p.isin(*S.PODCAST_PLATFORMS) & (d > limits.max_seconds)
     too_short = capped_duration(p, d, limits) < limits.min_seconds
     message = F.format_string(
         f"Podcast too long (%.1fs > {limits.max_seconds}s)", d
     )
     status = (
-        F.when(too_long, S.ERROR_DOWNLOAD)
+        F.when(d.isNull() | too_long, S.ERROR_DOWNLOAD)
         .when(too_short, S.SKIPPED_LENGTH)
         .otherwise(S.DOWNLOADED)
     )
     return F.struct(
         status.alias("status"),
-        F.when(too_long, message).alias("error_msg"),
+        F.when(d.isNull(), S.NO_DURATION_MESSAGE).when(too_long, message).alias("error_msg"),
         F.when(status == S.DOWNLOADED, capped_duration(p, d, limits)).alias("duration_seconds"),
     )
 
@@ -52,8 +55,11 @@ def chunk_plan(
     limits: S.AudioLimits = S.AudioLimits(),
     seed: int = S.SEED,
 ) -> Column:
-    """Array of ``struct(idx, start)``: hash-chosen integer starts that leave room for a chunk."""
-    d, i = _col(duration), _col(item_id)
+    """Array of ``struct(idx, start)``: hash-chosen integer starts that leave room for a chunk.
+
+    Null where the duration is null or NaN.
+    """
+    d, i = F.nullif(_col(duration).cast("double"), F.lit(float("nan"))), _col(item_id)
     room = F.floor(d - limits.chunk_seconds).cast("long") + 1
 
     def start(k: Column) -> Column:
@@ -65,7 +71,7 @@ def chunk_plan(
         lambda k: F.struct(k.alias("idx"), start(k).alias("start")),
     )
     whole = F.array(F.struct(F.lit(0).alias("idx"), F.lit(0).cast("long").alias("start")))
-    return F.when(d < limits.chunk_seconds, whole).otherwise(picks)
+    return F.when(d < limits.chunk_seconds, whole).when(d.isNotNull(), picks)
 
 
 def clip_start(total: Column | str, clip_seconds: int = S.AudioLimits.clip_seconds) -> Column:

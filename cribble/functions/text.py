@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,15 +57,24 @@ def excerpt(text: Column | str, max_chars: int = 600) -> Column:
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def softmax(logits: Column | str) -> Column:
     """Softmax over a ``map<string,double>`` of logits, keys upper-cased."""
-    m = _col(logits)
-    top = F.array_max(F.map_values(m))
-    exps = F.transform(F.map_values(m), lambda v: F.exp(v - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
-    return F.map_from_arrays(
-        F.transform(F.map_keys(m), lambda k: F.upper(k)), F.transform(exps, lambda v: v / total)
-    )
+    def shares(m: Column, exps: Column, total: Column) -> Column:
+        return F.map_from_arrays(
+            F.transform(F.map_keys(m), lambda k: F.upper(k)), F.transform(exps, lambda v: v / total)
+        )
+
+    def over(m: Column, top: Column) -> Column:
+        exps = F.transform(F.map_values(m), lambda v: F.exp(v - top))
+        return _once(exps, lambda e: _once(
+            F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v), lambda total: shares(m, e, total)))
+
+    return _once(_col(logits), lambda m: _once(F.array_max(F.map_values(m)), lambda top: over(m, top)))
 
 
 def top_class(scores: Column | str) -> Column:
@@ -76,5 +87,6 @@ def top_class(scores: Column | str) -> Column:
         .when(a["key"] > b["key"], 1)
         .otherwise(0),
     )
-    best = F.get(entries, 0)
-    return F.struct(best["key"].alias("top"), best["value"].alias("top_score"))
+    return _once(
+        F.get(entries, 0), lambda b: F.struct(b["key"].alias("top"), b["value"].alias("top_score"))
+    )

@@ -136,14 +136,15 @@ def stable_name(
 
 
 def url_basename(url: Column | str, default: str = "tiktok") -> Column:
-    """``host_lastpart`` with dots turned to underscores and defaults for missing parts."""
+    """``host_lastpart`` with dots turned to underscores and defaults for missing parts; null for null."""
     path = F.regexp_replace(url_path(url), r"^/+|/+$", "")
     last = F.coalesce(
         F.nullif(F.regexp_extract(path, r"([^/]*)$", 1), F.lit("")), F.lit(default)
     )
     host = F.regexp_replace(F.lower(url_authority(url)), r"^.*@|:\d*$", "")
     host = F.coalesce(F.nullif(host, F.lit("")), F.lit(default))
-    return F.concat(F.translate(host, ".", "_"), F.lit("_"), F.translate(last, ".", "_"))
+    name = F.concat(F.translate(host, ".", "_"), F.lit("_"), F.translate(last, ".", "_"))
+    return F.when(_col(url).isNotNull(), name)
 
 
 def video_url(video_id: Column | str) -> Column:

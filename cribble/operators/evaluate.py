@@ -85,19 +85,25 @@ def classification_report(
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact area under the ROC curve (ties count half); null when a class is missing.
 
+    Rows whose score is null or NaN have no rank; they are left out and counted in ``unscored``.
+
     Per-score counts, then running sums over equi-depth score buckets: no
     task sees all scores.
     """
-    counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(
+    value = F.nullif(F.col(score).cast("double"), F.lit(float("nan")))
+    counts = materialize(df.groupBy(value.alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    )
-    ranked = running_sums(materialize(counts, "scores"), "s", ["pos", "neg"])
+    ), "scores")
+    unscored = counts.where("s IS NULL").agg(F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0)).alias("unscored"))
+    ranked = running_sums(counts.where("s IS NOT NULL"), "s", ["pos", "neg"])
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
-    return ranked.agg(
+    auc = ranked.agg(
         (won / F.nullif(F.sum("pos") * F.sum("neg").cast("double"), F.lit(0.0))).alias("auc"),
         F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
         F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"),
     )
+    # Two single rows side by side.
+    return auc.withColumn("unscored", unscored.scalar())
 
 
 def tier_precision(
@@ -172,6 +178,28 @@ def threshold_sweep(
     return add_rates(_sweep(rows, score, thresholds, is_positive(truth, positive)))
 
 
+def tier_at_threshold(
+    df: DataFrame,
+    threshold: float = 0.75,
+    tier: str = "status",
+    score: str = "probability",
+    truth: str = "ground_truth",
+    positive: Sequence[str] = S.POSITIVE_TRUTH,
+    exclude: Sequence[str] = (S.UNCLEAR_TRUTH, S.SKIP_TRUTH),
+) -> DataFrame:
+    """Per tier: n, rows predicted positive at the threshold, truly positive ones, hits, precision.
+
+    A null score predicts nothing; precision is 0 where nothing is predicted.
+    """
+    rows = df.where(~F.col(truth).isin(*exclude)) if exclude else df
+    predicted = F.coalesce(F.col(score) >= threshold, F.lit(False))
+    hit = is_positive(truth, positive)
+    counts = rows.groupBy(tier).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(predicted).alias("predicted"), F.count_if(hit).alias("positive"),
+        F.count_if(predicted & hit).alias("tp"), F.count_if(predicted & ~hit).alias("fp"))
+    return counts.withColumn("precision", _ratio(F.col("tp"), F.col("predicted")))
+
+
 def add_rates(counts: DataFrame) -> DataFrame:
     """Precision, recall, F1 and accuracy from ``tp, fp, fn, tn``."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))

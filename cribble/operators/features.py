@@ -31,14 +31,17 @@ def attach_embeddings(
 ) -> DataFrame:
     """Join vectors by id; a blank text or a missing vector gives zeros."""
     zeros = F.array_repeat(F.lit(0.0), dim)
+    if text is not None:
+        # Looked at before the join: a text that nothing else reads stays out of the shuffle.
+        blank = F.coalesce(F.rlike(F.col(text), F.lit(r"^\s*$")), F.lit(True))
+        items = compute_once(items, "_blank", blank)
     joined = items.join(
         embeddings.select(key, F.col(vector).cast("array<double>").alias("_v")), key, "left"
     )
     value = F.coalesce("_v", zeros)
     if text is not None:
-        blank = F.coalesce(F.rlike(F.col(text), F.lit(r"^\s*$")), F.lit(True))
-        value = F.when(blank, zeros).otherwise(value)
-    return joined.withColumn("embedding", value).drop("_v")
+        value = F.when(F.col("_blank"), zeros).otherwise(value)
+    return joined.withColumn("embedding", value).drop("_v", "_blank")
 
 
 def fit_embedder(df: DataFrame, dim: int = 384, text: str = "text") -> PipelineModel:

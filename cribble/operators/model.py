@@ -66,9 +66,11 @@ def score_and_tier(
     """Add ``tier, tier_error, model_probability, reason, reject_stage`` to feature rows.
 
     A row without text or features becomes ERROR_SCORING instead of failing the
-    job. The probability is kept for every tier; only rejects carry the reason.
+    job. A ``has_text`` column stands in for the text, which then need not be
+    carried through joins. The probability is kept for every tier; only rejects carry the reason.
     """
-    no_text, bad = F.col("text").isNull(), F.col("_bad")
+    no_text = ~F.col("has_text") if "has_text" in rows.columns else F.col("text").isNull()
+    bad = F.col("_bad")
     p = F.when(~bad, F.col("model_probability"))
     status = F.when(bad, S.ERROR_SCORING).otherwise(
         tier(p, thresholds.potential, thresholds.borderline)

@@ -17,9 +17,6 @@ from cribble.operators.ranking import number_rows
 from cribble.schemas import QUEUE
 from cribble.sources.tables import materialize
 
-# Positions inside one source stay below this, so (source, item) packs into one long.
-POSITION_SPAN = 1 << 32
-
 
 # --- Selection -------------------------------------------------------------
 
@@ -59,6 +56,9 @@ def needs_backfill(
 
 # --- Insertion -------------------------------------------------------------
 
+NEW_ITEM_VALUES = ("platform", "source_metadata", "audio_path", "duration_seconds")
+
+
 def _first_per_url(candidates: DataFrame) -> DataFrame:
     """Keep each URL's earliest candidate; partial aggregation absorbs hot URLs."""
     rest = [c for c in candidates.columns if c != "url"]
@@ -84,7 +84,8 @@ def new_items(queue: DataFrame, candidates: DataFrame, now: datetime | Column) -
     """Rows to append for the candidates that are not queued.
 
     Candidates carry ``url, platform, source_metadata, source_pos, item_pos``.
-    Ids continue the queue's in discovery order.
+    Ids continue the queue's in discovery order. With ``audio_path`` and
+    ``duration_seconds`` they enter as DOWNLOADED, else as DISCOVERED.
     """
     stamp = now if isinstance(now, Column) else F.lit(now)
     fresh = _first_per_url(candidates).join(queue.select("url"), "url", "left_anti")
@@ -92,22 +93,25 @@ def new_items(queue: DataFrame, candidates: DataFrame, now: datetime | Column) -
     # only the new rows.
     placed = materialize(
         fresh.select(
-            "url", "platform", "source_metadata",
-            (F.col("source_pos") * F.lit(POSITION_SPAN) + F.col("item_pos")).alias("_pos"),
+            "url", "source_pos", "item_pos", *[c for c in NEW_ITEM_VALUES if c in fresh.columns]
         ),
         "new-items",
     )
     last_id = queue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
-    numbered = number_rows(placed, "_pos", "_n")
+    numbered = number_rows(placed, ["source_pos", "item_pos", "url"], "_n")
+    loaded = "audio_path" in placed.columns
     values = {
         "id": F.col("_n") + F.lit(last_id + 1),
         "url": F.col("url"),
         "platform": F.col("platform"),
-        "status": F.lit(S.DISCOVERED),
+        "status": F.lit(S.DOWNLOADED if loaded else S.DISCOVERED),
         "discovered_at": stamp,
         "last_update_at": stamp,
         "source_metadata": F.col("source_metadata"),
     }
+    if loaded:
+        # Durations are cut to whole seconds.
+        values |= {"audio_path": F.col("audio_path"), "duration_seconds": F.col("duration_seconds")}
     return numbered.select(
         *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in QUEUE.fields]
     )
@@ -170,6 +174,11 @@ def mark_downloaded(queue: DataFrame, updates: DataFrame, now: datetime | Column
     })
 
 
+def apply_conversions(queue: DataFrame, updates: DataFrame) -> DataFrame:
+    """Store the new path from ``updates(id, audio_path)``; nothing else changes."""
+    return _apply(queue, updates, {"audio_path": F.col("u.audio_path")})
+
+
 def mark_rejected(queue: DataFrame, updates: DataFrame, now: datetime | Column) -> DataFrame:
     """Reject with a structured reason from ``updates(id, rejection_reason)``; keeps ``error_msg``."""
     stamp = now if isinstance(now, Column) else F.lit(now)

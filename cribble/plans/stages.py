@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribble import settings as S
 from cribble.functions.lexicon import Lexicons
-from cribble.functions.meta import episode_meta
+from cribble.functions.meta import channel_feed_meta, episode_meta, search_meta
 from cribble.functions.text import transcript_text
-from cribble.functions.urls import pick_audio_url, pick_first_enclosure
-from cribble.operators.discover import cap_per_source
+from cribble.functions.urls import pick_audio_url, pick_first_enclosure, video_url
+from cribble.operators.discover import POSITION, cap_per_source, merge_attributes
 from cribble.operators.evaluate import (
     join_truth,
     probability_profile,
@@ -35,6 +34,7 @@ from cribble.operators.model import apply_scores, evaluate, train_classifier
 from cribble.operators.once import compute_once
 from cribble.operators.queue import fetch, insert_if_absent
 from cribble.operators.ranking import broadcast_if_small
+from cribble.sources.tables import materialize
 from cribble.operators.sampling import (
     latest_annotation,
     shuffle_sample,
@@ -56,9 +56,12 @@ def discover_feed_episodes(
     """Queue with the episodes of parsed feeds.
 
     Feeds found by search take the first enclosure of their first entries
-    (``search_term`` column); configured feeds take the first audio URL.
+    (``search_term`` column), from the first place that lists the feed;
+    configured feeds take the first audio URL.
     """
     if searched:
+        first = items.groupBy("feed_url").agg(F.min("source_pos").alias("_first"))
+        items = items.join(first, "feed_url").where(F.col("source_pos") == F.col("_first")).drop("_first")
         capped = cap_per_source(items, settings.caps.episodes_per_feed, "feed_url")
         url = pick_first_enclosure("enclosures")
         meta, platform = episode_meta("feed_url", "search_term"), "podcast_rss"
@@ -72,6 +75,47 @@ def discover_feed_episodes(
     return insert_if_absent(queue, candidates, now)
 
 
+def _in_turn(*parts: DataFrame) -> DataFrame:
+    """All parts, the places of each before those of the next."""
+    placed = [p.withColumn("source_pos", F.struct(F.lit(i).alias("part"), F.col("source_pos").cast("long").alias("pos")))
+              for i, p in enumerate(parts)]
+    whole = placed[0]
+    for p in placed[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+def discover_videos(
+    queue: DataFrame, searched: DataFrame, uploads: DataFrame, channel_feeds: DataFrame, now,
+) -> DataFrame:
+    """Queue with videos found by search, in channels' uploads and in channels' feeds.
+
+    ``searched(video_id, channel, query, source_pos, item_pos)``,
+    ``uploads(video_id, channel, source_pos, item_pos)``, ``channel_feeds(url,
+    channel_id, source_pos, item_pos)``; places count in this order.
+    """
+    none = F.lit(None).cast("string")
+    candidates = _in_turn(
+        searched.select(video_url("video_id").alias("url"), search_meta("channel", "query").alias("source_metadata"), *POSITION),
+        uploads.select(video_url("video_id").alias("url"), search_meta("channel", none).alias("source_metadata"), *POSITION),
+        channel_feeds.select("url", channel_feed_meta("channel_id").alias("source_metadata"), *POSITION),
+    ).withColumn("platform", F.lit("youtube"))
+    return insert_if_absent(queue, candidates, now)
+
+
+def discover_clips(queue: DataFrame, by_tag: DataFrame, by_user: DataFrame, now) -> DataFrame:
+    """Queue with short clips listed under tags and users: ``(url, tag | user, source_pos, item_pos)``.
+
+    A clip found in several places keeps its last tag and its last user.
+    """
+    none = F.lit(None).cast("string")
+    found = _in_turn(
+        by_tag.select("url", F.col("tag").alias("hashtag"), none.alias("user"), *POSITION),
+        by_user.select("url", none.alias("hashtag"), "user", *POSITION),
+    )
+    return insert_if_absent(queue, merge_attributes(found).withColumn("platform", F.lit("tiktok")), now)
+
+
 def label_screened(
     queue: DataFrame, trusted: DataFrame, transcripts: DataFrame, lexicons: Lexicons, now,
     settings: S.Settings = S.Settings(), unlabelled_status: str = S.SCREENED_NO_LABEL,
@@ -142,14 +186,14 @@ def train(
 ):
     """``(model, report, auc)`` from the weak labels with a stratified hold-out.
 
-    The feature rows are kept for the passes of the split, the training and
-    the two reports; call ``unpersist`` on the session's cache when done.
+    The feature rows are written to the shared folder for the passes of the
+    split, the training and the two reports; ``clear_materialized`` removes them.
     """
     labelled = [S.WEAK_POSITIVE, S.WEAK_NEGATIVE, S.REJECTED]
     items = queue.where(F.col("status").isin(*labelled)).select("id", "status")
     ready = featurize(items, transcripts, lexicons, embed, "drop", settings)
     rows = training_set(ready, settings.thresholds, include_rejected, check_size=False)
-    kept = rows.select("id", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = materialize(rows.select("id", "label", "features"), "training")
     require_rows(kept, settings.thresholds.min_training_rows)
     split = stratified_split(kept, fraction=settings.thresholds.holdout_fraction)
     model = train_classifier(split.where(~F.col("holdout")))

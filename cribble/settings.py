@@ -47,6 +47,7 @@ BLOCKED_HOST_MESSAGE = "host-blocked (buzzsprout)"
 SHORTS_MESSAGE = "youtube_short_skipped"
 MISSING_TRANSCRIPT_MESSAGE = "Missing transcript"
 MISSING_FEATURES_MESSAGE = "Missing features"
+NO_DURATION_MESSAGE = "No duration"
 NO_TRANSCRIPT_EXCERPT = "(no transcript available)"
 EMPTY_TRANSCRIPT_EXCERPT = "(empty transcript)"
 
@@ -140,7 +141,6 @@ class Caps:
     """Per-source limits applied while discovering."""
 
     entries_per_page: int = 50
-    entries_per_reel_search: int = 40
     results_per_query: int = 20
     channels_per_query: int = 10
     episodes_per_feed: int = 500

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cribble import settings as S
 from cribble.operators.once import compute_once
 
 
@@ -23,9 +22,9 @@ def _entries(df: DataFrame, json: str, schema: str, field: str, n: int | None) -
 
 def playlist_entries(
     pages: DataFrame, json: str = "json", host: str = "tiktok.com",
-    n: int = S.Caps.entries_per_page,
+    n: int | None = None,
 ) -> DataFrame:
-    """``url`` of the first ``n`` playlist entries whose URL contains ``host``."""
+    """``url`` of the playlist entries (the first ``n`` if given) whose URL contains ``host``."""
     schema = "entries array<struct<url:string>>"
     rows = _entries(pages, json, schema, "entries", n)
     return rows.where(F.coalesce(F.contains("e.url", F.lit(host)), F.lit(False))).select(
@@ -53,7 +52,7 @@ def feed_search_results(responses: DataFrame, json: str = "json") -> DataFrame:
 
 
 def video_search_results(
-    responses: DataFrame, json: str = "json", n: int = S.Caps.results_per_query
+    responses: DataFrame, json: str = "json", n: int | None = None
 ) -> DataFrame:
     """Video-search results: ``video_id, title, channel`` per response row."""
     schema = (
@@ -68,7 +67,7 @@ def video_search_results(
 
 
 def channel_search_results(
-    responses: DataFrame, json: str = "json", n: int = S.Caps.channels_per_query
+    responses: DataFrame, json: str = "json", n: int | None = None
 ) -> DataFrame:
     """Channel-search results: ``channel_id, title`` per response row."""
     schema = "items array<struct<id:struct<channelId:string>,snippet:struct<title:string>>>"
@@ -79,7 +78,7 @@ def channel_search_results(
 
 
 def upload_results(
-    responses: DataFrame, json: str = "json", n: int = S.Caps.results_per_query
+    responses: DataFrame, json: str = "json", n: int | None = None
 ) -> DataFrame:
     """Uploads-playlist results: ``video_id, title`` per response row (which knows its channel)."""
     schema = (
@@ -90,8 +89,3 @@ def upload_results(
         "*", F.col("e.snippet.resourceId.videoId").alias("video_id"),
         F.col("e.snippet.title").alias("title"),
     ).drop("e")
-
-
-def parses(json: Column | str) -> Column:
-    """Whether a JSON document is readable at all."""
-    return F.try_parse_json(F.col(json) if isinstance(json, str) else json).isNotNull()

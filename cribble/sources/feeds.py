@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribble.operators.once import compute_once
@@ -10,11 +10,20 @@ from cribble.operators.once import compute_once
 _LINK = "struct<_href:string,_rel:string,_type:string,_VALUE:string>"
 _ENC = "struct<_url:string,_type:string>"
 
+_ITEM = (
+    "struct<title:string,pubDate:string,`dc:date`:string,guid:string,`_rdf:about`:string,link:string,"
+    f"enclosure:array<{_ENC}>,`atom:link`:array<{_LINK}>>"
+)
+_ENTRY = f"struct<id:string,title:string,published:string,link:array<{_LINK}>>"
+# Items stand in the channel (RSS 2.0) or beside it (RSS 1.0); Atom has entries.
 RSS_SCHEMA = (
     "channel struct<title:string,language:string,country:string,author:string,"
-    "`itunes:author`:string,`itunes:country`:string,"
-    "item:array<struct<title:string,pubDate:string,guid:string,link:string,"
-    f"enclosure:array<{_ENC}>,`atom:link`:array<{_LINK}>>>>, _corrupt_record string"
+    f"`itunes:author`:string,`itunes:country`:string,item:array<{_ITEM}>>, "
+    f"item array<{_ITEM}>, entry array<{_ENTRY}>, _corrupt_record string"
+)
+_OUT = (
+    "struct<title:string,published:string,guid:string,"
+    "enclosures:array<struct<url:string,href:string,type:string>>,links:array<struct<href:string>>>"
 )
 ATOM_SCHEMA = (
     "title string, author struct<name:string>,"
@@ -30,29 +39,47 @@ def _parse(feeds: DataFrame, xml: str, schema: str) -> DataFrame:
 
 
 def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """Entries of ``feeds(feed_url, source_pos, <xml>)``; a feed that does not parse gives none."""
+    """Entries of ``feeds(feed_url, source_pos, <xml>)``; a feed that does not parse gives none.
+
+    RSS 2.0, RSS 1.0 and Atom alike: an Atom entry's enclosures are its links
+    with ``rel="enclosure"``.
+    """
+    none = F.array().cast(f"array<{_OUT}>")
+
+    def enclosures(urls: Column) -> Column:
+        return F.coalesce(urls, F.array().cast("array<struct<url:string,href:string,type:string>>"))
+
+    def links(hrefs: Column) -> Column:
+        return F.filter(F.coalesce(hrefs, F.array().cast("array<struct<href:string>>")), lambda x: x["href"].isNotNull())
+
+    def of_item(i: Column) -> Column:
+        return F.struct(
+            i["title"].alias("title"), F.coalesce(i["pubDate"], i["dc:date"]).alias("published"),
+            F.coalesce(i["guid"], i["_rdf:about"]).alias("guid"),
+            enclosures(F.transform(i["enclosure"], lambda e: F.struct(
+                e["_url"].alias("url"), e["_url"].alias("href"), e["_type"].alias("type")))).alias("enclosures"),
+            links(F.concat(
+                F.array(F.struct(i["link"].alias("href"))),
+                links(F.transform(i["atom:link"], lambda x: F.struct(x["_href"].alias("href")))))).alias("links"))
+
+    def of_entry(e: Column) -> Column:
+        attached = F.filter(e["link"], lambda x: x["_rel"] == "enclosure")
+        others = F.filter(e["link"], lambda x: ~x["_rel"].eqNullSafe(F.lit("enclosure")))
+        return F.struct(
+            e["title"].alias("title"), e["published"].alias("published"), e["id"].alias("guid"),
+            enclosures(F.transform(attached, lambda x: F.struct(
+                x["_href"].alias("url"), x["_href"].alias("href"), x["_type"].alias("type")))).alias("enclosures"),
+            links(F.transform(others, lambda x: F.struct(x["_href"].alias("href")))).alias("links"))
+
+    items = F.concat(
+        F.coalesce(F.transform("_f.channel.item", of_item), none),
+        F.coalesce(F.transform("_f.item", of_item), none),
+        F.coalesce(F.transform("_f.entry", of_entry), none))
     return _parse(feeds, xml, RSS_SCHEMA).select(
-        "feed_url", "source_pos", F.posexplode("_f.channel.item").alias("item_pos", "i")
+        "feed_url", "source_pos", F.posexplode(items).alias("item_pos", "i")
     ).select(
         "feed_url", F.col("source_pos").cast("long").alias("source_pos"),
-        F.col("item_pos").cast("long").alias("item_pos"),
-        F.col("i.title").alias("title"), F.col("i.pubDate").alias("published"),
-        F.col("i.guid").alias("guid"),
-        F.coalesce(
-            F.transform("i.enclosure", lambda e: F.struct(
-                e["_url"].alias("url"), e["_url"].alias("href"), e["_type"].alias("type"))),
-            F.array().cast("array<struct<url:string,href:string,type:string>>"),
-        ).alias("enclosures"),
-        F.filter(
-            F.concat(
-                F.array(F.struct(F.col("i.link").alias("href"))),
-                F.coalesce(
-                    F.transform("i.`atom:link`", lambda x: F.struct(x["_href"].alias("href"))),
-                    F.array().cast("array<struct<href:string>>"),
-                ),
-            ),
-            lambda x: x["href"].isNotNull(),
-        ).alias("links"),
+        F.col("item_pos").cast("long").alias("item_pos"), "i.*",
     )
 
 

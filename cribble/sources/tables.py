@@ -58,8 +58,8 @@ def read_lexicons(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".parquet"):
         return spark.read.schema(LEXICON).parquet(path)
     return spark.read.schema(LEXICON).csv(
-        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    )
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).withColumn("term", F.coalesce("term", F.lit("")))  # an empty field reads as null
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -76,6 +76,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/cribble/{name}-{uuid4().hex}"
 
 
+_materialized: list[str] = []
+
+
+def clear_materialized(spark: SparkSession) -> int:
+    """Remove what ``materialize`` wrote in this process; results built on it end with it."""
+    n = len(_materialized)
+    while _materialized:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_materialized.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
@@ -84,4 +96,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _materialized.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

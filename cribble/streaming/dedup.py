@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cribble.operators.discover import first_seen
+from cribble.streaming.drain import stream_id
 
 
 def distinct_urls(stream: DataFrame, url: str = "url") -> DataFrame:
@@ -21,6 +22,11 @@ def distinct_urls_within(
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([url])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def dedup_ingest(
     spark: SparkSession,
     path: str,
@@ -32,21 +38,22 @@ def dedup_ingest(
     """Append new URLs from candidate files to ``out`` until none are waiting.
 
     The table itself is the memory: each batch keeps its first row per URL and
-    anti-joins what earlier batches stored, so there is no state to outgrow an
-    executor and each restart is exact. Rows carry ``url, source_pos, item_pos``.
+    anti-joins all that is stored but its own earlier attempt, so there is no
+    state to outgrow an executor and each restart is exact, under a new
+    checkpoint as well. Rows carry ``url, source_pos, item_pos``.
     """
     waiting = spark.readStream.schema(schema).option(
         "maxFilesPerTrigger", files_per_batch
     ).parquet(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = first_seen(batch)
-        if batch_id > 0:
-            stored = spark.read.schema("url string, batch long").parquet(out).where(
-                F.col("batch") < batch_id
+        fresh, run = first_seen(batch), stream_id(spark, checkpoint)
+        if _exists(spark, out):
+            stored = spark.read.schema("url string, run string, batch long").parquet(out).where(
+                (F.col("run") != run) | (F.col("batch") != batch_id)
             )
             fresh = fresh.join(stored.select("url"), "url", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
     query = (
         waiting.writeStream.foreachBatch(write)

@@ -22,8 +22,10 @@ def drain(
     """Run ``step`` over all files waiting in ``path`` and append its rows to ``out``.
 
     A later call takes up where this one stopped. A batch that is repeated
-    after a failure overwrites its own directory, so no row appears twice.
-    Read the result with ``read_drained``.
+    after a failure overwrites its own directory, so no row appears twice. The
+    directory bears the id of the stream, kept in its checkpoint, so a new
+    checkpoint never overwrites what an older one wrote. Read the result with
+    ``read_drained``.
     """
     waiting = spark.readStream.schema(schema).option(
         "maxFilesPerTrigger", files_per_batch
@@ -32,7 +34,7 @@ def drain(
         waiting = waiting.where(F.col("status") == status)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        step(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        step(batch).write.mode("overwrite").parquet(f"{out}/run={stream_id(spark, checkpoint)}/batch={batch_id}")
 
     query = (
         waiting.writeStream.foreachBatch(write)
@@ -42,5 +44,10 @@ def drain(
     query.awaitTermination()
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream writes into its checkpoint before its first batch."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first().id
+
+
 def read_drained(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out).drop("run", "batch")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -75,10 +76,11 @@ def main() -> int:
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
+    shared = tempfile.TemporaryDirectory(prefix="oracles-")
     spark = (
         SparkSession.builder.master("local[8]").config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", shared.name).getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     con, sqls, bad = connect(folder), entry.oracle_sql(), 0
