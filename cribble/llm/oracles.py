@@ -159,14 +159,14 @@ bins AS (
   SELECT CAST(floor(score / 10000.0::DOUBLE) AS BIGINT) AS bin, count_if(v = 'allow') AS good, count_if(v = 'block') AS bad
   FROM scored WHERE v IS NOT NULL AND odd GROUP BY 1),
 edges AS (
-  SELECT bin, (tg - gb)::DOUBLE / tg + bb::DOUBLE / tb AS gain
-  FROM (SELECT bin, sum(good) OVER () AS tg, sum(bad) OVER () AS tb,
+  SELECT bin, bin + low AS twice, (tg - gb)::DOUBLE / tg + bb::DOUBLE / tb AS gain
+  FROM (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) AS low, sum(good) OVER () AS tg, sum(bad) OVER () AS tb,
                coalesce(sum(good) OVER w, 0) AS gb, coalesce(sum(bad) OVER w, 0) AS bb
         FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   WHERE tg > 0 AND tb > 0),
 cut AS (
-  SELECT coalesce((SELECT b[(len(b) - 1) // 2 + 1] * 10000 FROM (
-    SELECT list(bin ORDER BY bin) AS b FROM edges WHERE gain = (SELECT max(gain) FROM edges))), 0) AS cut)
+  SELECT coalesce((SELECT b[(len(b) - 1) // 2 + 1] * 5000 FROM (
+    SELECT list(twice ORDER BY bin) AS b FROM edges WHERE gain = (SELECT max(gain) FROM edges))), 0) AS cut)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
 FROM scored, cut
 """

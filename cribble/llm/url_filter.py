@@ -109,12 +109,13 @@ def _score(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row ``cut`` (micro-nats): the bin edge that tells the classes apart best.
+    """One row ``cut`` (micro-nats): the place that tells the classes apart best.
 
     The histogram of scores has a fixed width, so what is ordered is a few
     thousand bins. The cut has the largest share of accepted URLs at or above
-    it plus the share of rejected ones below; the middle one of equally good
-    edges is taken. 0 where a class is missing.
+    it plus the share of rejected ones below, and lies halfway across the gap
+    that no score falls into; the middle one of equally good places is taken.
+    0 where a class is missing.
     """
     bins = scored.groupBy(F.expr(f"floor(score / {MICRO // BINS_PER_NAT}D)").alias("bin")).agg(
         F.count_if("accepted").alias("good"), F.count_if(~F.col("accepted")).alias("bad"))
@@ -122,15 +123,15 @@ def threshold(scored: DataFrame) -> DataFrame:
                       F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     # The running counts of the bins below each bin.
     edges = listed.selectExpr("good", "bad", "posexplode(b) AS (k, x)", "b").selectExpr(
-        "good", "bad", "x.bin AS bin",
+        "good", "bad", "x.bin AS bin", "coalesce(get(b, k - 1).bin + 1, x.bin) AS low",
         "aggregate(slice(b, 1, k), 0L, (a, y) -> a + y.good) AS good_below",
         "aggregate(slice(b, 1, k), 0L, (a, y) -> a + y.bad) AS bad_below",
-    ).where("good > 0 AND bad > 0").selectExpr("bin", "(good - good_below) / good + bad_below / bad AS gain", "good", "bad")
+    ).where("good > 0 AND bad > 0").selectExpr("bin", "low", "(good - good_below) / good + bad_below / bad AS gain", "good", "bad")
     best = edges.agg(F.max("gain").alias("g"), F.max("good").alias("good"), F.max("bad").alias("bad"),
-                     F.collect_list(F.struct("bin", "gain")).alias("e"))
-    tops = "sort_array(transform(filter(e, x -> x.gain = g), x -> x.bin))"
+                     F.collect_list(F.struct("bin", "low", "gain")).alias("e"))
+    tops = "sort_array(transform(filter(e, x -> x.gain = g), x -> named_struct('bin', x.bin, 'twice', x.bin + x.low)))"
     return best.selectExpr(
-        f"if(coalesce(good, 0L) = 0 OR coalesce(bad, 0L) = 0, 0L, cast({tops}[cast((size({tops}) - 1) div 2 AS int)] * {MICRO // BINS_PER_NAT} AS bigint)) AS cut")
+        f"if(coalesce(good, 0L) = 0 OR coalesce(bad, 0L) = 0, 0L, cast({tops}[cast((size({tops}) - 1) div 2 AS int)].twice * {MICRO // BINS_PER_NAT // 2} AS bigint)) AS cut")
 
 
 def url_verdicts(queue: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
