@@ -218,7 +218,7 @@ def test_auc_edges(spark):
     same = spark.createDataFrame([(1, 0.5), (0, 0.5), (0, 0.5)], "label int, score double")
     assert ev.roc_auc(same).first().auc == 0.5
     one_class = spark.createDataFrame([(1, 0.5)], "label int, score double")
-    assert tuple(ev.roc_auc(one_class).first()) == (None, 1, 0)
+    assert tuple(ev.roc_auc(one_class).first()) == (None, 1, 0, 0)
 
 
 def test_report_with_a_class_never_predicted(spark):
