@@ -22,41 +22,70 @@ from cribble.llm.words import LOWER, NOT_SPACE, Rolling, Words, buffers, mixed,
 
 WIDTH = 3
 PERCENT = 90
-#: Cells of the frequency estimate, and how many of the fullest are told apart. They only set
-#: the order of shingles; any order gives the same links.
-CELL_BITS = 20
-FULL_CELLS = 1 << 16
+#: Words and shingles are counted in so many cells to estimate how rare a shingle is. The
+#: estimate only sets the order of shingles; any order gives the same links.
+WORD_BITS = 17
+SHINGLE_BITS = 20
+#: Sets of LONG shingles or more have prefixes longer by MORE, so similar ones share MORE + 1 of them.
+LONG, MORE = 40, 3
+#: Bits of the filter that keeps texts nobody asks for out of a join (2 MB).
+FILTER_BITS = 24
 PIVOTS = 64
 GROUP = 5_000
 BLOCK = 64
 
 
-def shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of every run of ``width`` words; a shorter text is one run."""
+def rarity(logs: np.ndarray, total: float) -> np.ndarray:
+    """Rank of runs of words by how often they may occur: at most as often as their rarest
+    word, and about as often as chance would join their words (all as base-2 logarithms)."""
+    chance = logs.sum(0) - (len(logs) - 1) * total
+    return np.clip(4 * np.minimum(logs.min(0), chance), 0, 255).astype(np.uint8)
+
+
+def shingles(
+    data: np.ndarray, bounds: np.ndarray, width: int, logs: tuple | None = None, total: float = 0.0,
+) -> tuple[np.ndarray, ...]:
+    """Text number, hash and rank (by ``logs``, the counts in the cells of words and of
+    shingles) of every run of ``width`` words; a shorter text is one run."""
     words = Words(data, bounds, NOT_SPACE, LOWER)
     grams = Rolling(31)
     size, first = np.diff(words.first), words.first
     text = words.text_of()
     full = grams.grams(words.hashes, width)
     ok = np.flatnonzero(np.arange(len(full)) + width <= first[text[: len(full)] + 1])
-    owners, hashes = [text[ok]], [full[ok]]
+    by_word = np.zeros(len(words.hashes), np.float32) if logs is None else logs[0][cells_of(words.hashes, WORD_BITS)]
+    owners, hashes, ranks = [text[ok]], [full[ok]], [rarity(np.stack([by_word[ok + j] for j in range(width)]), total)]
     for n in range(1, width):
         short = np.flatnonzero(size == n)
+        at = first[short]
         owners.append(short)
-        hashes.append(mixed(grams.grams(words.hashes, n)[first[short]] + np.uint64(n)) if len(short) else full[:0])
-    return np.concatenate(owners), np.concatenate(hashes)
+        hashes.append(mixed(grams.grams(words.hashes, n)[at] + np.uint64(n)) if len(short) else full[:0])
+        ranks.append(rarity(np.stack([by_word[at + j] for j in range(n)]), total))
+    owner, found, rank = np.concatenate(owners), np.concatenate(hashes), np.concatenate(ranks)
+    if logs is not None:  # what repeats as a whole may be made of common words
+        rank = np.maximum(rank, (4 * logs[1][cells_of(found, SHINGLE_BITS)]).astype(np.uint8))
+    return owner, found, rank
+
+
+def cells_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _cells(width: int):
-    """Cells that are much fuller than others, with their counts in this task."""
+    """How many words fall into each cell in this task, and shingles into cells that are
+    fuller than chance would make them (numbered behind those of words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts, runs = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << SHINGLE_BITS, np.int64)
         for batch in batches:
             data, bounds = buffers(batch.column(0))
             for a, b in portions(bounds):
-                _, h = shingles(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a], width)
-                counts += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
-        full = np.flatnonzero(counts > 8 + 4 * counts.mean())
+                words = Words(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a], NOT_SPACE, LOWER)
+                counts += np.bincount(cells_of(words.hashes, WORD_BITS), minlength=len(counts))
+                full = Rolling(31).grams(words.hashes, width)
+                runs += np.bincount(cells_of(full, SHINGLE_BITS), minlength=len(runs))
+        mean = runs.mean()
+        counts = np.concatenate([counts, np.where(runs > mean + 4 * mean**0.5 + 2, runs, 0)])
+        full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], ["cell", "n"])
 
     return run
@@ -65,15 +94,15 @@ def _cells(width: int):
 SETS = "id bigint, print bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>"
 
 
-def _sets(width: int, percent: int, ranks: np.ndarray):
+def _sets(width: int, percent: int, logs: tuple[np.ndarray, np.ndarray], total: float):
     """Size, signature and prefix of every set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = Rolling(41), Rolling(42)
         for batch in batches:
             data, bounds = buffers(batch.column(2))
             for a, b in portions(bounds):
-                text, h = shingles(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a], width)
-                order = np.lexsort((h, ranks[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], text))
+                text, h, rank = shingles(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a], width, logs, total)
+                order = np.lexsort((h, rank, text))
                 text, h = text[order], h[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
@@ -81,7 +110,7 @@ def _sets(width: int, percent: int, ranks: np.ndarray):
                 first = np.searchsorted(text, np.arange(b - a + 1))
                 n = np.diff(first)
                 signs = [r.runs(r.prefix(h), first[:-1], first[1:]) for r in rolls]
-                length = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+                length = np.where(n > 0, n - -(-n * percent // 100) + 1 + np.where(n >= LONG, MORE, 0), 0)
                 at = np.arange(len(h)) - np.repeat(first[:-1], n)
                 in_prefix = at < np.repeat(length, n)
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
@@ -134,7 +163,7 @@ def _tokens(width: int):
         for batch in batches:
             data, bounds = buffers(batch.column("text"))
             for a, b in portions(bounds):
-                text, h = shingles(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a], width)
+                text, h, _ = shingles(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a], width)
                 order = np.lexsort((h, text))
                 text, h = text[order], h[order]
                 new = np.ones(len(h), bool)
@@ -227,30 +256,53 @@ def compare_with_leaders(texts: DataFrame, pairs: DataFrame, width: int, percent
     )
 
 
+def texts_of(texts: DataFrame, same: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, text`` of the nodes in pairs. A bit filter of fixed size keeps most other texts
+    out of the join; if the nodes outgrow it, more texts take part, and the result is the same."""
+    asked = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
+    wanted = settle(same.join(asked.withColumnRenamed("id", "node"), "node").select("id", "print", "node"), "wanted")
+    bit = F.shiftrightunsigned(F.xxhash64("id", "print"), 64 - FILTER_BITS)
+    bytes_of = wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 3).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1, cast(b & 7 AS int))")).alias("v")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    bits[bytes_of.column("at").to_numpy()] = bytes_of.column("v").to_numpy()
+
+    def asked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column("b").to_numpy()
+            yield batch.filter(pa.array((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1))
+
+    some = texts.withColumn("b", bit).mapInArrow(asked_for, "id bigint, print bigint, text string, b bigint")
+    return settle(some.join(wanted, ["id", "print"]).select(F.col("node").alias("id"), "text"), "candidates")
+
+
 def list_pairs(ids, n, pos, comp, leader, far, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of a list (ordered by size) that may be similar and are not known to be joined.
 
-    Gives arrays of both ids and whether the distances to a common leader already show
-    that the pair is similar. Blocks of the list are passed over where no entry leaves
-    room for the overlap behind its place.
+    Gives arrays of both ids, whether the distances to a common leader already show that
+    the pair is similar, and how many lists a similar pair meets in. Blocks of the list are
+    passed over where the places of their entries leave no room for the overlap.
     """
     rest = n - pos
+    meets = np.where(n >= LONG, MORE + 1, 1)
     starts = np.arange(0, len(n), BLOCK)
-    most = np.maximum.reduceat(rest, starts)
-    for i in range(1, len(n)):
-        low = int(np.searchsorted(n, -(-int(n[i]) * percent // 100)))
-        blocks = np.arange(low // BLOCK, (i - 1) // BLOCK + 1)
-        need = -(-percent * (n[i] + n[np.maximum(starts[blocks], low)]) // (100 + percent))
-        for b in blocks[np.minimum(most[blocks], rest[i]) >= need]:
-            j = np.arange(max(low, b * BLOCK), min(i, (b + 1) * BLOCK))
-            both = n[j] + n[i]
-            ok = (comp[j] != comp[i]) & (np.minimum(rest[j], rest[i]) * (100 + percent) >= percent * both)
-            room = (100 - percent) * both
+    most, last = np.maximum.reduceat(rest, starts), np.maximum.reduceat(pos, starts)
+    for at, late in enumerate(starts):
+        i = np.arange(late, min(late + BLOCK, len(n)))[:, None]
+        for before, early in enumerate(starts[: at + 1]):
+            j = np.arange(early, min(early + BLOCK, len(n)))[None, :]
+            need = -(-percent * (n[early] + n[late]) // (100 + percent))
+            if n[j[0, -1]] * 100 < percent * n[late] or min(most[before], most[at]) + min(last[before], last[at]) < need:
+                continue
+            both, room = n[j] + n[i], np.minimum(rest[j], rest[i]) + np.minimum(pos[j], pos[i])
+            ok = (j < i) & (comp[j] != comp[i]) & (n[j] * 100 >= percent * n[i]) & (room * (100 + percent) >= percent * both)
+            slack = (100 - percent) * both
             same = leader[j] == leader[i]
-            ok &= ~same | (np.abs(far[j] - far[i]) * (100 + percent) <= room)
-            j, sure = j[ok], (same & ((far[j] + far[i]) * (100 + percent) <= room))[ok]
-            if len(j):
-                yield ids[j], np.full(len(j), ids[i]), sure
+            ok &= ~same | (np.abs(far[j] - far[i]) * (100 + percent) <= slack)
+            later, earlier = np.nonzero(ok)
+            if len(later):
+                sure = same & ((far[j] + far[i]) * (100 + percent) <= slack)
+                yield ids[earlier + early], ids[later + late], sure[ok], np.minimum(meets[earlier + early], meets[later + late])
 
 
 def _list_pairs(percent: int):
@@ -260,9 +312,10 @@ def _list_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(parts) -> pa.RecordBatch:
             found = list(list_pairs(*(np.concatenate(x) for x in zip(*parts)), percent))
-            a, b, sure = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+            a, b, sure, meets = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure.astype(bool))], ["leader", "id", "sure"])
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure.astype(bool)), pa.array(meets)],
+                ["leader", "id", "sure", "meets"])
 
         token, held = None, []
         for batch in batches:
@@ -323,11 +376,12 @@ def similar_components(transcripts: DataFrame, percent: int = PERCENT, width: in
     """
     texts = keyed(transcripts).select("id", F.xxhash64("text").alias("print"), "text")
     spark = texts.sparkSession
-    cells = texts.select("text").mapInArrow(_cells(width), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    top = cells.orderBy(F.col("n").desc(), "cell").limit(FULL_CELLS).toArrow()
-    ranks = np.zeros(1 << CELL_BITS, np.uint8)
-    ranks[top.column("cell").to_numpy()] = (4 * np.log2(top.column("n").to_numpy().astype(float))).astype(np.uint8)
-    sets = settle(texts.mapInArrow(_sets(width, percent, ranks), SETS), "sets")
+    cells = texts.select("text").mapInArrow(_cells(width), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.ones((1 << WORD_BITS) + (1 << SHINGLE_BITS))  # at most one row per cell was collected
+    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    logs = tuple(np.split(np.log2(counts).astype(np.float32), [1 << WORD_BITS]))
+    total = float(np.log2(counts[: 1 << WORD_BITS].sum()))
+    sets = settle(texts.mapInArrow(_sets(width, percent, logs, total), SETS), "sets")
     filled = sets.where("n > 0")
     # Equal sets are one node, numbered when the table is written.
     least = filled.groupBy("s1", "s2").agg(F.min(F.struct("id", "print")).alias("x"))
@@ -338,13 +392,14 @@ def similar_components(transcripts: DataFrame, percent: int = PERCENT, width: in
         index.select("token", "id", "n", "pos").repartition(parts, "token").sortWithinPartitions("token", "n", "id")
         .mapInArrow(_lists(percent), ENTRY).distinct(), "lists")
     nodes = settle(entries.select("id").distinct(), "nodes")
-    held = settle(texts.join(same.join(nodes, same.node == nodes.id).select(same.id, "print", "node"), ["id", "print"])
-                  .select(F.col("node").alias("id"), "text"), "candidates")
 
-    # Each set is compared with the leader that it shares most lists with.
-    votes = entries.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
+    # Each set is compared with the leader that it shares most lists with, if they are many
+    # enough for the two to be near each other; whatever is left out here is looked at below.
+    votes = entries.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"), F.first("n").alias("size"))
+    votes = votes.where(F.col("n") * 400 >= F.col("size") * (100 - percent))
     chosen = votes.groupBy("id").agg(F.max(F.struct("n", "leader")).alias("best")).select("id", F.col("best.leader").alias("leader"))
-    answers = settle(compare_with_leaders(held, settle(chosen, "leaders"), width, percent, True).distinct(), "answers")
+    chosen = settle(chosen, "leaders")
+    answers = settle(compare_with_leaders(texts_of(texts, same, chosen), chosen, width, percent, True).distinct(), "answers")
     links = answers.where("linked IS NOT NULL").select(F.col("id").alias("a"), F.col("linked").alias("b"))
     joined = components(links, "first_components")
 
@@ -357,9 +412,11 @@ def similar_components(transcripts: DataFrame, percent: int = PERCENT, width: in
     pairs = settle(
         placed.join(mixed_lists, "token").repartition(parts, "token").sortWithinPartitions("token", "n", "id")
         .select("token", "id", "n", "pos", "comp", "leader", "far")
-        .mapInArrow(_list_pairs(percent), "leader bigint, id bigint, sure boolean")
-        .groupBy("leader", "id").agg(F.max("sure").alias("sure")), "pairs")
-    checked = compare_with_leaders(held, pairs.where("NOT sure").select("leader", "id"), width, percent, False)
+        .mapInArrow(_list_pairs(percent), "leader bigint, id bigint, sure boolean, meets bigint")
+        .groupBy("leader", "id").agg(F.max("sure").alias("sure"), F.count(F.lit(1)).alias("n"), F.max("meets").alias("meets"))
+        .where("sure OR n >= meets"), "pairs")
+    open_pairs = pairs.where("NOT sure").select("leader", "id")
+    checked = compare_with_leaders(texts_of(texts, same, open_pairs), open_pairs, width, percent, False)
     more = checked.where("linked IS NOT NULL").select("id", "leader").unionByName(pairs.where("sure").select("id", "leader"))
     whole = components(links.unionByName(more.toDF("a", "b")), "components")
     placed_sets = same.select("s1", "s2", F.struct("id", "print").alias("first"), F.col("node").alias("id")) \
