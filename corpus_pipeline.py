@@ -21,6 +21,9 @@ from cribble.llm.set_join import similar_components
 from cribble.llm.shared import settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What counts as a near copy in the third stage.
+SHINGLE_WORDS = 5
+SIMILAR_PERCENT = 80
 
 
 def _transcripts(docs: DataFrame, *more: str) -> DataFrame:
@@ -52,9 +55,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays, and once only.
 
-    Documents without words link with nothing, so all of them stay.
+    Linked are those whose sets of five-word shingles have a Jaccard similarity of
+    0.8 or more; the narrower contract of op7 holds for that query alone. Documents without words link with nothing, so all of them stay.
     """
-    found = settle(similar_components(_transcripts(docs)), "near_duplicates")
+    found = settle(similar_components(_transcripts(docs), SIMILAR_PERCENT, SHINGLE_WORDS), "near_duplicates")
     stays = found.where("representative").groupBy("id", "text_hash").agg(
         F.max("n_shingles").alias("_n"), F.count(F.lit(1)).alias("_copies"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (_text_hash() == F.col("text_hash"))

@@ -124,3 +124,37 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for (_, target), taken in by_source.items():
         assert abs(sum(taken) - target) <= 1
     assert rows is None
+
+
+def test_near_copies_of_five_words_and_four_fifths_go(spark):
+    """Four scattered words changed in 200: 176 of 216 shingles of five words, but 186 of 210 of three."""
+    text = [f"w{k}" for k in range(200)]
+    four, five = ([f"other{n}_{k}" if k % 40 == 20 and k < 40 * n else w for k, w in enumerate(text)] for n in (4, 5))
+    rows = [(2, " ".join(text)), (5, " ".join(four)), (7, " ".join(f"x{w}" for w in text)), (9, " ".join(f"x{w}" for w in five))]
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+    # Five words changed leave 171 of 221 shingles, under 0.8.
+    assert sorted(r.doc_id for r in left) == [2, 7, 9]
+
+
+def test_near_duplicates_of_the_table_against_brute_force(spark, docs):
+    def shingles(text):
+        w = words(re.sub("[A-Z]", lambda m: m.group().lower(), text))
+        return frozenset(tuple(w[k: k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} - {()})
+
+    sets = {i: shingles(t) for i, t in docs}
+    least = {i: i for i in sets}
+
+    def find(x):
+        return x if least[x] == x else find(least[x])
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                lo, hi = sorted((find(a), find(b)))
+                least[hi] = lo
+    base = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    left = corpus_pipeline.near_duplicates(spark, base, FOLDER).collect()
+    assert sorted(r.doc_id for r in left) == sorted({find(i) for i in ids})
