@@ -302,9 +302,11 @@ def repeated_spans(
     shards = max(1, -(-total * (6 if unit.words else 1) // SHARD))
     per_text = wanted.groupBy("id", "part").agg(F.collect_list(F.struct("v", "start", "run", "wide")).alias("wanted"))
     # Both joins below deal the texts out alike, so that exchange runs once.
+    asked = texts.join(per_text, ["id", "part"]).select("id", "part", "text", "wanted")
+    if not twice.isEmpty():
+        asked = asked.dropDuplicates(["id", "part"])  # a repeated row would repeat itself
     compared = (
-        texts.join(per_text, ["id", "part"]).select("id", "part", "text", "wanted")
-        .mapInArrow(_cut_out(unit, shards), CUT)
+        asked.mapInArrow(_cut_out(unit, shards), CUT)
         .groupBy("shard").applyInArrow(compare, "id bigint, part bigint, start int, run int")
     )
     gone = sifted.where(F.col("v").isNull()).select("id", "part", "start", "run").unionByName(compared)

@@ -117,3 +117,17 @@ def test_phrases_of_messy_rows(messy, empty):
     assert by_id[5].n_removed == 0 and by_id[6].text == "Ende" or by_id[6].n_removed == 30_000
     assert by_id[4].n_words == 0 and by_id[4].text == "" and by_id[None].n_words == 0
     assert remove_repeated_phrases(empty).count() == 0
+
+
+@pytest.mark.parametrize("wide", [2_000, 1])
+def test_a_repeated_row_is_not_its_own_earlier_text(spark, monkeypatch, wide):
+    """The repeated text shares a passage partly with a third, so its segments are compared."""
+    monkeypatch.setattr(passages, "WIDE", wide)
+    rng = random.Random(3)
+    one, two, three, four = ("".join(rng.choice("abcdefgh") for _ in range(300)) for _ in range(4))
+    docs = [(1, one + two[:150] + three), (2, two + four), (3, three[:120] + "x" + two[100:])]
+    want = brute_bytes(docs, 40)
+    assert want[2][1] < want[2][0] / 2
+    df = spark.createDataFrame([*docs, docs[1], docs[1], docs[2]], "id bigint, text string").repartition(3)
+    rows = [(r.id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in remove_repeated_bytes(df, span=40, gram=12).collect()]
+    assert sorted(rows) == sorted((i, want[i]) for i in (1, 2, 2, 2, 3, 3))
