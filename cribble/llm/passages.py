@@ -7,6 +7,9 @@ segment, so a text falls into segments of at most ``2 * span`` units, and
 equal strings can only lie in segments of one anchor hash. Segments are dealt
 out by that hash. Equal segments are collapsed into the first before anything
 else; only groups with different segments left need their texts compared.
+Where one anchor has many different segments, their strings are collapsed in the
+same way, each by a 128-bit hash of its own, so that a string shared by any number
+of texts is never gathered. Strings left by that are all different.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribble.llm.shared import keyed, settle
-from cribble.llm.words import AS_IS, NOT_SPACE, Rolling, Words, buffers
+from cribble.llm.words import AS_IS, NOT_SPACE, Rolling, Words, buffers, portions
 
 #: Bytes of text whose segments are collapsed together before they are dealt out.
 COMBINE = 1 << 24
 PIECE = 1 << 20
 #: Bytes (or about six times the words) of segments compared in one go.
 SHARD = 1 << 21
-#: Groups with more different segments are compared string by string, dealt by the string.
+#: Groups with more different segments are collapsed string by string, dealt by the string.
 WIDE = 2_000
 
 
@@ -107,25 +110,27 @@ def segments(values: np.ndarray, bounds: np.ndarray, unit: Unit) -> tuple[np.nda
 SEGMENT = "deal bigint, v bigint, s bigint, id bigint, part bigint, start int, run int"
 
 
+def _collapsed(rows: list[tuple[np.ndarray, ...]], unit: Unit) -> pa.RecordBatch:
+    """Rows of ``id, part, start, run, v, s``: the earliest of equal ``v, s`` stay, later ones are known to repeat."""
+    ids, part, start, run, v, s = (np.concatenate(x) for x in zip(*rows))
+    order = np.lexsort((start, part, ids, s, v))
+    ids, part, start, run, v, s = (x[order] for x in (ids, part, start, run, v, s))
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (s[1:] != s[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+    later = ids > ids[first]
+    if not unit.across:
+        later |= (part != part[first]) | (start != start[first])
+    deal = np.where(later, ids * 31 + start, v.view(np.int64))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(deal), pa.array(v.view(np.int64), mask=later), pa.array(s.view(np.int64), mask=later),
+         pa.array(ids), pa.array(part), pa.array(start.astype(np.int32)), pa.array(run.astype(np.int32))],
+        ["deal", "v", "s", "id", "part", "start", "run"])
+
+
 def _segment_rows(unit: Unit):
     """Segments to deal out by anchor (``v`` set), and those known to repeat (``v`` null)."""
 
-    def collapsed(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        ids, part, start, run, v, s = (np.concatenate(x) for x in zip(*rows))
-        order = np.lexsort((start, part, ids, s, v))
-        ids, part, start, run, v, s = (x[order] for x in (ids, part, start, run, v, s))
-        new = np.ones(len(v), bool)
-        new[1:] = (v[1:] != v[:-1]) | (s[1:] != s[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
-        later = ids > ids[first]
-        if not unit.across:
-            later |= (part != part[first]) | (start != start[first])
-        deal = np.where(later, ids * 31 + start, v.view(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(deal), pa.array(v.view(np.int64), mask=later), pa.array(s.view(np.int64), mask=later),
-             pa.array(ids), pa.array(part), pa.array(start.astype(np.int32)), pa.array(run.astype(np.int32))],
-            ["deal", "v", "s", "id", "part", "start", "run"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -140,10 +145,10 @@ def _segment_rows(unit: Unit):
                 size += int(bounds[b] - bounds[a])
                 a = b
                 if size >= COMBINE:
-                    yield collapsed(held)
+                    yield _collapsed(held, unit)
                     held, size = [], 0
         if held:
-            yield collapsed(held)
+            yield _collapsed(held, unit)
 
     return run
 
@@ -209,14 +214,60 @@ def _sift(unit: Unit):
     return run
 
 
+def _string_rows(unit: Unit):
+    """The strings of wide groups' segments as rows like ``_segment_rows``, ``v, s`` being the string's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolls = Rolling(13), Rolling(14)
+        held, size = [], 0
+        for batch in batches:
+            data, bounds = buffers(batch.column("text"))
+            ids, part = (batch.column(x).to_numpy() for x in ("id", "part"))
+            wanted = batch.column("wanted")
+            at = wanted.offsets.to_numpy()
+            start, n, wide = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            for a, b in portions(bounds):
+                owner = np.repeat(np.arange(a, b), np.diff(at[a: b + 1]))
+                which = np.flatnonzero(wide[at[a]: at[b]])
+                if not len(which):
+                    continue
+                owner, which = owner[which], which + at[a]
+                values, first = (data[bounds[a]: bounds[b]],) * 2, bounds[a: b + 1] - bounds[a]
+                if unit.words:  # words are hashed twice as well
+                    both = [Words(values[0], first, NOT_SPACE, AS_IS, seed) for seed in (1, 2)]
+                    values, first = [w.hashes for w in both], both[0].first
+                most = max(1, PIECE // (3 * unit.span))
+                for k in range(0, len(which), most):
+                    of, seg = owner[k: k + most], which[k: k + most]
+                    run, begin = n[seg].astype(np.int64), start[seg].astype(np.int64)
+                    long = run + unit.span - 1
+                    offset = np.cumsum(long) - long
+                    units = np.arange(long.sum()) + np.repeat(first[of - a] + begin - offset, long)
+                    step = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+                    place = np.repeat(offset, run) + step
+                    hashes = []
+                    for roll, x in zip(rolls, values):
+                        sums = roll.prefix(x[units] if unit.words else roll.table[x[units]])
+                        hashes.append(roll.runs(sums, place, place + unit.span))
+                    held.append((np.repeat(ids[of], run), np.repeat(part[of], run), np.repeat(begin, run) + step,
+                                 np.ones(len(step), np.int64), *hashes))
+                    size += 48 * len(step)
+                    if size >= COMBINE:
+                        yield _collapsed(held, unit)
+                        held, size = [], 0
+        if held:
+            yield _collapsed(held, unit)
+
+    return run
+
+
 CUT = "shard bigint, v bigint, id bigint, part bigint, start int, seg binary"
 
 
 def _cut_out(unit: Unit, shards: int):
-    """The text of wanted segments; those of wide groups string by string."""
+    """The text of wanted segments; strings of wide groups are looked at elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Rolling(13)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             wanted = batch.column("wanted")
@@ -224,26 +275,20 @@ def _cut_out(unit: Unit, shards: int):
             v, start, n, wide = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             rows: list[tuple] = []
             for k, text in enumerate(texts):
-                if at[k] == at[k + 1]:
+                if wide[at[k]: at[k + 1]].all():
                     continue
+                begin = None
                 if unit.words:
                     data = np.frombuffer(text, np.uint8)
                     found = Words(data, np.array([0, len(data)]), NOT_SPACE, AS_IS)
-                    begin, end, values = found.starts, found.ends, found.hashes
-                else:
-                    begin = end = None
-                    values = hasher.table[np.frombuffer(text, np.uint8)]
+                    begin, end = found.starts, found.ends
                 for i in range(at[k], at[k + 1]):
-                    a, m = int(start[i]), int(n[i])
                     if wide[i]:
-                        keys = hasher.grams(values[a: a + m - 1 + unit.span], unit.span)
-                        pieces = [(a + j, 1, int(key)) for j, key in enumerate(keys)]
-                    else:
-                        pieces = [(a, m, int(np.uint64(v[i].view(np.uint64))))]
-                    for b, c, key in pieces:
-                        to = b + c - 1 + unit.span
-                        seg = text[b:to] if begin is None else text[int(begin[b]): int(end[to - 1])]
-                        rows.append((key % shards, int(v[i]), k, b, seg))
+                        continue
+                    a = int(start[i])
+                    to = a + int(n[i]) - 1 + unit.span
+                    seg = text[a:to] if begin is None else text[int(begin[a]): int(end[to - 1])]
+                    rows.append((int(np.uint64(v[i].view(np.uint64))) % shards, int(v[i]), k, a, seg))
                 if len(rows) > 20_000:
                     yield packed(batch, rows)
                     rows = []
@@ -297,11 +342,11 @@ def repeated_spans(
     wide = settle(several.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE)
                   .select("v", F.lit(True).alias("wide")), name)
     wanted = several.join(wide, "v", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
-    length = F.when(F.col("wide"), F.col("run") * unit.span).otherwise(F.col("run") + unit.span)
+    length = F.when(F.col("wide"), 0).otherwise(F.col("run") + unit.span)
     total = wanted.agg(F.sum(length.cast("bigint"))).first()[0] or 0
     shards = max(1, -(-total * (6 if unit.words else 1) // SHARD))
     per_text = wanted.groupBy("id", "part").agg(F.collect_list(F.struct("v", "start", "run", "wide")).alias("wanted"))
-    # Both joins below deal the texts out alike, so that exchange runs once.
+    # All joins below deal the texts out alike, so that exchange runs once.
     asked = texts.join(per_text, ["id", "part"]).select("id", "part", "text", "wanted")
     if not twice.isEmpty():
         asked = asked.dropDuplicates(["id", "part"])  # a repeated row would repeat itself
@@ -310,6 +355,11 @@ def repeated_spans(
         .groupBy("shard").applyInArrow(compare, "id bigint, part bigint, start int, run int")
     )
     gone = sifted.where(F.col("v").isNull()).select("id", "part", "start", "run").unionByName(compared)
+    if not wide.isEmpty():
+        strings = asked.where(F.exists("wanted", lambda x: x["wide"])).mapInArrow(_string_rows(unit), SEGMENT)
+        judged = strings.repartition(parts, "deal").sortWithinPartitions("v", "s", "id", "part", "start") \
+            .mapInArrow(_sift(unit), "v bigint, id bigint, part bigint, start int, run int")
+        gone = gone.unionByName(judged.where(F.col("v").isNull()).select("id", "part", "start", "run"))
     spans = gone.groupBy("id", "part").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
     return texts, texts.join(spans, ["id", "part"], "left").select("id", "part", "text", "spans")
 

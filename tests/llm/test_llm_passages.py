@@ -131,3 +131,32 @@ def test_a_repeated_row_is_not_its_own_earlier_text(spark, monkeypatch, wide):
     df = spark.createDataFrame([*docs, docs[1], docs[1], docs[2]], "id bigint, text string").repartition(3)
     rows = [(r.id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in remove_repeated_bytes(df, span=40, gram=12).collect()]
     assert sorted(rows) == sorted((i, want[i]) for i in (1, 2, 2, 2, 3, 3))
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_a_string_shared_by_all_texts_of_a_wide_group_is_not_gathered(spark, monkeypatch, words):
+    from cribble.llm import phrase_dedup, suffix_dedup
+
+    for name, value in (("WIDE", 3), ("COMBINE", 30_000)):
+        monkeypatch.setattr(passages, name, value)
+    rng = random.Random(8)
+    some = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    shared = some(70)
+    docs = [(i, (" " if words else "").join(some(60) + shared + some(60))) for i in range(300)]
+    span, module = (40, phrase_dedup) if words else (40, suffix_dedup)
+    usual = module._comparing(span)
+
+    def compare(table):
+        if table.num_rows > 200:  # each text gives about 30 strings
+            raise ValueError(f"{table.num_rows} segments in one shard")
+        return usual(table)
+
+    monkeypatch.setattr(module, "_comparing", lambda span: compare)
+    df = spark.createDataFrame(docs, "id bigint, text string").repartition(3)
+    if words:
+        got = {r.id: (r.n_words, r.n_removed, r.text) for r in remove_repeated_phrases(df, span=span).collect()}
+        assert got == brute_words(docs, span)
+    else:
+        got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeated_bytes(df, span=span, gram=12).collect()}
+        assert got == brute_bytes(docs, span)
+    assert len({x[1] for x in got.values()}) > 1
