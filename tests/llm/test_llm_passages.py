@@ -160,3 +160,18 @@ def test_a_string_shared_by_all_texts_of_a_wide_group_is_not_gathered(spark, mon
         got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeated_bytes(df, span=span, gram=12).collect()}
         assert got == brute_bytes(docs, span)
     assert len({x[1] for x in got.values()}) > 1
+
+
+def test_a_level_of_many_rare_symbols_is_sorted_by_doubling(monkeypatch):
+    from cribble.llm import suffixes
+
+    sorted_by_doubling = []
+    usual = suffixes._by_doubling
+    monkeypatch.setattr(suffixes, "_by_doubling", lambda text: sorted_by_doubling.append(len(text)) or usual(text))
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 200, 6_000)
+    text = np.concatenate([base, base[1_000:4_000], rng.integers(1, 200, 3_000), base[:2_500], [0]])
+    items = text.astype(">u2").tobytes()
+    want = sorted(range(len(text)), key=lambda i: items[2 * i:])
+    assert suffix_array(text).tolist() == want and sorted_by_doubling
+    assert usual(text).tolist() == want
