@@ -33,6 +33,8 @@ FILTER_BITS = 24
 PIVOTS = 64
 GROUP = 5_000
 BLOCK = 64
+#: Candidate pairs of a list that are held before they are given on; one block of pairs more at most.
+PAIRS = 1 << 16
 
 
 def rarity(logs: np.ndarray, total: float) -> np.ndarray:
@@ -310,13 +312,23 @@ def _list_pairs(percent: int):
     names = ("id", "n", "pos", "comp", "leader", "far")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(parts) -> pa.RecordBatch:
-            found = list(list_pairs(*(np.concatenate(x) for x in zip(*parts)), percent))
-            a, b, sure, meets = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+        def batch_of(found) -> pa.RecordBatch:
+            a, b, sure, meets = (np.concatenate(x) for x in zip(*found))
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure.astype(bool)), pa.array(meets)],
                 ["leader", "id", "sure", "meets"])
 
+        def pairs(parts) -> Iterator[pa.RecordBatch]:
+            found, size = [], 0
+            for block in list_pairs(*(np.concatenate(x) for x in zip(*parts)), percent):
+                found.append(block)
+                size += len(block[0])
+                if size >= PAIRS:
+                    yield batch_of(found)
+                    found, size = [], 0
+            if found:
+                yield batch_of(found)
+
         token, held = None, []
         for batch in batches:
             t = batch.column("token").to_numpy()
@@ -327,11 +339,11 @@ def _list_pairs(percent: int):
                     continue
                 if t[a] != token:
                     if held:
-                        yield pairs(held)
+                        yield from pairs(held)
                     token, held = t[a], []
                 held.append([c[a:b] for c in columns])
         if held:
-            yield pairs(held)
+            yield from pairs(held)
 
     return run
 

@@ -77,3 +77,16 @@ def test_messy_rows(messy, empty):
     assert all(r.n_shingles == 0 and r.component == r.id and r.representative for r in rows if r.id in (None, 2, 3, 4))
     assert {r.component for r in rows if r.id == 1} == {1}
     assert set_join.similar_components(empty).count() == 0
+
+
+def test_pairs_of_a_long_list_come_in_batches_of_limited_size():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 1_000
+    column = {"token": np.ones(n), "id": np.arange(n), "n": np.full(n, 100), "pos": np.zeros(n), "comp": np.arange(n),
+              "leader": np.arange(n), "far": np.zeros(n)}
+    batch = pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in column.values()], list(column))
+    batches = list(set_join._list_pairs(90)(iter([batch])))
+    assert sum(b.num_rows for b in batches) == n * (n - 1) // 2
+    assert max(b.num_rows for b in batches) <= set_join.PAIRS + set_join.BLOCK**2
