@@ -170,3 +170,64 @@ cut AS (
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
 FROM scored, cut
 """
+
+SQL["op11_hard_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, v.vec_id AS b, a.label = v.label AS same, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS s
+  FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT a, b AS positive, s AS ps FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS anchor_id, positive AS positive_id,
+       CAST(row_number() OVER (PARTITION BY a, positive ORDER BY s DESC, b) AS INT) AS rank,
+       b AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps
+QUALIFY row_number() OVER (PARTITION BY a, positive ORDER BY s DESC, b) <= 3
+"""
+
+# DuckDB has no crc32: each byte is folded in by eight shifts.
+SQL["op12_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations),
+o AS (SELECT c, list(x ORDER BY i) AS w FROM t GROUP BY c),
+h AS (
+  SELECT c, w, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+             string_split(CAST(c AS VARCHAR), ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END),
+         4294967295) % 6 AS h
+  FROM o),
+r AS (
+  SELECT h.c, list_concat(coalesce(o.w[1:h.h], []), h.w[h.h + 1:]) AS w
+  FROM h LEFT JOIN o ON o.c = h.c - h.c % 100),
+p AS (SELECT c, len(w) AS m, d, w[1:d] AS key, w[1:d - 1] AS up FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM r)),
+n AS (
+  SELECT d, key, any_value(up) AS up, min(c) AS c, count(*) AS n,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE m = d), '')) AS ends
+  FROM p GROUP BY d, key),
+k AS (
+  SELECT n.*, coalesce(q.k, 0) AS k
+  FROM n LEFT JOIN (SELECT d - 1 AS d, up AS key, count(*) AS k FROM n WHERE d > 0 GROUP BY ALL) AS q USING (d, key)),
+b AS (
+  SELECT x.d, x.key, CAST(count(*) FILTER (WHERE k.k = 0) AS BIGINT) AS leaves,
+         CAST(sum(CASE WHEN k.d = 0 THEN 0 ELSE (k.n - 1) * length(k.key[-1]['text']) END) AS BIGINT) AS saved
+  FROM k, (SELECT unnest(range(0, k.d + 1)) AS d, k.key[1:unnest(range(0, k.d + 1))] AS key) AS x
+  GROUP BY x.d, x.key)
+SELECT k.c AS conv_id, k.d AS depth, u.c AS parent_conv_id, k.n AS n_convs, k.k AS n_children, leaves AS n_leaves,
+       saved AS saved_tokens, k.ends AS ends_sha256
+FROM k JOIN b USING (d, key) LEFT JOIN n AS u ON u.d = k.d - 1 AND u.key = k.up
+"""
+
+SQL["op13_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST, r) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
