@@ -187,13 +187,14 @@ def running_sums(
     )
 
 
-def number_rows(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
-    """Dense 0-based row numbers in the order of the given columns, without one global sort task.
+def number_rows(df: DataFrame, order: Column | str | Sequence[Column | str], out: str) -> DataFrame:
+    """Dense 0-based row numbers in the order of the given column or columns, without one global sort task.
 
     The rows are dealt out by ranges of the order and written with their place in
     their range; the ranges' sizes (one row per range) then give the offsets.
     Give it materialized rows where they are costly: they are read twice.
     """
+    order = [order] if isinstance(order, (str, Column)) else order
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.monotonically_increasing_id()
     ranges = materialize(

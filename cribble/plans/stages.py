@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ from cribble.operators.labels import (
     require_rows,
     training_set,
 )
-from cribble.operators.model import apply_scores, evaluate, train_classifier
+from cribble.operators.model import Classifier, apply_scores, evaluate, train_classifier
 from cribble.operators.once import compute_once
 from cribble.operators.queue import fetch, insert_if_absent
 from cribble.operators.ranking import broadcast_if_small
@@ -162,7 +161,7 @@ def featurize(
 
 def score_items(
     queue: DataFrame, transcripts: DataFrame, lexicons: Lexicons, embed: Embed,
-    model: LogisticRegressionModel, now, settings: S.Settings = S.Settings(),
+    model: Classifier, now, settings: S.Settings = S.Settings(),
     limit: int | None = None,
 ) -> DataFrame:
     """Queue with all SCREENED items (or the oldest ``limit``) scored into tiers.

@@ -91,3 +91,12 @@ def test_every_row_survives_the_unhinted_path(spark, monkeypatch):
     monkeypatch.setattr(R, "broadcast_if_small", lambda d, max_rows=0: d)
     plain = {r.id for r in R.lowest_share(df, "g", "k", "id", F.lit(40), "p").where("p").collect()}
     assert usual == plain and len(plain) == 120
+
+
+@pytest.mark.parametrize("order", ["v", ["v"], ["v", "w"]])
+def test_rows_are_numbered_by_one_column_or_several(spark, order):
+    from cribble.operators.ranking import number_rows
+
+    rows = [(i * 7 % 50, i % 3) for i in range(50)]
+    got = number_rows(spark.createDataFrame(rows, "v int, w int").repartition(5), order, "n").collect()
+    assert sorted((r.n, r.v) for r in got) == [(i, i) for i in range(50)]
