@@ -9,7 +9,7 @@ from cribble.catalog.registry import Tables, query
 from cribble.functions.lexicon import Lexicons, count_matches, final_score, lexicon_score
 from cribble.functions.lexicon import dominance_ratio
 from cribble.operators.labels import tier, verified_positive
-from cribble.operators.lexhits import gram_join_hits, lexicon_hits
+from cribble.operators.lexhits import count_matches_table, count_terms, gram_join_hits, lexicon_hits
 from cribble.operators.features import score_texts
 
 # Short lists in the languages of the driver's documents. One entry is listed
@@ -144,6 +144,40 @@ def count_matches_large_lists(t: Tables) -> DataFrame:
     return t.texts.select("doc_id", count_matches("text", lex).alias("c")).select("doc_id", "c.*")
 
 
+# A still larger one: every stretch of four words of the benchmark passages, and of seven.
+PHRASES_SQL = """ws AS (SELECT list_filter(string_split(replace(lower(text), chr(10), ' '), ' '), lambda w: w <> '') AS w FROM benchmark),
+phrases AS (SELECT CASE WHEN k = 4 THEN 'lb' ELSE 'msa' END AS lexicon, array_to_string(w[i:i + k - 1], ' ') AS term
+FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM ws, (SELECT unnest([4, 7]) AS k) WHERE len(w) >= k))"""
+
+
+def benchmark_phrases(t: Tables) -> DataFrame:
+    words = F.filter(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
+    cut = t.benchmark.select(words.alias("w")).select("w", F.explode(F.array(F.lit(4), F.lit(7))).alias("k"))
+    places = F.when(F.size("w") >= F.col("k"), F.sequence(F.lit(1), F.size("w") - F.col("k") + 1))
+    return cut.select("w", "k", F.explode(places).alias("i")).select(
+        F.when(F.col("k") == 4, "lb").otherwise("msa").alias("lexicon"),
+        F.array_join(F.slice("w", F.col("i"), F.col("k")), " ").alias("term"))
+
+
+COUNTED_PHRASES_SQL = f"""WITH {PHRASES_SQL}, m AS (SELECT term, lexicon, count(*) AS n FROM phrases GROUP BY 1, 2),
+h AS (SELECT d.doc_id, m.lexicon, m.n FROM documents d JOIN m ON contains(lower(d.text), m.term))
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE lexicon = '{x}'), 0) AS INT) AS {x}" for x in ("lb", "msa"))}
+FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY 1"""
+
+
+@query("F1, J10", COUNTED_PHRASES_SQL)
+def count_phrases(t: Tables) -> DataFrame:
+    counted = count_matches_table(t.texts.select("doc_id", "text"), benchmark_phrases(t), ["lb", "msa"], "doc_id")
+    return counted.select("doc_id", "counts.*")
+
+
+@query("F1, J10", COUNTED_PHRASES_SQL)
+def count_phrases_by_join(t: Tables) -> DataFrame:
+    """As for a table that no driver could hold."""
+    counted = count_matches_table(t.texts.select("doc_id", "text"), benchmark_phrases(t), ["lb", "msa"], "doc_id", max_terms=0)
+    return counted.select("doc_id", "counts.*")
+
+
 HITS_SQL = f"""WITH {WORDS_SQL}, m AS (SELECT term, lexicon, count(*) AS multiplicity FROM words GROUP BY 1, 2)
 SELECT d.doc_id, m.lexicon, m.term, m.multiplicity FROM documents d
 JOIN m ON contains(lower(d.text), m.term)"""
@@ -156,6 +190,4 @@ def lexicon_term_hits(t: Tables) -> DataFrame:
 
 @query("J10", HITS_SQL)
 def lexicon_term_hits_by_join(t: Tables) -> DataFrame:
-    counted = benchmark_words(t).groupBy("lexicon", "term").agg(
-        F.count(F.lit(1)).alias("multiplicity"))
-    return gram_join_hits(t.texts, counted, "doc_id")
+    return gram_join_hits(t.texts, count_terms(benchmark_words(t)), "doc_id")

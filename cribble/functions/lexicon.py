@@ -8,12 +8,15 @@ Entries themselves are not lower-cased.
 from __future__ import annotations
 
 import json
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,11 +27,23 @@ try:
 except ImportError:  # the built-in plan is used instead
     ahocorasick = None
 
+# Functions that run in tasks travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Lists the score reads.
 SCORED_LISTS = ("lb", "msa", "egy", "gulf", "sy", "strong_lb_hits")
 
-# The word lists travel inside the plan, so their size is checked. Larger
-# tables go through ``cribble.operators.lexhits``, which joins instead.
+# The word lists pass through the driver, so their size is checked (about 100 MB).
+# Larger tables go through ``cribble.operators.lexhits``, which joins instead.
+MAX_TERMS = 2_000_000
+
+# One automaton holds so many terms; larger lists are cut into several.
+PART_TERMS = 100_000
+# A task keeps so many automata; beyond, each is built anew for every so many characters of text.
+KEPT_PARTS = 4
+HELD_CHARS = 1 << 26
+
+# Up to here the terms can be constants of a plan.
 MAX_PLAN_TERMS = 100_000
 
 # Up to here trying each term with ``contains`` beats one automaton pass that
@@ -61,7 +76,7 @@ class Lexicons:
         cls,
         table: DataFrame,
         names: Iterable[str] | None = None,
-        max_terms: int = MAX_PLAN_TERMS,
+        max_terms: int = MAX_TERMS,
     ) -> Lexicons:
         """Read a ``(lexicon, term)`` table; refuses one above ``max_terms`` distinct pairs."""
         rows = (
@@ -69,7 +84,7 @@ class Lexicons:
             .limit(max_terms + 1).collect()
         )
         if len(rows) > max_terms:
-            raise LexiconTooLarge(f"more than {max_terms} terms; use lexicon_hits on the table")
+            raise LexiconTooLarge(f"more than {max_terms} terms; use lexicon_hits or count_matches_table")
         order = tuple(names) if names is not None else tuple(sorted({r.lexicon for r in rows}))
         terms: dict[str, list[int]] = {}
         for r in rows:
@@ -98,8 +113,10 @@ def _matcher_builder(lexicons: Lexicons) -> Callable[[], Callable[[str], set[int
 
     Everything shipped is nested in here, so executors need no copy of this package.
     """
-    terms = [t for t, _ in lexicons.terms]
+    return _builder_of([t for t, _ in lexicons.terms])
+
 
+def _builder_of(terms: list[str]) -> Callable[[], Callable[[str], set[int]]]:
     def build():
         import ahocorasick
 
@@ -116,32 +133,98 @@ def _matcher_builder(lexicons: Lexicons) -> Callable[[], Callable[[str], set[int
     return build
 
 
+def _in_parts(lexicons: Lexicons):
+    """``run(batches, empty, add, finish)``: pass texts through one automaton after the other.
+
+    ``add`` puts the matched terms of one part, as sets of numbers counted from ``start``, on what ``empty``
+    made for a batch; ``finish`` gives the batch's result. Parts of more than one are broadcast, each of at most
+    ``PART_TERMS`` terms. Texts are read once: where there are more parts than a task keeps, texts are
+    held (``HELD_CHARS`` of them) while each automaton is built in turn.
+    """
+    terms = [t for t, _ in lexicons.terms]
+    cuts = range(0, max(1, len(terms)), PART_TERMS)
+    context = SparkSession.active().sparkContext
+    # Lists that a plan can hold travel with the function itself.
+    shared = [context.broadcast(terms[x:x + PART_TERMS]) for x in cuts] if len(terms) > PART_TERMS else None
+    starts, kept, held = list(cuts), KEPT_PARTS, HELD_CHARS
+    first = None if shared else _builder_of(terms)
+    builder_of = _builder_of
+
+    def run(batches: Iterator[pd.Series], empty: Callable, add: Callable, finish: Callable) -> Iterator:
+        machines: dict[int, Callable] = {}
+
+        def machine(k: int) -> Callable[[str], set[int]]:
+            if k not in machines:
+                if len(machines) >= kept:
+                    machines.clear()
+                machines[k] = first() if shared is None else builder_of(shared[k].value)()
+            return machines[k]
+
+        def through(group: list[pd.Series]) -> Iterator:
+            totals = [empty(len(texts)) for texts in group]
+            for k, start in enumerate(starts):
+                match = machine(k)
+                for texts, total in zip(group, totals):
+                    add(total, start, [match(t) for t in texts])
+            for total in totals:
+                yield finish(total)
+
+        group, size = [], 0
+        for texts in batches:
+            group.append(texts)
+            size += int(texts.str.len().sum())
+            if len(starts) <= kept or size >= held:
+                yield from through(group)
+                group, size = [], 0
+        if group:
+            yield from through(group)
+
+    return run
+
+
 def _arrow_counts(lexicons: Lexicons, low: Column) -> Column:
     schema = T.StructType([T.StructField(n, T.IntegerType()) for n in lexicons.names])
-    build, names = _matcher_builder(lexicons), list(lexicons.names)
-    weights = [c for _, c in lexicons.terms]
+    run, names = _in_parts(lexicons), list(lexicons.names)
+    weights = np.array([c for _, c in lexicons.terms], dtype=np.int32).reshape(len(lexicons.terms), len(names))
+    if len(weights) > PART_TERMS:
+        weights_shared = SparkSession.active().sparkContext.broadcast(weights)
+        weights = None
 
     @F.pandas_udf(schema)
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        match, none = build(), (0,) * len(names)
-        for texts in batches:
-            rows = [
-                [sum(column) for column in zip(none, *(weights[i] for i in match(t)))]
-                for t in texts
-            ]
-            yield pd.DataFrame(rows, columns=names)
+        table = weights_shared.value if weights is None else weights
+
+        def add(total: np.ndarray, start: int, matched: list[set[int]]) -> None:
+            sizes = np.array([len(m) for m in matched], dtype=np.int64)
+            if not sizes.sum():
+                return
+            ids = np.fromiter((i for m in matched for i in m), dtype=np.int64, count=int(sizes.sum())) + start
+            # Hits stand row by row: running sums at the rows' ends give each row's total.
+            sums = np.concatenate([np.zeros((1, table.shape[1]), np.int64), np.cumsum(table[ids], axis=0, dtype=np.int64)])
+            ends = np.cumsum(sizes)
+            total += sums[ends] - sums[ends - sizes]
+
+        yield from run(batches, lambda n: np.zeros((n, len(names)), np.int64), add,
+                       lambda total: pd.DataFrame(total.astype(np.int32), columns=names))
 
     return count(low)
 
 
 def _arrow_hits(lexicons: Lexicons, low: Column) -> Column:
-    build, terms = _matcher_builder(lexicons), [t for t, _ in lexicons.terms]
+    run, terms = _in_parts(lexicons), [t for t, _ in lexicons.terms]
+    if len(terms) > PART_TERMS:
+        terms_shared = SparkSession.active().sparkContext.broadcast(terms)
+        terms = None
 
     @F.pandas_udf("array<string>")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        match = build()
-        for texts in batches:
-            yield pd.Series([[terms[i] for i in sorted(match(t))] for t in texts])
+        names = terms_shared.value if terms is None else terms
+
+        def add(total: list[list[str]], start: int, matched: list[set[int]]) -> None:
+            for row, found in zip(total, matched):
+                row.extend(names[start + i] for i in sorted(found))
+
+        yield from run(batches, lambda n: [[] for _ in range(n)], add, lambda total: pd.Series(total, dtype=object))
 
     return hits(low)
 
@@ -177,6 +260,8 @@ def _use_arrow(lexicons: Lexicons, plan: str) -> bool:
         raise ValueError(f"unknown plan {plan!r}")
     if plan == "arrow" and ahocorasick is None:
         raise RuntimeError("the arrow plan needs pyahocorasick on every executor")
+    if plan == "builtin" and len(lexicons.terms) > MAX_PLAN_TERMS:
+        raise LexiconTooLarge(f"more than {MAX_PLAN_TERMS} terms can't be constants of a plan; use auto or arrow")
     if plan == "auto":
         return ahocorasick is not None and len(lexicons.terms) > BUILTIN_TERMS
     return plan == "arrow"

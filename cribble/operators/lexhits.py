@@ -1,13 +1,32 @@
-"""Item-by-term hits, one row per matched list entry."""
+"""Item-by-term hits, one row per matched list entry, and counts from term tables of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cribble.functions.lexicon import Lexicons, LexiconTooLarge, matched_terms
+from cribble.functions.lexicon import Lexicons, LexiconTooLarge, count_matches, matched_terms
+
+# Functions that run in tasks travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GRAM = 4
+#: Terms up to this long are looked up whole; longer ones first by a prefix of this length.
+PREFIX = 16
+#: Size of the filter over the terms, in bits; a fuller filter lets more through, nothing is lost.
+BITS_PER_TERM = 16
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
+#: Characters hashed at once in a task.
+SLICE = 1 << 20
+FAN_IN = 32
+
+_BASE = 0x9E3779B97F4A7C15
+_MIX = 0xBF58476D1CE4E5B9
 
 
 def lexicon_hits(
@@ -16,10 +35,10 @@ def lexicon_hits(
 ) -> DataFrame:
     """``(id, lexicon, term, multiplicity)`` for every list entry contained in the text.
 
-    Word lists that fit in a plan are matched row by row with no shuffle of the
-    texts. Larger term tables take the gram join below; both give the same rows.
+    Word lists that fit in memory are matched row by row with no shuffle of the
+    texts. Larger term tables take the join below; both give the same rows.
     """
-    counted = table.groupBy("lexicon", "term").agg(F.count(F.lit(1)).alias("multiplicity"))
+    counted = count_terms(table)
     try:
         lexicons = Lexicons.from_table(table)
     except LexiconTooLarge:
@@ -27,72 +46,208 @@ def lexicon_hits(
     found = items.select(
         F.col(id_col), F.explode(matched_terms(text_col, lexicons, plan)).alias("term")
     )
-    # The term side passed the size check above.
-    return found.join(F.broadcast(counted), "term").select(
+    # The term side passed the size check above; its counts are those just collected.
+    rows = [(name, term, n) for term, counts in lexicons.terms for name, n in zip(lexicons.names, counts) if n]
+    local = items.sparkSession.createDataFrame(rows, "lexicon string, term string, multiplicity bigint")
+    return found.join(F.broadcast(local), "term").select(
         id_col, "lexicon", "term", "multiplicity"
     )
 
 
-def _grams(text: str, size: int) -> Column:
-    """Distinct overlapping grams; a look-ahead yields them in one pass over the text."""
-    if size == 0:
-        return F.array(F.lit(""))
-    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    return F.array_distinct(every)
+def count_terms(table: DataFrame) -> DataFrame:
+    """``(lexicon, term, multiplicity)`` of a ``(lexicon, term)`` table."""
+    return table.groupBy("lexicon", "term").agg(F.count(F.lit(1)).alias("multiplicity"))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray, length: int, kind: int) -> np.ndarray:
+    h = h + np.uint64((length * 2 + kind) * _MIX % 2**64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(_MIX)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(_BASE)
+
+
+class _Windows:
+    """Hashes of all windows of a text: differences of running sums of ``code * base^place``,
+    shifted back by powers of the base's inverse, all modulo 2^64."""
+
+    def __init__(self):
+        self.power = np.ones(1, np.uint64)
+        self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            for name, factor in (("power", _BASE), ("inverse", pow(_BASE, -1, 2**64))):
+                steps = np.full(n, factor, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        self._grow(len(codes) + 1)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * self.power[:len(codes)], dtype=np.uint64)])
+
+    def hashes(self, sums: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Of every window of a length, or of those that start at the given places."""
+        if at is None:
+            n = max(0, len(sums) - length)
+            return (sums[length:length + n] - sums[:n]) * self.inverse[:n]
+        return (sums[at + length] - sums[at]) * self.inverse[at]
 
 
-def _anchored(counted: DataFrame, gram: int) -> DataFrame:
-    """Terms with the gram they are looked up by: whole if short, else their rarest one.
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    shift = np.uint64(64 - (bits - 1).bit_length())
+    return h >> shift, (h * np.uint64(_MIX)) >> shift
 
-    Rarest among the terms, so that a prefix many terms share draws no pairs.
+
+def _filter_of(bits: int):
+    """Per partition of terms, a bit array with two bits for each term and each prefix."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, found = _Windows(), np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for term in batch.column("term").to_pylist():
+                sums = windows.sums(_codes(term))
+                for length, kind in {(len(term), 0), (min(len(term), PREFIX), 1)}:
+                    if kind == 0 or len(term) > PREFIX:
+                        for place in _probes(_mixed(windows.hashes(sums, length)[:1], length, kind), bits):
+                            found[place >> np.uint64(3)] |= np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["bits"])
+
+    return build
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for row in batch.column("bits"):
+            part = np.frombuffer(row.as_py(), np.uint8)
+            total = part if total is None else total | part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["bits"])
+
+
+def term_filter(terms: DataFrame, n: int) -> bytes:
+    """A Bloom filter over the ``term`` column: each partition's bits, joined by a tree of tasks.
+
+    At most ``MAX_BITS`` (16 MB), whatever the number of terms.
     """
-    size = F.least(F.char_length("term"), F.lit(gram))
-    terms = counted.withColumn("_len", size)
-    long_terms = terms.where(F.char_length("term") > gram).select("term").distinct()
-    shingled = long_terms.select("term", F.explode(_grams("term", gram)).alias("_gram"))
-    shared = shingled.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = shingled.join(shared, "_gram").groupBy("term").agg(
-        F.min(F.struct("_n", "_gram")).alias("_a")
-    ).select("term", F.col("_a._gram").alias("_gram"))
-    short = terms.where(F.char_length("term") <= gram).withColumn("_gram", F.col("term"))
-    return short.unionByName(terms.where(F.char_length("term") > gram).join(rarest, "term"))
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (n * BITS_PER_TERM - 1).bit_length() if n else 0))
+    # No more partitions than terms to fill them: each one gives a whole filter.
+    parts = max(1, min(terms.rdd.getNumPartitions(), n // 10_000))
+    found = terms.select("term").repartition(parts).mapInArrow(_filter_of(bits), "bits binary")
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        found = found.repartition(parts).mapInArrow(_merge, "bits binary")
+    return bytes(found.first()["bits"])
+
+
+def _scanner(filter_: bytes, lengths: Sequence[int]):
+    """Of each text, the distinct windows that the filter takes for terms."""
+    short = [n for n in lengths if n <= PREFIX]
+    long_ones = [n for n in lengths if n > PREFIX]
+    overlap = max(lengths, default=1) - 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, table = _Windows(), np.frombuffer(filter_, np.uint8)
+        bits = len(table) * 8
+
+        def may_be(h: np.ndarray) -> np.ndarray:
+            """Places in ``h`` that pass: the second probe is only for those that pass the first."""
+            at = np.arange(len(h))
+            for place in range(2):
+                p = _probes(h[at], bits)[place]
+                at = at[(table[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            return at
+
+        def found(text: str, codes: np.ndarray) -> set[str]:
+            sums, out = windows.sums(codes), set()
+
+            def take(at: np.ndarray, h: np.ndarray, length: int) -> None:
+                _, first = np.unique(h, return_index=True)
+                out.update(text[i:i + length] for i in at[first].tolist())
+
+            for length in short:
+                h = _mixed(windows.hashes(sums, length), length, 0)
+                at = may_be(h)
+                take(at, h[at], length)
+            if long_ones:
+                starts = may_be(_mixed(windows.hashes(sums, PREFIX), PREFIX, 1))
+                for length in long_ones:
+                    at = starts[starts + length <= len(codes)]
+                    h = _mixed(windows.hashes(sums, length, at), length, 0)
+                    passed = may_be(h)
+                    take(at[passed], h[passed], length)
+            return out
+
+        for batch in batches:
+            owners, terms = [], []
+            for i, text in enumerate(batch.column("low").to_pylist()):
+                codes, hits = _codes(text), set()
+                for x in range(0, max(len(text) - overlap, 1), SLICE):
+                    end = x + SLICE + overlap
+                    hits |= found(text[x:end] if len(text) > SLICE + overlap else text, codes[x:end])
+                owners += [i] * len(hits)
+                terms += hits
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(owners, pa.int64())), pa.array(terms, pa.string())], names=["id", "term"])
+
+    return scan
 
 
 def gram_join_hits(
     items: DataFrame, counted: DataFrame, id_col: str = "id", text_col: str = "text",
-    gram: int = GRAM,
 ) -> DataFrame:
-    """The same hits for a term table of any size, as an equi-join; ids must be unique.
+    """The same hits for a term table of any size; ids must be unique.
 
-    Every gram of a contained term occurs in the text, so texts are expanded
-    to their distinct grams of each length a term is anchored by, joined on
-    (length, gram) and verified. Terms of at most ``gram`` characters need no
-    verification. AQE splits the partitions of frequent grams.
+    A Bloom filter over the terms goes to the texts. A text's windows of each length that terms
+    have are hashed in whole arrays and tested (those longer than ``PREFIX`` only where a
+    prefix of a term starts); a window that passes is very likely a term. So what is shuffled
+    is about the hits, as ``(id, window)``, never the texts or all their grams, and the join with the term
+    table by the term itself settles which windows are terms.
     """
-    terms = _anchored(counted, gram)
-    # At most gram + 1 values.
-    used = sorted(r[0] for r in counted.select(
-        F.least(F.char_length("term"), F.lit(gram)).alias("l")).distinct().collect())
-    low = items.select(
-        F.col(id_col), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low")
-    )
+    filled = counted.withColumn("term", F.coalesce("term", F.lit("")))
+    # One row per length that occurs; one per lexicon with an empty term, which every text contains.
+    sizes = {r["l"]: r["n"] for r in filled.groupBy(F.char_length("term").alias("l")).agg(F.countDistinct("term").alias("n")).collect()}
+    everywhere = [(r["lexicon"], r["multiplicity"]) for r in filled.where("term = ''").select("lexicon", "multiplicity").collect()]
+    low = items.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    id_type = low.schema["id"].dataType.simpleString()
+    lengths = sorted(n for n in sizes if n)
+    parts = []
+    if lengths:
+        terms = filled.where("term <> ''")
+        seen = low.mapInArrow(
+            _scanner(term_filter(terms.select("term").distinct(), sum(sizes[n] for n in lengths)), lengths), f"id {id_type}, term string")
+        parts.append(seen.join(terms, "term").select("id", "lexicon", "term", "multiplicity"))
+    if everywhere or not parts:
+        always = F.array(*[F.struct(F.lit(x).alias("lexicon"), F.lit("").alias("term"), F.lit(n).cast("bigint").alias("multiplicity"))
+                           for x, n in everywhere]) if everywhere else F.from_json(
+            F.lit("[]"), "array<struct<lexicon:string,term:string,multiplicity:bigint>>")
+        parts.append(low.select("id", F.explode(always).alias("h")).select("id", "h.*"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.withColumnRenamed("id", id_col)
+
+
+def count_matches_table(
+    items: DataFrame, table: DataFrame, names: Sequence[str], id_col: str = "id", text_col: str = "text",
+    out: str = "counts", max_terms: int | None = None,
+) -> DataFrame:
+    """``items`` with a struct of one count per word list, from a ``(lexicon, term)`` table of any size.
 
-    keyed = [
-        low.select(id_col, F.lit(size).alias("_len"), F.explode(_grams("_low", size)).alias("_gram"))
-        for size in used
-    ]
-    if not keyed:
-        return low.select(
-            id_col, F.lit("").alias("lexicon"), F.lit("").alias("term"),
-            F.lit(0).cast("long").alias("multiplicity"),
-        ).where(F.lit(False))
-    probe = keyed[0]
-    for part in keyed[1:]:
-        probe = probe.unionByName(part)
-    # Candidates carry ids only; the text is joined back once per surviving pair to verify.
-    pairs = probe.join(terms, ["_len", "_gram"]).drop("_gram")
-    sure = pairs.where(F.char_length("term") <= gram)
-    maybe = pairs.where(F.char_length("term") > gram)
-    checked = maybe.join(low, id_col).where(F.contains(F.col("_low"), F.col("term")))
-    columns = [id_col, "lexicon", "term", "multiplicity"]
-    return sure.select(*columns).unionByName(checked.select(*columns))
+    Tables that fit in memory are counted as ``count_matches`` does, without a shuffle. Beyond, the hits of
+    ``gram_join_hits`` are added up per item and joined to it; ids must be unique then. Feed the struct to
+    ``lexicon_details`` for the score.
+    """
+    wanted = table.where(F.col("lexicon").isin(*names))
+    try:
+        lexicons = Lexicons.from_table(wanted, names, **({} if max_terms is None else {"max_terms": max_terms}))
+    except LexiconTooLarge:
+        hits = gram_join_hits(items, count_terms(wanted), id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(
+            *[F.sum(F.when(F.col("lexicon") == n, F.col("multiplicity"))).alias(f"_{n}") for n in names])
+        counts = F.struct(*[F.coalesce(F.col(f"_{n}"), F.lit(0)).cast("int").alias(n) for n in names])
+        joined = items.join(hits, F.col(id_col) == F.col("_id"), "left")
+        return joined.withColumn(out, counts).drop("_id", *[f"_{n}" for n in names])
+    return items.withColumn(out, count_matches(text_col, lexicons))

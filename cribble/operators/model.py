@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,9 @@ from cribble import settings as S
 from cribble.operators.evaluate import class_weights, classification_report, roc_auc
 from cribble.operators.labels import tier
 
+# Functions that run in tasks travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # About 60 MB of 389 doubles; a larger input keeps its own, finer partitioning.
 ROWS_PER_PARTITION = 20_000
 # Sums of this many partitions are added in one task, level by level.

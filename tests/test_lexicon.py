@@ -173,3 +173,84 @@ def test_executors_need_no_copy_of_the_package():
     code = "import pickle, sys; print(pickle.loads(bytes.fromhex(sys.argv[1]))()('xax'))"
     done = subprocess.run([sys.executable, "-c", code, payload], cwd="/", capture_output=True, text=True)
     assert done.stdout.strip() == "{0}", done.stderr
+
+
+def random_lists(seed, n=60):
+    rng = random.Random(seed)
+    terms = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 6))) for _ in range(n)]
+    texts = ["".join(rng.choice("ABc ") for _ in range(rng.randint(0, 90))) for _ in range(40)] + [None]
+    return {"x": terms[: n // 2], "y": terms[n // 3:]}, texts
+
+
+@pytest.mark.parametrize("part, kept, held", [(7, 2, 50), (7, 2, 1 << 20), (7, 99, 50), (1, 1, 1)])
+def test_lists_cut_into_several_automata(spark, monkeypatch, part, kept, held):
+    from cribble.functions import lexicon as X
+
+    for name, value in (("PART_TERMS", part), ("KEPT_PARTS", kept), ("HELD_CHARS", held)):
+        monkeypatch.setattr(X, name, value)
+    words, texts = random_lists(5)
+    lex = Lexicons.from_lists(words)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    got = df.select("id", count_matches("text", lex, "arrow").alias("c"), matched_terms("text", lex, "arrow").alias("m")).collect()
+    for r in got:
+        low = (texts[r.id] or "").lower()
+        assert tuple(r.c) == tuple(sum(w in low for w in words[k]) for k in ("x", "y"))
+        assert sorted(r.m) == sorted({w for ws in words.values() for w in ws if w in low})
+
+
+def test_three_hundred_thousand_terms(spark):
+    from cribble.operators.lexhits import count_matches_table
+
+    # Numbers in base 7, each listed once or twice, and texts that hold some of them.
+    digits = lambda i: "".join("abcdefg"[i // 7**k % 7] for k in range(7))
+    terms = {digits(i): 1 + (i % 5 == 0) for i in range(0, 600_000, 2)}
+    table = spark.createDataFrame([("lb" if i % 3 else "msa", t) for i, (t, n) in enumerate(terms.items()) for _ in range(n)],
+                                  "lexicon string, term string").repartition(8)
+    texts = [" ".join(digits(j * 7919 % 823_543) for j in range(i, i + 30)) * 2 for i in range(40)] + ["", None]
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    name = {t: "lb" if i % 3 else "msa" for i, t in enumerate(terms)}
+    expected = {}
+    for i, text in enumerate(texts):
+        windows = {(text or "")[k:k + 7] for k in range(len(text or "") - 6)}
+        expected[i] = tuple(sum(terms[w] for w in windows if name.get(w) == x) for x in ("lb", "msa", "sy"))
+    assert sum(map(sum, expected.values())) > 500
+    for limit in (None, 1_000):  # by automata, by the filtered join
+        got = count_matches_table(items, table, ["lb", "msa", "sy"], max_terms=limit)
+        assert {r.id: tuple(r.counts) for r in got.collect()} == expected
+
+
+def test_join_of_long_terms_and_long_texts(spark, monkeypatch):
+    from cribble.operators import lexhits as X
+
+    monkeypatch.setattr(X, "SLICE", 16)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abÄ漢🙂") for _ in range(n)) for n in (0, 1, 15, 16, 17, 60, 300)] + [None]
+    low = [(t or "").lower() for t in texts]
+    terms = {low[i][a:a + n] for i in range(len(low)) for n in (0, 1, 3, 15, 16, 17, 18, 40) for a in range(0, max(1, len(low[i]) - n), 5)}
+    terms |= {"a" * 16, "a" * 17, "zz", low[5] + "x", low[4][:16] + "q"}
+    table = spark.createDataFrame([("l", t) for t in terms] + [("m", ""), ("m", "a"), ("m", "a")], "lexicon string, term string")
+    items = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "key string, text string")
+    got = [tuple(r) for r in gram_join_hits(items, X.count_terms(table), "key").collect()]
+    expected = {(f"k{i}", "l", t, 1) for i in range(len(low)) for t in terms if t in low[i]}
+    expected |= {(f"k{i}", "m", "", 1) for i in range(len(low))} | {(f"k{i}", "m", "a", 2) for i in range(len(low)) if "a" in low[i]}
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_join_without_terms_or_items(spark):
+    from cribble.operators.lexhits import count_terms
+
+    none = spark.createDataFrame([], "lexicon string, term string")
+    items = spark.createDataFrame([(1, "a")], "id long, text string")
+    assert gram_join_hits(items, count_terms(none)).count() == 0
+    assert gram_join_hits(items.limit(0), count_terms(spark.createDataFrame([("x", "a")], none.schema))).count() == 0
+
+
+def test_texts_and_grams_stay_out_of_the_shuffle(spark):
+    from cribble.operators.lexhits import count_terms
+
+    items = spark.range(100).selectExpr("id", "repeat('wort ', 50) AS text")
+    table = spark.createDataFrame([("x", "wort"), ("x", "nie")], "lexicon string, term string")
+    joined = gram_join_hits(items, count_terms(table))
+    assert joined.count() == 100
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert not any("low" in line for line in plan.splitlines() if "Exchange" in line)
