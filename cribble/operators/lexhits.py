@@ -19,8 +19,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Terms up to this long are looked up whole; longer ones first by a prefix of this length.
 PREFIX = 16
 #: Size of the filter over the terms, in bits; a fuller filter lets more through, nothing is lost.
-BITS_PER_TERM = 16
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
+BITS_PER_TERM = 32
+PROBES = 4
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 27
 #: Characters hashed at once in a task.
 SLICE = 1 << 20
 FAN_IN = 32
@@ -77,7 +78,7 @@ class _Windows:
         self.power = np.ones(1, np.uint64)
         self.inverse = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
+    def grow(self, n: int) -> None:
         if len(self.power) < n:
             for name, factor in (("power", _BASE), ("inverse", pow(_BASE, -1, 2**64))):
                 steps = np.full(n, factor, np.uint64)
@@ -85,7 +86,7 @@ class _Windows:
                 setattr(self, name, np.multiply.accumulate(steps))
 
     def sums(self, codes: np.ndarray) -> np.ndarray:
-        self._grow(len(codes) + 1)
+        self.grow(len(codes) + 1)
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * self.power[:len(codes)], dtype=np.uint64)])
 
     def hashes(self, sums: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -96,23 +97,34 @@ class _Windows:
         return (sums[at + length] - sums[at]) * self.inverse[at]
 
 
-def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(64 - (bits - 1).bit_length())
-    return h >> shift, (h * np.uint64(_MIX)) >> shift
+def _probe(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The place of the ``k``-th bit of a hash: the upper bits of a product."""
+    return (h * np.uint64(pow(_MIX, k, 2**64))) >> np.uint64(64 - (bits - 1).bit_length())
 
 
 def _filter_of(bits: int):
-    """Per partition of terms, a bit array with two bits for each term and each prefix."""
+    """Per partition of terms, a bit array with ``PROBES`` bits for each term and each prefix."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, found = _Windows(), np.zeros(bits // 8, np.uint8)
+
+        def put(codes: np.ndarray, kind: int) -> None:
+            length = codes.shape[1]
+            windows.grow(length)
+            h = _mixed((codes * windows.power[:length]).sum(1, dtype=np.uint64), length, kind)
+            for k in range(PROBES):
+                place = _probe(h, k, bits)
+                np.bitwise_or.at(found, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+
         for batch in batches:
+            by_length: dict[int, list[str]] = {}
             for term in batch.column("term").to_pylist():
-                sums = windows.sums(_codes(term))
-                for length, kind in {(len(term), 0), (min(len(term), PREFIX), 1)}:
-                    if kind == 0 or len(term) > PREFIX:
-                        for place in _probes(_mixed(windows.hashes(sums, length)[:1], length, kind), bits):
-                            found[place >> np.uint64(3)] |= np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
+                by_length.setdefault(len(term), []).append(term)
+            for length, terms in by_length.items():
+                codes = _codes("".join(terms)).reshape(len(terms), length)
+                put(codes, 0)
+                if length > PREFIX:
+                    put(codes[:, :PREFIX], 1)
         yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["bits"])
 
     return build
@@ -144,7 +156,7 @@ def term_filter(terms: DataFrame, n: int) -> bytes:
 
 
 def _scanner(filter_: bytes, lengths: Sequence[int]):
-    """Of each text, the distinct windows that the filter takes for terms."""
+    """Of each text, the distinct windows (by a 64-bit hash) that the filter takes for terms."""
     short = [n for n in lengths if n <= PREFIX]
     long_ones = [n for n in lengths if n > PREFIX]
     overlap = max(lengths, default=1) - 1
@@ -154,42 +166,58 @@ def _scanner(filter_: bytes, lengths: Sequence[int]):
         bits = len(table) * 8
 
         def may_be(h: np.ndarray) -> np.ndarray:
-            """Places in ``h`` that pass: the second probe is only for those that pass the first."""
+            """Places in ``h`` that pass: each probe is only for those that passed the one before."""
             at = np.arange(len(h))
-            for place in range(2):
-                p = _probes(h[at], bits)[place]
+            for k in range(PROBES):
+                p = _probe(h[at], k, bits)
                 at = at[(table[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             return at
 
-        def found(text: str, codes: np.ndarray) -> set[str]:
-            sums, out = windows.sums(codes), set()
+        def found(joined: str, starts: np.ndarray) -> list[tuple[int, str]]:
+            """Row and window, of rows that begin at ``starts`` and end one place before the next."""
+            sums, out, ends = windows.sums(_codes(joined)), [], np.append(starts[1:] - 1, len(joined))
 
             def take(at: np.ndarray, h: np.ndarray, length: int) -> None:
-                _, first = np.unique(h, return_index=True)
-                out.update(text[i:i + length] for i in at[first].tolist())
+                row = np.searchsorted(starts, at, "right") - 1
+                inside = at + length <= ends[row]
+                at, h, row = at[inside], h[inside], row[inside]
+                order = np.lexsort((h, row))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
+                out.extend((r, joined[i:i + length]) for r, i in zip(row[order][new].tolist(), at[order][new].tolist()))
 
             for length in short:
                 h = _mixed(windows.hashes(sums, length), length, 0)
                 at = may_be(h)
                 take(at, h[at], length)
             if long_ones:
-                starts = may_be(_mixed(windows.hashes(sums, PREFIX), PREFIX, 1))
+                begun = may_be(_mixed(windows.hashes(sums, PREFIX), PREFIX, 1))
                 for length in long_ones:
-                    at = starts[starts + length <= len(codes)]
+                    at = begun[begun + length <= len(joined)]
                     h = _mixed(windows.hashes(sums, length, at), length, 0)
                     passed = may_be(h)
                     take(at[passed], h[passed], length)
             return out
 
         for batch in batches:
-            owners, terms = [], []
-            for i, text in enumerate(batch.column("low").to_pylist()):
-                codes, hits = _codes(text), set()
-                for x in range(0, max(len(text) - overlap, 1), SLICE):
-                    end = x + SLICE + overlap
-                    hits |= found(text[x:end] if len(text) > SLICE + overlap else text, codes[x:end])
-                owners += [i] * len(hits)
-                terms += hits
+            owners, terms, texts, first = [], [], batch.column("low").to_pylist(), 0
+            while first < len(texts):
+                # Short texts are hashed together, a long one in slices that overlap.
+                end, size = first, 0
+                while end < len(texts) and (end == first or size + len(texts[end]) < SLICE):
+                    size += len(texts[end])
+                    end += 1
+                if end == first + 1:
+                    text = texts[first]
+                    hits = {(0, w) for x in range(0, max(len(text) - overlap, 1), SLICE)
+                            for _, w in found(text[x:x + SLICE + overlap], np.zeros(1, np.int64))}
+                else:
+                    sizes = [len(x) + 1 for x in texts[first:end]]
+                    hits = found("\0".join(texts[first:end]), np.cumsum([0, *sizes[:-1]]))
+                for row, w in hits:
+                    owners.append(first + row)
+                    terms.append(w)
+                first = end
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(owners, pa.int64())), pa.array(terms, pa.string())], names=["id", "term"])
 
