@@ -50,4 +50,5 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def read_drained(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).drop("run", "batch")
+    """What ``drain`` or ``dedup_ingest`` wrote, without the columns that name its folders."""
+    return spark.read.parquet(out).drop("run", "batch", "bucket")
