@@ -11,19 +11,21 @@ from cribble.catalog.registry import (
     SAMPLES_SQL,
     Tables,
     as_text,
+    now,
     query,
     queue,
     transcripts,
 )
 from cribble.functions.urls import stable_name
 from cribble.operators import files, reports
+from cribble.operators import queue as queue_ops
 from cribble.operators.queue import apply_conversions
 from cribble.plans.stages import annotation_sample
 from cribble.sources.annotations import read_annotations, write_annotations, write_sample
 from cribble.sources.tables import read_contrastive, read_queue, scratch_path, write_queue
 from cribble.sources.transcripts import flatten_samples, read_transcripts, write_transcripts
 from cribble.streaming.dedup import dedup_ingest, distinct_urls
-from cribble.streaming.drain import drain, read_drained
+from cribble.streaming.drain import drain, drain_status, read_claimed, read_drained
 
 LIST_SQL = "ls AS (SELECT 'raw/' || l_orderkey || CASE l_linenumber % 2 WHEN 0 THEN '.wav' ELSE '.FLAC' END AS path FROM lineitem GROUP BY 1)"
 
@@ -152,6 +154,22 @@ def drain_clicks(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("Z1, X5", f"""WITH {QUEUE_SQL} SELECT id, CAST(1 + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS times FROM q WHERE status = 'SCREENED'""")
+def drain_by_status(t: Tables) -> DataFrame:
+    """Items are drained, half of them put back for rescoring, and drained again; a third call finds none."""
+    out = f"{scratch_path(t.spark, 'by-status')}/out"
+    items = queue(t)
+    take = lambda b: b.select("id")
+    drain_status(items, "SCREENED", take, out, per_batch=max(1, items.where("status = 'SCREENED'").count() // 2))
+    tier = F.when(F.col("id") % 2 == 0, "REJECTED").otherwise("WEAK_POSITIVE")
+    scored = queue_ops.transition(items, items.where("status = 'SCREENED'").select("id", tier.alias("status")), now())
+    # Of those rejected, only the drained ones bear the new stamp and come back to be scored.
+    back = queue_ops.reset_for_rescoring(scored.where((F.col("last_update_at") == now()) | (F.col("status") != "REJECTED")), ["REJECTED"])
+    drain_status(back, "SCREENED", take, out)
+    drain_status(back, "SCREENED", take, out)
+    return read_claimed(t.spark, out).groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query("Z2", "SELECT 'u' || user_id || '/' || event_type AS url, count(*) AS copies FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def dedup_stream(t: Tables) -> DataFrame:
     home = scratch_path(t.spark, "dedup")

@@ -21,6 +21,7 @@ from cribble.functions.text import language_gate, transcript_text
 from cribble.operators import labels, reports, sampling
 from cribble.operators.features import score_texts
 from cribble.operators.queue import transition
+from cribble.operators.ranking import top_per_group
 from cribble.sources.source_lists import read_source_lists
 
 SOURCES = S.SourceLists(
@@ -232,6 +233,15 @@ def strata_shortfall(t: Tables) -> DataFrame:
     return sampling.strata_shortfall(queue(t))
 
 
+@query("W2, W3, W4", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem)
+SELECT l_returnflag, l_orderkey, l_linenumber, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5000""")
+def top_of_large_classes(t: Tables) -> DataFrame:
+    """Five thousand of each class, classes that hold a third of all rows."""
+    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
+    rows = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return top_per_group(rows, ["l_returnflag"], order, 5_000).drop("l_extendedprice")
+
+
 @query("W8", """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders),
 k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(id || ':42'), id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM r)
 SELECT id, label, rn <= round(n * 0.2e0) AS holdout FROM k""")

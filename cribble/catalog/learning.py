@@ -15,6 +15,7 @@ from cribble.operators.features import (
     embed_text,
     feature_array,
     fit_embedder,
+    hash_embed,
     score_texts,
 )
 from cribble.operators.labels import training_set
@@ -97,6 +98,19 @@ w{k} AS MATERIALIZED (SELECT list_transform(range(1, 71), lambda i: w[i] - m[i][
 MODEL_SQL = f"{SPLIT_SQL},\n{newton_sql()}"
 
 
+@query("M3", r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents WHERE doc_id % 6 <> 0),
+h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS i, sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END) AS v
+FROM w WHERE w <> '' GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM h GROUP BY 1)
+SELECT d.doc_id AS id, CAST(k.i AS INT) AS i, round(coalesce(CASE WHEN n > 0 THEN v / n END, 0e0), 6) AS v
+FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS i) k LEFT JOIN h ON h.doc_id = d.doc_id AND h.i = k.i LEFT JOIN n ON n.doc_id = d.doc_id""")
+def hashed_embeddings(t: Tables) -> DataFrame:
+    """Every component is compared, one row each."""
+    items = t.texts.selectExpr("doc_id AS id", "CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE text END AS text")
+    return hash_embed(items, DIM).select("id", F.posexplode("embedding").alias("i", "v")).withColumn(
+        "v", F.round(F.col("v") + 0.0, 6))
+
+
 def split_rows(t: Tables) -> DataFrame:
     rows = training_set(featured(t, labelled_documents(t)), check_size=False)
     # The split reads ids and labels three times and training comes after: keep the rows.

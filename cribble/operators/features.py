@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,6 +19,12 @@ from cribble import settings as S
 from cribble.functions.lexicon import Lexicons, final_score
 from cribble.operators.once import compute_once
 
+# Functions that run in tasks travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# A task remembers the places of so many words.
+KNOWN_TOKENS = 200_000
+
 LEXICAL_FEATURES = ("lb", "msa", "strong_lb_hits", "msa_ratio_core")
 
 
@@ -64,6 +75,42 @@ def embed_text(df: DataFrame, embedder: PipelineModel, text: str = "text") -> Da
     )
 
 
+def _hashed(dim: int):
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places: dict[str, tuple[int, int]] = {}
+
+        def place(token: str) -> tuple[int, int]:
+            if token not in places:
+                if len(places) >= KNOWN_TOKENS:
+                    places.clear()
+                digest = hashlib.md5(token.encode()).hexdigest()
+                places[token] = int(digest[:8], 16) % dim, 1 if digest[8] < "8" else -1
+            return places[token]
+
+        for texts in batches:
+            rows = []
+            for tokens in texts:
+                at = np.array([place(t) for t in tokens if t], dtype=np.int64).reshape(-1, 2)
+                vector = np.bincount(at[:, 0], weights=at[:, 1], minlength=dim)
+                length = np.sqrt(vector @ vector)
+                rows.append(vector / length if length else vector)
+            yield pd.Series(rows, dtype=object)
+
+    return embed
+
+
+def hash_embed(df: DataFrame, dim: int = 384, text: str = "text") -> DataFrame:
+    """Add ``embedding``: a signed hashing of the text's words that any engine can recompute.
+
+    Words are runs of letters and digits, lower-cased. The first eight hex digits of a word's MD5, modulo ``dim``,
+    give its component, the ninth its sign (plus below 8). The vector is L2-normalised; a text
+    without words, or whose words cancel out, gives zeros. Nothing is fitted, so a text's vector never changes.
+    """
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
+    return compute_once(df, "embedding", _hashed(dim)(words))
+
+
 def feature_array(diagnostics: Column | str = "diagnostics", embedding: Column | str = "embedding") -> Column:
     """The lexical five in fixed order, then the embedding."""
     d = F.col(diagnostics) if isinstance(diagnostics, str) else diagnostics

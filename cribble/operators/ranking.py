@@ -7,18 +7,26 @@ rows, so every operator that ranks goes through one of these instead.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cribble.sources.tables import materialize
 
+# Functions that run in tasks travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_BROADCAST_ROWS = 20_000
 SALTS = 32
-MIN_BUCKETS = 256
-MAX_BUCKETS = 4096
+# Spark limits a ranking window in its map tasks only up to this rank
+# (spark.sql.optimizer.windowGroupLimitThreshold's default).
+LIMITED_RANK = 1_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -41,12 +49,16 @@ def top_per_group(
     rank: str = "rank",
     salts: int = SALTS,
 ) -> DataFrame:
-    """First ``k`` rows of each group with their rank.
+    """First ``k`` rows of each group with their rank; rows that tie in ``order`` come in any order.
 
-    Map tasks keep ``k`` rows per group (window group limit), ``salts`` tasks
+    For small ``k`` map tasks keep ``k`` rows per group (window group limit), ``salts`` tasks
     per group keep ``k`` each of those, and one task merges ``salts * k``.
-    The result does not depend on the salt.
+    The result does not depend on the salt. From ``LIMITED_RANK`` on that would bring whole groups
+    to ``salts`` tasks; there the rows are dealt out by ranges of (groups, order), which
+    split a group of any size, and ranked by the sizes of the ranges before.
     """
+    if k > LIMITED_RANK:
+        return _top_by_ranges(df, groups, order, k, rank)
     salted = df.withColumn("_salt", F.spark_partition_id() % salts)
     first = Window.partitionBy(*groups, "_salt").orderBy(*order)
     last = Window.partitionBy(*groups).orderBy(*order)
@@ -57,6 +69,19 @@ def top_per_group(
     )
 
 
+def _top_by_ranges(
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank: str
+) -> DataFrame:
+    # The rows' hash splits runs of equal order, which no range could.
+    numbered = number_rows(df, [*groups, *order, F.xxhash64(*df.columns)], "_n")
+    first = numbered.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(F.min("_n").alias("_first"))
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    place = (F.col("_n") - F.col("_first") + 1).cast("int")
+    return numbered.join(broadcast_if_small(first), on).where(place <= k).select(*df.columns, place.alias(rank))
+
+
 def hash_key(*columns: Column | str, seed: int) -> Column:
     """``md5('a:b:seed')``: a reproducible random order that any SQL engine can recompute."""
     return F.md5(F.concat_ws(":", *columns, F.lit(str(seed))))
@@ -115,34 +140,35 @@ def lowest_share(
     )
 
 
-def _bounds(df: DataFrame, key: str, buckets: int) -> list[float]:
-    """Equi-depth bucket bounds of a numeric column; any bounds give the same final result."""
-    shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(key, shares).alias("b")).first()
-    return sorted(set(row.b or []))
-
-
-def _bucket_of(key: Column, bounds: list[float]) -> Column:
-    """Number of bounds below the key, looked up in two steps of about sqrt(n) comparisons."""
-    if not bounds:
-        return F.lit(0)
-    width = math.isqrt(len(bounds) - 1) + 1
-    chunks = [bounds[i:i + width] for i in range(0, len(bounds), width)]
-
-    def below(values: Column) -> Column:
-        return F.coalesce(F.size(F.filter(values, lambda b: b < key)), F.lit(0))
-
-    def within(i: Column) -> Column:
-        chunk = F.get(F.array(*[F.lit(c) for c in chunks]), i)
-        return i * width + F.when(i < len(chunks), below(chunk)).otherwise(F.lit(0))
-
-    coarse = below(F.lit([c[-1] for c in chunks]))
-    return F.get(F.transform(F.array(coarse), within), 0)
-
-
-def _bucket_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, partitions))
+def _local_sums(groups: Sequence[str], sums: Sequence[str]):
+    """Running totals within one sorted partition, before each row of its group, and the partition's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last, carry = TaskContext.get().partitionId(), None, [0] * len(sums)
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            new = np.zeros(n, dtype=bool)
+            for g in groups:
+                code = batch.column(g).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            ends = [tuple(batch.column(g)[i].as_py() for g in groups) for i in (0, n - 1)]
+            new[0] = ends[0] != last
+            last, starts, segment = ends[1], np.flatnonzero(new), np.cumsum(new) - 1
+            columns = list(batch.columns)
+            for k, c in enumerate(sums):
+                value = batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)
+                total = np.cumsum(value)
+                before = total - value
+                base = before[starts]
+                local = np.where(segment < 0, before + carry[k], before - (base[np.maximum(segment, 0)] if len(base) else 0))
+                carry[k] = total[-1] - base[-1] if len(base) else carry[k] + total[-1]
+                columns.append(pa.array(local))
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.full(n, here, np.int32))], names=[*batch.schema.names, *[f"_{c}_local" for c in sums], "_range"])
+
+    return run
 
 
 def running_sums(
@@ -152,35 +178,35 @@ def running_sums(
     groups: Sequence[str] = (),
     buckets: int | None = None,
 ) -> DataFrame:
-    """Add ``<sum>_before`` and ``<sum>_total`` per group in order of a numeric ``key``.
+    """Add ``<sum>_before`` and ``<sum>_total`` per group in order of ``key``.
 
-    Rows are cut into equi-depth buckets, each bucket is summed in its own
-    task, and bucket offsets come from a table of ``groups * buckets`` rows.
-    Give it rows already aggregated by ``(groups, key)`` so that ties are one row,
-    and materialized where they are costly: they are read three times.
+    One shuffle deals the rows out by ranges of (groups, key), so that a group may hold any share
+    of them; each task adds up its range in order and writes it. The ranges' sums (one row per group and
+    range) then give the offsets. Give it rows already aggregated by ``(groups, key)`` so
+    that ties are one row, and materialized where they are costly: they are read twice.
     """
-    bounds = _bounds(df, key, buckets or _bucket_count(df))
-    placed = df.withColumn("_bucket", _bucket_of(F.col(key), bounds))
-    totals = placed.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    parts = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*groups, key]
+    whole = {c: isinstance(df.schema[c].dataType, T.IntegralType) for c in sums}
+    typed = df.withColumns({c: F.col(c).cast("bigint" if whole[c] else "double") for c in sums})
+    schema = T.StructType([
+        *typed.schema.fields, *[T.StructField(f"_{c}_local", T.LongType() if whole[c] else T.DoubleType()) for c in sums],
+        T.StructField("_range", T.IntegerType())])
+    ranges = materialize(
+        typed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_local_sums(groups, sums), schema), "sums")
+    totals = ranges.groupBy(*groups, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     over_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    before = over_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = over_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(g).alias(f"_g_{g}") for g in groups],
-        F.col("_bucket").alias("_b"),
+        F.col("_range").alias("_r"),
         *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_offset") for c in sums],
         *[F.sum(f"_{c}").over(over_group).alias(f"{c}_total") for c in sums],
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(key).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    on = F.col("_bucket") == F.col("_b")
+    on = F.col("_range") == F.col("_r")
     for g in groups:
         on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    local = placed.select(
-        "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_{c}_local") for c in sums]
-    )
-    joined = local.join(broadcast_if_small(offsets), on)
-    return joined.select(
+    return ranges.join(broadcast_if_small(offsets), on).select(
         *df.columns,
         *[(F.col(f"_{c}_offset") + F.col(f"_{c}_local")).alias(f"{c}_before") for c in sums],
         *[f"{c}_total" for c in sums],

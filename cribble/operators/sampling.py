@@ -12,6 +12,7 @@ from cribble.operators.ranking import (
     broadcast_if_small,
     hash_key,
     lowest_share,
+    number_rows,
     top_per_group,
 )
 
@@ -124,10 +125,11 @@ def strata_shortfall(
 def shuffle_sample(sample: DataFrame, seed: int = S.SEED, id_col: str = "id") -> DataFrame:
     """Add ``pos``, an order that interleaves the strata.
 
-    The sample is as small as its strata sizes, so one window partition is fine.
+    A permutation of any size: rows are dealt out by ranges of a hash of their id, sorted there, and
+    numbered by the sizes of the ranges before. Costly rows should be materialized: they are read twice.
     """
-    order = Window.orderBy(hash_key(F.col(id_col).cast("string"), seed=seed + 1), id_col)
-    return sample.withColumn("pos", F.row_number().over(order) - 1)
+    key = hash_key(F.col(id_col).cast("string"), seed=seed + 1)
+    return number_rows(sample, [key, F.col(id_col)], "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 def stratified_split(

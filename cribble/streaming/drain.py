@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cribble.operators.queue import fetch
+from cribble.sources.tables import materialize
+
 
 def drain(
     spark: SparkSession,
@@ -44,6 +47,54 @@ def drain(
     query.awaitTermination()
 
 
+def _committed(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the batches whose claims are wholly written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/claims/batch=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found)
+
+
+def drain_status(
+    queue: DataFrame,
+    status: str,
+    step: Callable[[DataFrame], DataFrame],
+    out: str,
+    per_batch: int | None = None,
+) -> int:
+    """Run ``step`` over the items that are in ``status``, oldest first, until none are left; returns the batches run.
+
+    ``out`` keeps a log of claims, ``(id, last_update_at)`` of every item taken. An item is taken once
+    in one state: a later call passes it over until a transition has given it a new stamp and
+    brought it back to ``status``, as resets and retries do; then it is taken again, once. A batch counts from
+    when its claims are written, after its rows; one that broke off before is run anew under its number. Read the rows with
+    ``read_claimed``. One caller drains into ``out`` at a time.
+    """
+    spark, runs = queue.sparkSession, 0
+    while True:
+        done = _committed(spark, out)
+        waiting = queue.where(F.col("status") == status)
+        if done:
+            claims = spark.read.schema("id bigint, last_update_at timestamp, batch bigint").parquet(f"{out}/claims")
+            taken = claims.where(F.col("batch").isin(done)).select(
+                F.col("id").alias("_id"), F.col("last_update_at").alias("_at"))
+            same = (F.col("id") == F.col("_id")) & F.col("last_update_at").eqNullSafe(F.col("_at"))
+            waiting = waiting.join(taken, same, "left_anti")
+        if per_batch is not None:
+            waiting = fetch(waiting, status, limit=per_batch)
+        batch = materialize(waiting, "claimed")
+        if batch.isEmpty():
+            return runs
+        number = max(done, default=-1) + 1
+        step(batch).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        batch.select("id", "last_update_at").write.mode("overwrite").parquet(f"{out}/claims/batch={number}")
+        runs += 1
+
+
+def read_claimed(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all batches that ``drain_status`` has completed, with their ``batch``."""
+    return spark.read.parquet(f"{out}/rows").where(F.col("batch").isin(_committed(spark, out)))
+
+
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id that a stream writes into its checkpoint before its first batch."""
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first().id

@@ -100,3 +100,63 @@ def test_rows_are_numbered_by_one_column_or_several(spark, order):
     rows = [(i * 7 % 50, i % 3) for i in range(50)]
     got = number_rows(spark.createDataFrame(rows, "v int, w int").repartition(5), order, "n").collect()
     assert sorted((r.n, r.v) for r in got) == [(i, i) for i in range(50)]
+
+
+@pytest.mark.parametrize("limit", [2, 1_000])
+@pytest.mark.parametrize("k", [3, 150, 10_000])
+def test_top_of_any_k(skewed, monkeypatch, limit, k):
+    monkeypatch.setattr(R, "LIMITED_RANK", limit)
+    rows, df = skewed
+    with_null = df.unionByName(df.where("id % 5 = 0").withColumn("g", F.lit(None).cast("string")))
+    got = {(r.g, r.id, r["rank"]) for r in R.top_per_group(with_null, ["g"], [F.desc("s"), F.col("id")], k).collect()}
+    expected = set()
+    for g in {r[1] for r in rows} | {None}:
+        mine = [r for r in rows if r[1] == g] if g else [r for r in rows if r[0] % 5 == 0]
+        expected |= {(g, r[0], i + 1) for i, r in enumerate(sorted(mine, key=lambda r: (-r[2], r[0]))[:k])}
+    assert got == expected
+
+
+def test_ranges_split_a_group_that_ties(spark, monkeypatch):
+    """A third of the rows in one class, all of one order; every task gets a small part of them."""
+    monkeypatch.setattr(R, "LIMITED_RANK", 2)
+    df = spark.range(60_000).selectExpr("id", "IF(id % 3 = 0, 'hot', 'g' || id % 50) AS g", "0 AS o").repartition(8)
+    top = R.top_per_group(df, ["g"], [F.col("o")], 5_000)
+    assert {r.g: r["count"] for r in top.groupBy("g").count().collect()}["hot"] == 5_000
+    sizes = [r["count"] for r in R.number_rows(df, ["g", "o", F.xxhash64("id")], "n").groupBy(
+        F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 20_000
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_running_sums_of_several_columns_over_batches(spark, skewed, monkeypatch, parts):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows, df = skewed
+        counts = df.withColumn("g", F.when(F.col("g") != "g3", F.col("g"))).groupBy("g", "s").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("y") / 2).alias("h"))
+        got = R.running_sums(counts, "s", ["n", "h"], ["g"], buckets=parts).collect()
+        assert len(got) == counts.count()
+        for r in got:
+            mine = [x for x in rows if (None if x[1] == "g3" else x[1]) == r.g]
+            assert r.n_before == sum(x[2] < r.s for x in mine) and r.n_total == len(mine)
+            assert r.h_before == sum(x[3] / 2 for x in mine if x[2] < r.s)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_running_sums_hold_no_bounds_in_the_plan(spark, skewed):
+    _, df = skewed
+    counts = df.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"))
+    plan = R.running_sums(counts, "s", ["n"], ["g"])._jdf.queryExecution().toString()
+    assert "0.5" not in plan and len(plan) < 20_000
+    assert R.running_sums(counts.limit(0), "s", ["n"]).count() == 0
+
+
+def test_a_shuffle_is_a_permutation(spark):
+    from cribble.operators.sampling import shuffle_sample
+
+    rows = spark.range(3_000).withColumn("s", F.col("id") % 2)
+    got = sorted((r.pos, r.id) for r in shuffle_sample(rows, 7).collect())
+    assert [p for p, _ in got] == list(range(3_000)) and sorted(i for _, i in got) == list(range(3_000))
+    assert got == sorted((r.pos, r.id) for r in shuffle_sample(rows.repartition(5), 7).collect())
+    assert [i for _, i in got] != list(range(3_000))
