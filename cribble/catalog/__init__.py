@@ -8,6 +8,7 @@ from cribble.catalog import (  # noqa: F401  (importing registers the queries)
     lexical,
     learning,
     queueing,
+    stages,
     urls,
 )
 from cribble.catalog.registry import coverage, oracle_sql, queries

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cribble.settings import LexiconWeights
+from cribble.settings import STRONG_MARKERS, LexiconWeights
 
 try:
     import ahocorasick
@@ -99,6 +99,13 @@ class Lexicons:
         kept = ((t, tuple(0 if i is None else c[i] for i in at)) for t, c in self.terms)
         return Lexicons(names, tuple((t, c) for t, c in kept if any(c)))
 
+    def with_markers(self, markers: Iterable[str] = STRONG_MARKERS) -> Lexicons:
+        """These lists and, if none is given, the strong markers as ``strong_lb_hits``."""
+        if "strong_lb_hits" in self.names:
+            return self
+        lists = {n: [t for t, c in self.terms for _ in range(c[i])] for i, n in enumerate(self.names)}
+        return Lexicons.from_lists(lists | {"strong_lb_hits": list(markers)})
+
     def as_array(self) -> Column:
         """The terms as one constant ``array<struct<term, counts>>``."""
         rows = [{"term": t, "counts": list(c)} for t, c in self.terms]

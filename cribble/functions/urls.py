@@ -125,6 +125,17 @@ def useless_token(
     )
 
 
+def platform_tag(token: Column | str, platform: str) -> Column:
+    """A token as a tag of one platform (``settings.TAG_RULES``)."""
+    return normalize_tag(token, keep_blanks=S.TAG_RULES[platform][2])
+
+
+def useless_platform_tag(tag: Column | str, platform: str) -> Column:
+    """Whether a normalized tag is too short, a number or a stopword by its platform's rules."""
+    min_len, stopwords, _ = S.TAG_RULES[platform]
+    return useless_token(tag, min_len, stopwords)
+
+
 def stable_name(
     url: Column | str, extensions: Sequence[str] = S.AUDIO_NAME_EXTENSIONS
 ) -> Column:

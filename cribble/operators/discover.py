@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cribble import settings as S
 from cribble.functions.meta import compact_map
-from cribble.functions.urls import normalize_tag, useless_token
+from cribble.functions.urls import normalize_tag, platform_tag, useless_platform_tag, useless_token
 from cribble.operators.queue import flag_inserted
 from cribble.operators.ranking import broadcast_if_small, top_per_group
 
@@ -118,3 +118,17 @@ def discovered_report(queue: DataFrame, candidates: DataFrame) -> DataFrame:
     return per_url.agg(
         F.count(F.lit(1)).alias("discovered"), F.count_if("inserted").alias("inserted")
     )
+
+
+def grow_source_list(
+    existing: DataFrame, seeds: DataFrame, platform: str, taken: DataFrame | None = None, token: str = "token",
+) -> DataFrame:
+    """A platform's list of tags, users or pages with new seeds, sorted and distinct.
+
+    What is listed already is only normalized; seeds have to be useful by the platform's rules as
+    well. Entries of ``taken`` (a list that goes before, as hashtags before users) are left out.
+    """
+    tag = platform_tag(F.coalesce(token, F.lit("")), platform).alias(token)
+    old, new = existing.select(tag), seeds.select(tag)
+    whole = merge_sorted_distinct(old, new.where(~useless_platform_tag(token, platform)))
+    return whole if taken is None else only_new(whole, taken, token).orderBy(token)

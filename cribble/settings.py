@@ -60,6 +60,13 @@ FACEBOOK_STOPWORDS = (
 )
 INSTAGRAM_STOPWORDS = ("reels", "explore", "viral", "love", "instagood")
 
+#: How a platform's tags are cleaned: least length, words that say nothing, whether inner blanks stay.
+TAG_RULES = {
+    "tiktok": (4, TIKTOK_STOPWORDS, False),
+    "instagram": (4, INSTAGRAM_STOPWORDS, True),
+    "facebook": (3, FACEBOOK_STOPWORDS, False),
+}
+
 RELEVANT_LANGUAGE_PARTS = ("ar",)
 RELEVANT_TITLE_PARTS = ("leban", "لبنان")
 

@@ -254,3 +254,12 @@ def test_texts_and_grams_stay_out_of_the_shuffle(spark):
     assert joined.count() == 100
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert not any("low" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_strong_markers_fill_in_for_a_missing_list():
+    from cribble.settings import STRONG_MARKERS
+
+    own = lists(lb=["a", "a"], strong_lb_hits=["b"])
+    assert own.with_markers() is own
+    filled = Lexicons.from_lists({"lb": ["a", "a"]}).with_markers()
+    assert filled == Lexicons.from_lists({"lb": ["a", "a"], "strong_lb_hits": STRONG_MARKERS})

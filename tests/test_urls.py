@@ -201,3 +201,26 @@ def test_language_gate(spark, rows, passed, probability):
 def test_transcript_text_keeps_empty_slots(spark):
     df = samples(spark, [("ar", 1.0, "a"), ("ar", 1.0, None), ("ar", 1.0, "b")])
     assert df.select(text.transcript_text("s")).first()[0] == "a  b"
+
+
+@pytest.mark.parametrize("platform, raw, tag, useless", [
+    ("facebook", " @My Page#", "mypage", False), ("facebook", "tv", "tv", True), ("facebook", "News", "news", True),
+    ("facebook", "abc", "abc", False), ("facebook", "123", "123", True), ("facebook", "", "", True),
+    ("instagram", " #My Reel ", "my reel", False), ("instagram", "REELS", "reels", True), ("instagram", "abc", "abc", True),
+    ("tiktok", "#My Tag", "mytag", False), ("tiktok", "abc", "abc", True), ("tiktok", "#FYP", "fyp", True),
+])
+def test_tags_by_platform(spark, platform, raw, tag, useless):
+    df = spark.createDataFrame([(raw,)], "token string").select(urls.platform_tag("token", platform).alias("t"))
+    row = df.select("t", urls.useless_platform_tag("t", platform).alias("u")).first()
+    assert (row.t, row.u) == (tag, useless)
+
+
+def test_growing_a_source_list(spark):
+    from cribble.operators.discover import grow_source_list
+
+    def column(*tokens):
+        return spark.createDataFrame([(x,) for x in tokens], "token string")
+
+    listed, seeds = column("#Old", "tv", None), column("New Page", "old", "live", "ab", "Taken!", "777")
+    got = grow_source_list(listed, seeds, "facebook", column("taken!"))
+    assert [r.token for r in got.collect()] == ["", "newpage", "old", "tv"]
