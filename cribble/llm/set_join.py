@@ -28,6 +28,8 @@ WORD_BITS = 17
 SHINGLE_BITS = 20
 #: Sets of LONG shingles or more have prefixes longer by MORE, so similar ones share MORE + 1 of them.
 LONG, MORE = 40, 3
+#: Bits of a set's sketch: the parity of how many of its shingles fall on each.
+SKETCH = 512
 #: Bits of the filter that keeps texts nobody asks for out of a join (2 MB).
 FILTER_BITS = 24
 PIVOTS = 64
@@ -93,7 +95,21 @@ def _cells(width: int):
     return run
 
 
-SETS = "id bigint, print bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>"
+SETS = "id bigint, print bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>, sketch binary"
+
+
+def sketches(text: np.ndarray, h: np.ndarray, texts: int) -> list[bytes]:
+    """A sketch of each text's set, given the text and the hash of every member, in order of texts.
+
+    Two sets whose sketches differ in some bits differ in as many members at least.
+    """
+    bit, out, step = (mixed(h) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), [], 1_000
+    for a in range(0, texts, step):
+        b = min(texts, a + step)
+        x, y = np.searchsorted(text, [a, b])
+        counts = np.bincount((text[x:y] - a) * SKETCH + bit[x:y], minlength=(b - a) * SKETCH)
+        out += [row.tobytes() for row in np.packbits((counts & 1).astype(bool).reshape(b - a, SKETCH), axis=1)]
+    return out
 
 
 def _sets(width: int, percent: int, logs: tuple[np.ndarray, np.ndarray], total: float):
@@ -118,8 +134,9 @@ def _sets(width: int, percent: int, logs: tuple[np.ndarray, np.ndarray], total:
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(k).slice(a, b - a) for k in (0, 1)], pa.array(n.astype(np.int32)), *[pa.array(s.view(np.int64)) for s in signs],
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[in_prefix].view(np.int64)))],
-                    ["id", "print", "n", "s1", "s2", "prefix"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[in_prefix].view(np.int64))),
+                     pa.array(sketches(text, h, b - a), pa.binary())],
+                    ["id", "print", "n", "s1", "s2", "prefix", "sketch"])
 
     return run
 
@@ -278,9 +295,12 @@ def texts_of(texts: DataFrame, same: DataFrame, pairs: DataFrame) -> DataFrame:
     return settle(some.join(wanted, ["id", "print"]).select(F.col("node").alias("id"), "text"), "candidates")
 
 
-def list_pairs(ids, n, pos, comp, leader, far, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+def list_pairs(ids, n, pos, comp, leader, far, percent: int, sketch=None) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of a list (ordered by size) that may be similar and are not known to be joined.
 
+    A pair goes no further where its sketches (rows of 64-bit words) differ in more bits than
+    similar sets can differ in members.
+
     Gives arrays of both ids, whether the distances to a common leader already show that
     the pair is similar, and how many lists a similar pair meets in. Blocks of the list are
     passed over where the places of their entries leave no room for the overlap.
@@ -302,13 +322,17 @@ def list_pairs(ids, n, pos, comp, leader, far, percent: int) -> Iterator[tuple[n
             same = leader[j] == leader[i]
             ok &= ~same | (np.abs(far[j] - far[i]) * (100 + percent) <= slack)
             later, earlier = np.nonzero(ok)
+            if sketch is not None and len(later):
+                apart = np.bitwise_count(sketch[earlier + early] ^ sketch[later + late]).sum(1, dtype=np.int64)
+                ok[later, earlier] = apart * (100 + percent) <= slack[later, earlier]
+                later, earlier = np.nonzero(ok)
             if len(later):
                 sure = same & ((far[j] + far[i]) * (100 + percent) <= slack)
                 yield ids[earlier + early], ids[later + late], sure[ok], np.minimum(meets[earlier + early], meets[later + late])
 
 
 def _list_pairs(percent: int):
-    """Streams entries sorted by ``token, n, id``; a list is held as numbers, 48 bytes an entry."""
+    """Streams entries sorted by ``token, n, id``; a list is held as numbers, 112 bytes an entry."""
     names = ("id", "n", "pos", "comp", "leader", "far")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +344,8 @@ def _list_pairs(percent: int):
 
         def pairs(parts) -> Iterator[pa.RecordBatch]:
             found, size = [], 0
-            for block in list_pairs(*(np.concatenate(x) for x in zip(*parts)), percent):
+            *columns, sketch = (np.concatenate(x) if x[0] is not None else None for x in zip(*parts))
+            for block in list_pairs(*columns, percent, sketch):
                 found.append(block)
                 size += len(block[0])
                 if size >= PAIRS:
@@ -333,6 +358,9 @@ def _list_pairs(percent: int):
         for batch in batches:
             t = batch.column("token").to_numpy()
             columns = [batch.column(x).to_numpy().astype(np.int64) for x in names]
+            words = None
+            if "sketch" in batch.schema.names:
+                words = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(t), SKETCH // 64)
             cuts = np.flatnonzero(t[1:] != t[:-1]) + 1
             for a, b in zip([0, *cuts], [*cuts, len(t)]):
                 if a == b:
@@ -341,7 +369,7 @@ def _list_pairs(percent: int):
                     if held:
                         yield from pairs(held)
                     token, held = t[a], []
-                held.append([c[a:b] for c in columns])
+                held.append([*[c[a:b] for c in columns], None if words is None else words[a:b]])
         if held:
             yield from pairs(held)
 
@@ -396,8 +424,9 @@ def similar_components(transcripts: DataFrame, percent: int = PERCENT, width: in
     sets = settle(texts.mapInArrow(_sets(width, percent, logs, total), SETS), "sets")
     filled = sets.where("n > 0")
     # Equal sets are one node, numbered when the table is written.
-    least = filled.groupBy("s1", "s2").agg(F.min(F.struct("id", "print")).alias("x"))
-    same = settle(least.select("s1", "s2", "x.id", "x.print", F.monotonically_increasing_id().alias("node")), "equal_sets")
+    least = filled.groupBy("s1", "s2").agg(F.min(F.struct("id", "print")).alias("x"), F.first("sketch").alias("sketch"))
+    numbered = settle(least.select("s1", "s2", "x.id", "x.print", "sketch", F.monotonically_increasing_id().alias("node")), "equal_sets")
+    same, sketch = numbered.drop("sketch"), numbered.select(F.col("node").alias("id"), "sketch")
     index = filled.join(same, ["s1", "s2", "id", "print"]).select(F.col("node").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = settle(
@@ -419,11 +448,11 @@ def similar_components(transcripts: DataFrame, percent: int = PERCENT, width: in
     known = nodes.join(joined, "id", "left").join(
         answers.where("id <> leader").select("id", F.col("leader").alias("of"), "distance"), "id", "left").select(
         "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("of", "id").alias("of"), F.coalesce("distance", F.lit(0)).alias("far"))
-    placed = settle(entries.drop("leader").join(known, "id").withColumnRenamed("of", "leader"), "placed")
+    placed = settle(entries.drop("leader").join(known.join(sketch, "id"), "id").withColumnRenamed("of", "leader"), "placed")
     mixed_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     pairs = settle(
         placed.join(mixed_lists, "token").repartition(parts, "token").sortWithinPartitions("token", "n", "id")
-        .select("token", "id", "n", "pos", "comp", "leader", "far")
+        .select("token", "id", "n", "pos", "comp", "leader", "far", "sketch")
         .mapInArrow(_list_pairs(percent), "leader bigint, id bigint, sure boolean, meets bigint")
         .groupBy("leader", "id").agg(F.max("sure").alias("sure"), F.count(F.lit(1)).alias("n"), F.max("meets").alias("meets"))
         .where("sure OR n >= meets"), "pairs")

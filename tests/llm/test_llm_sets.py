@@ -90,3 +90,29 @@ def test_pairs_of_a_long_list_come_in_batches_of_limited_size():
     batches = list(set_join._list_pairs(90)(iter([batch])))
     assert sum(b.num_rows for b in batches) == n * (n - 1) // 2
     assert max(b.num_rows for b in batches) <= set_join.PAIRS + set_join.BLOCK**2
+
+
+@pytest.mark.parametrize("size, changed", [(40, 3), (300, 40), (2_000, 500)])
+def test_sketches_never_differ_more_than_the_sets(size, changed):
+    import numpy as np
+
+    rng = np.random.default_rng(size)
+    first = rng.integers(0, 2**63, size).astype(np.uint64)
+    second = np.concatenate([first[changed:], rng.integers(0, 2**63, changed).astype(np.uint64)])
+    text = np.repeat([0, 2], size)
+    rows = [np.frombuffer(x, np.uint8) for x in set_join.sketches(text, np.concatenate([first, second]), 3)]
+    assert not rows[1].any()  # a text without members
+    apart = int(np.bitwise_count(rows[0] ^ rows[2]).sum())
+    assert 0.5 * min(2 * changed, set_join.SKETCH / 2) < apart <= 2 * changed
+
+
+def test_pairs_with_unlike_sketches_are_refused():
+    import numpy as np
+
+    one = lambda *x: np.array(x, np.int64)
+    words = np.zeros((3, set_join.SKETCH // 64), np.uint64)
+    words[1, 0], words[2] = 0b1111111111, 2**64 - 1  # 10 bits off, all bits off
+    args = one(0, 1, 2), one(100, 100, 100), one(0, 0, 0), one(0, 1, 2), one(7, 8, 9), one(0, 0, 0), 90
+    every = {(a, b) for x in set_join.list_pairs(*args) for a, b in zip(x[0].tolist(), x[1].tolist())}
+    left = {(a, b) for x in set_join.list_pairs(*args, words) for a, b in zip(x[0].tolist(), x[1].tolist())}
+    assert every == {(0, 1), (0, 2), (1, 2)} and left == {(0, 1)}
