@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribble.llm.words import LETTERS, LOWER, buffers
-from cribble.operators.ranking import broadcast_if_small
+from cribble.operators.ranking import broadcast_if_small, top_per_group
 
 UNKNOWN = "und"
 SAMPLE_PER_LANGUAGE = 1_200
@@ -211,18 +211,21 @@ def fit_language_tagger(
 ) -> Network:
     """Train on a bounded sample of ``text, language`` rows.
 
-    About ``per_language`` texts of each language are drawn by a hash of the
-    text, and ``chars`` characters from a hashed place of each, so what reaches
-    the driver is bounded by these parameters and the number of languages.
-    Rows without text, letters or language do not take part.
+    Of the different texts of each language about ``per_language`` are drawn by a hash of the
+    text, never more than twice as many, and ``chars`` characters from a hashed place of each. So what
+    reaches the driver is bounded by these parameters and the number of languages, however many
+    rows share a text. Rows without text, letters or language do not take part.
     """
-    usable = labelled.select("text", "language").where(F.col("language").isNotNull() & has_letters(F.col("text")))
-    counts = broadcast_if_small(usable.groupBy("language").agg(F.count(F.lit(1)).alias("n")))
-    mark = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    usable = labelled.select("text", "language", F.xxhash64("text").alias("h")).where(
+        F.col("language").isNotNull() & has_letters(F.col("text")))
+    counts = broadcast_if_small(usable.groupBy("language").agg(F.countDistinct("h").alias("n")))
+    mark = F.pmod("h", F.lit(1_000_000))
     drawn = usable.join(counts, "language").where(mark * F.col("n") < F.lit(per_language * 1_000_000))
     room = F.greatest(F.lit(1), F.length("text") - chars)
     start = F.pmod(F.xxhash64("text", F.lit(1)), room).cast("int") + 1
-    rows = drawn.select(F.substring("text", start, F.lit(chars)).alias("text"), "language").orderBy("language", "text").collect()
+    once = drawn.select(F.substring("text", start, F.lit(chars)).alias("text"), "language", "h").dropDuplicates(["language", "h"])
+    kept = top_per_group(once, ["language"], [F.pmod("h", F.lit(1_000_000)), F.col("h")], 2 * per_language)
+    rows = kept.orderBy("language", "text").collect()
     return train([r.text for r in rows], [r.language for r in rows], **training)
 
 

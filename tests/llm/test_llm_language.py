@@ -81,3 +81,15 @@ def test_nothing_learned(spark, messy):
     assert {r.language for r in tag_language(messy, fit_language_tagger(none)).collect()} == {"und"}
     one = spark.createDataFrame([("abc", "en")], "text string, language string")
     assert {r.language for r in tag_language(messy, fit_language_tagger(one)).collect()} == {"und", "en"}
+
+
+def test_the_sample_is_bounded_however_many_rows_share_a_text(spark, monkeypatch):
+    from cribble.llm import language as L
+
+    seen = {}
+    monkeypatch.setattr(L, "train", lambda texts, languages, **more: seen.update(texts=texts, languages=languages))
+    copies = spark.range(20_000).selectExpr("'immer der gleiche Satz' AS text", "IF(id % 2 = 0, 'de', 'xx') AS language")
+    others = spark.range(3_000).selectExpr("'Satz Nummer ' || id AS text", "'de' AS language")
+    L.fit_language_tagger(copies.unionByName(others), per_language=50)
+    assert len(set(zip(seen["texts"], seen["languages"]))) == len(seen["texts"]) <= 4 * 50
+    assert 25 <= seen["languages"].count("de") <= 100 and seen["languages"].count("xx") == 1

@@ -8,12 +8,12 @@ import pytest
 from cribble.llm import set_join
 
 
-def brute(docs, percent):
+def brute(docs, percent, width=3):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for i, text in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
-        sets[i] = {tuple(w[k: k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} - {()}
+        sets[i] = {tuple(w[k: k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}
     least = {i: i for i in sets}
 
     def find(x):
