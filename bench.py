@@ -27,6 +27,8 @@ HEADLINE = (
     "value_profile", "feature_vectors", "classifier_weights", "scored_tiers",
     "drain_clicks", "dedup_stream", "distinct_url_stream",
     "lexicon_term_hits_by_join", "lexical_negatives_flat", "holdout_report", "text_embeddings",
+    "count_phrases", "count_phrases_by_join", "top_of_large_classes", "hashed_embeddings", "drain_by_status",
+    "labelled_queue", "scored_queue", "routed_queue", "enqueue_searched_episodes", "evaluated_tiers",
 )
 
 
