@@ -115,8 +115,7 @@ WITH u AS (
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-         list_transform(string_split(chr(10) || chr(10) || translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
-                        lambda c: instr('abcdefghijklmnopqrstuvwxyz0123456789/.-_:?=&', c)) AS s
+         string_split(repeat(chr(10), 5) || translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS s
   FROM pages),
 rules(v, h, p) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
@@ -125,36 +124,32 @@ m AS (
   SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
   FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
 x AS (
-  SELECT u.*, rule, v, list_transform(range(1, len(s) - 1), lambda i: s[i] * 2025 + s[i + 1] * 45 + s[i + 2]) AS cells
+  SELECT u.*, rule, v, instr('13579bdf', right(md5(url), 1)) > 0 AS odd,
+         list_transform(range(1, len(s) - 4), lambda i: array_to_string(s[i:i + 5], '')) AS grams
   FROM u LEFT JOIN m USING (r)),
-t AS (SELECT v = 'allow' AS a, instr('13579bdf', right(md5(url), 1)) > 0 AS odd, cells FROM x WHERE v IS NOT NULL),
-seen AS (SELECT a, cell, count(*) AS n FROM (SELECT a, unnest(cells) AS cell FROM t WHERE NOT odd) GROUP BY a, cell),
-g AS (
-  SELECT c.a, i.cell, coalesce(n, 0) AS n3, i.cell // 45 AS ctx, i.cell % 2025 AS pair, (i.cell // 45) % 45 AS mid, i.cell % 45 AS c
-  FROM (SELECT unnest([true, false]) AS a) AS c CROSS JOIN (SELECT unnest(range(0, 91125)) AS cell) AS i
-  LEFT JOIN seen ON seen.a = c.a AND seen.cell = i.cell),
-g2 AS (SELECT a, pair, mid, c, CAST(sum(n3) AS BIGINT) AS n2 FROM g GROUP BY ALL),
-g1 AS (SELECT a, c, CAST(sum(n2) AS BIGINT) AS n1 FROM g2 GROUP BY ALL),
-g0 AS (SELECT a, CAST(sum(n1) AS BIGINT) AS n0, count_if(n1 > 0) AS t0 FROM g1 GROUP BY a),
-p1 AS (
-  SELECT a, c, CASE WHEN n0 = 0 THEN 1::DOUBLE / 45 ELSE (n1 + t0 * (1::DOUBLE / 45)) / (n0 + t0) END AS p1
-  FROM g1 JOIN g0 USING (a)),
-o2 AS (SELECT a, mid, CAST(sum(n2) AS BIGINT) AS m, count_if(n2 > 0) AS t FROM g2 GROUP BY a, mid),
-p2 AS (
-  SELECT a, pair, CASE WHEN m = 0 THEN p1 ELSE (n2 + t * p1) / (m + t) END AS p2
-  FROM g2 JOIN o2 USING (a, mid) JOIN p1 USING (a, c)),
-o3 AS (SELECT a, ctx, CAST(sum(n3) AS BIGINT) AS m, count_if(n3 > 0) AS t FROM g GROUP BY a, ctx),
-p3 AS (
-  SELECT a, cell, CASE WHEN m = 0 THEN p2 ELSE (n3 + t * p2) / (m + t) END AS p3
-  FROM g JOIN o3 USING (a, ctx) JOIN p2 USING (a, pair)),
-model AS (
-  SELECT list(r ORDER BY cell) AS w FROM (
-    SELECT cell, CAST(round((max(ln(p3)) FILTER (WHERE a) - max(ln(p3)) FILTER (WHERE NOT a)) * 1000000) AS BIGINT) AS r
-    FROM p3 GROUP BY cell)),
+e AS (SELECT r, unnest(grams) AS g, coalesce(v = 'allow' AND NOT odd, false) AS a, coalesce(v = 'block' AND NOT odd, false) AS b FROM x),
+d5 AS (SELECT g, count_if(a) AS na, count_if(b) AS nr FROM e GROUP BY g),
+""" + "".join(f"""
+d{k} AS (SELECT right(g, {k + 1}) AS g, CAST(sum(na) AS BIGINT) AS na, CAST(sum(nr) AS BIGINT) AS nr FROM d{k + 1} GROUP BY 1),""" for k in range(4, -1, -1)) + """
+p AS (SELECT 1::DOUBLE / 1114112 AS even),
+p0 AS (
+  SELECT g, CASE WHEN ma = 0 THEN even ELSE (na + ta * even) / (ma + ta) END AS pa,
+         CASE WHEN mr = 0 THEN even ELSE (nr + tr * even) / (mr + tr) END AS pr
+  FROM d0, p, (SELECT sum(na) AS ma, count_if(na > 0) AS ta, sum(nr) AS mr, count_if(nr > 0) AS tr FROM d0)),
+""" + "".join(f"""
+p{k} AS (
+  SELECT d.g, CASE WHEN ma = 0 THEN pa ELSE (na + ta * pa) / (ma + ta) END AS pa,
+         CASE WHEN mr = 0 THEN pr ELSE (nr + tr * pr) / (mr + tr) END AS pr
+  FROM d{k} AS d
+  JOIN (SELECT left(g, {k}) AS ctx, sum(na) AS ma, count_if(na > 0) AS ta, sum(nr) AS mr, count_if(nr > 0) AS tr
+        FROM d{k} GROUP BY 1) ON ctx = left(d.g, {k})
+  JOIN p{k - 1} AS q ON q.g = substr(d.g, 2)),""" for k in range(1, 6)) + r"""
+sums AS (
+  SELECT r, sum(ratio) AS total, count(*) AS n
+  FROM e JOIN (SELECT g, CAST(round((ln(pa) - ln(pr)) * 1000000) AS BIGINT) AS ratio FROM p5) USING (g) GROUP BY r),
 scored AS (
-  SELECT page_id, host, path, rule, v, odd, CASE WHEN n = 0 THEN 0 ELSE CAST(trunc(total / n) AS BIGINT) END AS score
-  FROM (SELECT x.*, instr('13579bdf', right(md5(url), 1)) > 0 AS odd, len(cells) AS n,
-               CAST(coalesce(list_sum(list_transform(cells, lambda i: w[i + 1])), 0) AS BIGINT) AS total FROM x, model)),
+  SELECT page_id, host, path, rule, v, odd, coalesce(CAST(trunc(total / n) AS BIGINT), 0) AS score
+  FROM x LEFT JOIN sums USING (r)),
 bins AS (
   SELECT CAST(floor(score / 10000.0::DOUBLE) AS BIGINT) AS bin, count_if(v = 'allow') AS good, count_if(v = 'block') AS bad
   FROM scored WHERE v IS NOT NULL AND odd GROUP BY 1),

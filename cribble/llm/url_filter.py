@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from cribble.llm.shared import settle
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-_:?=&"
-#: One symbol for the start of a URL and for any other character, so a context
-#: of two symbols and what follows it make ``SYMBOLS ** 3`` cells whatever the corpus.
-SYMBOLS = len(ALPHABET) + 1
-CELLS = SYMBOLS**3
+#: Longest context of the character models.
+ORDER = 5
+#: Below order 0 every Unicode code point is as likely as any other.
+CODE_POINTS = 1_114_112
+#: A gram that makes up at least one in so many characters is scored by a broadcast
+#: table, which therefore has at most so many rows; the others are joined by shuffle.
+HEAVY = 10_000
 #: Log-ratios are whole micro-nats: sums are exact and do not depend on order.
 MICRO = 1_000_000
 #: Calibration bins of a hundredth of a nat per character.
@@ -56,56 +58,75 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
-def _codes(url: str) -> str:
-    """SQL for the cell number of every character of a URL with the two before it."""
-    low = f"concat('\\n\\n', translate({url}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
-    symbols = f"transform(array_remove(split({low}, ''), ''), c -> instr('{ALPHABET}', c))"
-    cell = f"get(s, i) * {SYMBOLS * SYMBOLS} + get(s, i + 1) * {SYMBOLS} + get(s, i + 2)"
+def _grams(url: str) -> str:
+    """SQL for every character of a URL with the ``ORDER`` characters before it (line feeds before the start)."""
+    symbols = f"split(concat(repeat('\\n', {ORDER}), translate({url}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '')"
+    gram = ", ".join(f"get(s, i + {k})" for k in range(ORDER + 1))
     # ``sequence`` counts down where its end is below its start, hence the guard.
-    cells = f"if(size(s) < 3, array(), transform(sequence(0, size(s) - 3), i -> {cell}))"
-    return f"transform(array({symbols}), s -> {cells})[0]"
+    grams = f"if(size(s) <= {ORDER}, array(), transform(sequence(0, size(s) - {ORDER + 1}), i -> concat({gram})))"
+    return f"transform(array({symbols}), s -> {grams})[0]"
 
 
-def language_model(labelled: DataFrame) -> DataFrame:
-    """One row ``model``: the log-ratio of every cell, in micro-nats, as an array.
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """``gram, n, na, nr``: each different gram of the URLs, and how often it is in all, accepted and rejected ones.
 
-    ``labelled``: ``url, accepted``. Each class has a Markov model that mixes
-    the orders 2, 1 and 0 and the even distribution (Witten-Bell): a context
-    seen n times with t different followers gives the shorter context the
-    share t / (n + t). Counts are over all rows and combine before shuffling;
-    the table has ``CELLS`` rows per class at most.
+    ``rows``: ``url, accepted`` (null where the URL teaches nothing). Counts
+    are over all rows and combine before shuffling.
     """
-    spark = labelled.sparkSession
-    seen = labelled.select("accepted", F.explode(F.expr(_codes("url"))).alias("cell")) \
-        .groupBy("accepted", "cell").agg(F.count(F.lit(1)).alias("n3"))
-    grid = spark.range(2 * CELLS).selectExpr(f"id % {CELLS} AS cell", f"id >= {CELLS} AS accepted")
-    n = SYMBOLS
-    counts = grid.join(seen, ["accepted", "cell"], "left").selectExpr(
-        "accepted", "cell", "coalesce(n3, 0L) AS n3", f"cell div {n} AS ctx", f"cell % {n * n} AS pair",
-        f"cell % {n} AS c", f"(cell div {n}) % {n} AS mid")
-    by_pair = counts.groupBy("accepted", "pair", "mid", "c").agg(F.sum("n3").alias("n2"))
-    by_char = by_pair.groupBy("accepted", "c").agg(F.sum("n2").alias("n1"))
-    total = by_char.groupBy("accepted").agg(F.sum("n1").alias("n0"), F.count_if(F.col("n1") > 0).alias("t0"))
-    p1 = by_char.join(total, "accepted").selectExpr(
-        "accepted", "c", f"if(n0 = 0, 1D / {n}, (n1 + t0 * (1D / {n})) / (n0 + t0)) AS p1")
-    of_mid = by_pair.groupBy("accepted", "mid").agg(F.sum("n2").alias("m"), F.count_if(F.col("n2") > 0).alias("t"))
-    p2 = by_pair.join(of_mid, ["accepted", "mid"]).join(p1, ["accepted", "c"]).selectExpr(
-        "accepted", "pair", "if(m = 0, p1, (n2 + t * p1) / (m + t)) AS p2")
-    of_ctx = counts.groupBy("accepted", "ctx").agg(F.sum("n3").alias("m"), F.count_if(F.col("n3") > 0).alias("t"))
-    p3 = counts.join(of_ctx, ["accepted", "ctx"]).join(p2, ["accepted", "pair"]).selectExpr(
-        "accepted", "cell", "if(m = 0, p2, (n3 + t * p2) / (m + t)) AS p3")
-    ratio = p3.groupBy("cell").agg(
-        F.expr(f"cast(round((max(ln(p3)) FILTER (WHERE accepted) - max(ln(p3)) FILTER (WHERE NOT accepted)) * {MICRO}) AS bigint)").alias("r"))
-    return ratio.agg(F.expr("transform(sort_array(collect_list(struct(cell, r))), x -> x.r)").alias("model"))
+    each = rows.select("accepted", F.explode(F.expr(_grams("coalesce(url, '')"))).alias("gram"))
+    return each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("na"),
+                                    F.count_if(~F.col("accepted")).alias("nr"))
+
+
+def language_model(counts: DataFrame) -> DataFrame:
+    """``gram, n, ratio``: the log-ratio of a gram's last character after the others, in micro-nats.
+
+    ``counts`` as from ``gram_counts``. Each class has a Markov model of
+    variable order: it starts from the longest context of at most ``ORDER``
+    characters that the class has seen, and mixes it with the shorter ones down
+    to the even distribution (Witten-Bell): a context seen m times with t
+    different followers gives the next shorter context the share t / (m + t).
+    Contexts are the observed strings themselves, over any characters, in
+    tables that grow with the URLs and are joined by their text.
+    """
+    def counted(k: int) -> DataFrame:
+        """Counts of the last ``k`` characters and the one that follows, and of their context."""
+        level = counts if k == ORDER else counts.groupBy(F.expr(f"right(gram, {k + 1})").alias("gram")).agg(
+            F.sum("na").alias("na"), F.sum("nr").alias("nr"))
+        level = level.withColumn("ctx", F.substring("gram", 1, k))
+        contexts = level.groupBy("ctx").agg(
+            F.sum("na").alias("ma"), F.count_if(F.col("na") > 0).alias("ta"),
+            F.sum("nr").alias("mr"), F.count_if(F.col("nr") > 0).alias("tr"))
+        return level.join(contexts, "ctx")
+
+    def mix(shorter: str, n: str, m: str, t: str) -> str:
+        return f"if({m} = 0, {shorter}, ({n} + {t} * {shorter}) / ({m} + {t}))"
+
+    even = f"(1D / {CODE_POINTS})"
+    model = counted(0).selectExpr("gram", f"{mix(even, 'na', 'ma', 'ta')} AS pa", f"{mix(even, 'nr', 'mr', 'tr')} AS pr")
+    for k in range(1, ORDER + 1):
+        shorter = model.withColumnRenamed("gram", "short")
+        model = counted(k).withColumn("short", F.expr("substring(gram, 2)")).join(shorter, "short").selectExpr(
+            "gram", *(["n"] if k == ORDER else []), f"{mix('pa', 'na', 'ma', 'ta')} AS pa", f"{mix('pr', 'nr', 'mr', 'tr')} AS pr")
+    return model.selectExpr("gram", "n", f"cast(round((ln(pa) - ln(pr)) * {MICRO}) AS bigint) AS ratio")
 
 
 def _score(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Add ``score``: the log-likelihood difference per character in micro-nats, 0 without characters."""
-    cells = F.expr(_codes("coalesce(url, '')"))
-    held = rows.withColumn("_cells", cells).withColumn("_model", model.scalar())
-    return held.withColumn("score", F.expr(
-        "if(size(_cells) = 0, 0L, aggregate(_cells, 0L, (sum, x) -> sum + get(_model, cast(x AS int))) div size(_cells))"
-    )).drop("_cells", "_model")
+    """Add ``score``: the log-likelihood difference per character in micro-nats, 0 without characters.
+
+    ``rows`` are settled and have a key ``row``. Grams that nearly every URL has
+    meet a table of at most ``HEAVY`` rows where they are; the rest, none of them
+    frequent, are summed by gram and row and looked up by shuffle.
+    """
+    least = model.agg(F.ceil(F.sum("n") / HEAVY).alias("least")).scalar()
+    heavy = model.where(F.col("n") >= least).select("gram", "ratio")
+    light = model.where(F.col("n") < least).select("gram", "ratio")
+    each = rows.select("row", F.explode(F.expr(_grams("coalesce(url, '')"))).alias("gram"))
+    near = each.join(F.broadcast(heavy), "gram").groupBy("row").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("n"))
+    rest = each.join(F.broadcast(heavy.select("gram")), "gram", "left_anti").join(light, "gram")
+    far = rest.groupBy("row").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("n"))
+    sums = near.unionByName(far).groupBy("row").agg(F.expr("sum(sum) div sum(n)").alias("score"))
+    return rows.join(sums, "row", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("bigint")))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -139,7 +160,7 @@ def url_verdicts(queue: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFram
 
     ``queue``: ``id, url``; other columns are ignored. ``rules``: pairs of
     ``allow`` or ``block`` and a rule such as ``example.org/es/``; the longest
-    that fits decides. Where none fits, two character models decide, trained on
+    that fits decides. Where none fits, two character models of variable order decide, trained on
     half of the URLs that rules accepted and rejected; the other half sets the
     cut on the log-likelihood difference per character.
 
@@ -147,17 +168,19 @@ def url_verdicts(queue: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFram
     cut`` (the last two in micro-nats per character). A null URL, or one
     without ``://``, has no host and no path, so only the models judge it; an
     empty one scores 0. Repeated rows get the same verdict. Without accepted or
-    without rejected URLs the cut is 0.
+    without rejected URLs the cut is 0. URLs of any length are read whole.
     """
     rows = queue.select("id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    rows = rows.withColumn("_m", matched_rule(F.col("host"), F.col("path"), rules))
-    labelled = rows.where(F.col("_m").isNotNull()).select(
-        "url", (F.col("_m.verdict") == "allow").alias("accepted"))
-    half = F.expr("if(instr('13579bdf', right(md5(url), 1)) > 0, 1, 0)")
-    # Both are one row; settled, they are worked out once for all that reads them.
-    model = settle(language_model(labelled.where(half == 0)), "url_model")
-    cut = settle(threshold(_score(labelled.where(half == 1), model)), "url_cut")
-    scored = _score(rows, model).withColumn("cut", cut.scalar())
+    # Every table that is read twice is settled; the keys of the rows stay what they are.
+    rows = settle(rows.withColumn("_m", matched_rule(F.col("host"), F.col("path"), rules))
+                  .withColumn("row", F.monotonically_increasing_id()), "url_rows")
+    teaches = F.expr("instr('13579bdf', right(md5(url), 1)) = 0")
+    accepted = F.col("_m.verdict") == "allow"
+    counts = settle(gram_counts(rows.select("url", F.when(teaches, accepted).alias("accepted"))), "url_grams")
+    model = settle(language_model(counts), "url_model")
+    scored = settle(_score(rows, model), "url_scores")
+    cut = settle(threshold(scored.where(F.col("_m").isNotNull() & ~teaches).select("score", accepted.alias("accepted"))), "url_cut")
+    scored = scored.withColumn("cut", cut.scalar())
     by_model = F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block")
     return scored.select("id", "host", "path", F.col("_m.rule").alias("rule"),
                          F.coalesce("_m.verdict", by_model).alias("verdict"), "score", "cut")

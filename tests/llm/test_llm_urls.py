@@ -1,9 +1,12 @@
 """URL rules and models on odd rows."""
 
+from collections import Counter
+from math import log
+
 import pytest
 
 from cribble.llm.queries import URL_RULES
-from cribble.llm.url_filter import language_model, url_verdicts
+from cribble.llm.url_filter import gram_counts, language_model, url_verdicts
 
 ROWS = [
     (1, "http://WWW.Example.ORG/es/1", "www.example.org", "/es/1", "example.org/es/", "block"),
@@ -46,9 +49,35 @@ def test_no_labels_and_no_rows(spark):
     assert url_verdicts(df, ()).first().rule is None
 
 
-def test_model_is_smoothed(spark):
-    model = language_model(spark.createDataFrame([("ab", True), ("ac", False)], "url string, accepted boolean")).first().model
-    assert len(model) == 45**3 and min(model) < 0 < max(model)
+def test_model_against_brute_force(spark):
+    """Every probability by counting substrings, on URLs with characters beyond ASCII and a repeated row."""
+    rows = [("a.de/äöü", True), ("a.de/äö🙂", True), ("a.de/äöü", True), ("b.de/xöü", False), ("漢字.de", None), ("", True), (None, False)]
+    pad = {c: ["\n" * 5 + (u or "") for u, x in rows if x is c] for c in (True, False)}
+
+    def prob(gram, k, texts):
+        """Of the last character of ``gram`` after the ``k`` before it."""
+        if k < 0:
+            return 1 / 1114112
+        seen = Counter(t[i - k: i + 1] for t in texts for i in range(5, len(t)) if t[i - k: i] == gram[5 - k: 5])
+        m, t = sum(seen.values()), len(seen)
+        return (seen[gram[5 - k:]] + t * prob(gram, k - 1, texts)) / (m + t) if m else prob(gram, k - 1, texts)
+
+    frame = spark.createDataFrame(rows, "url string, accepted boolean")
+    got = {r.gram: (r.n, r.ratio) for r in language_model(gram_counts(frame)).collect()}
+    every = Counter(t[i: i + 6] for u, _ in rows for t in ["\n" * 5 + (u or "")] for i in range(len(t) - 5))
+    assert {g: n for g, (n, _) in got.items()} == every
+    for gram, (_, ratio) in got.items():
+        assert ratio == pytest.approx(1e6 * (log(prob(gram, 5, pad[True])) - log(prob(gram, 5, pad[False]))), abs=1)
+
+
+def test_hosts_beyond_ascii_score_differently(spark):
+    """Two hosts of one shape: what is learned of one says nothing of the other."""
+    good = [(i, f"http://новости{i}.org/") for i in range(40)]
+    bad = [(100 + i, f"http://подарки{i}.com/de/") for i in range(40)]
+    new = [(200, "http://новости.net/"), (201, "http://подарки.net/"), (202, "http://漢字" + "x" * 200_000)]
+    got = {r.id: r for r in url_verdicts(spark.createDataFrame(good + bad + new, "id bigint, url string"), URL_RULES).collect()}
+    assert got[200].score > got[201].score and len(got) == 83
+    assert got[200].verdict == "allow" and got[201].verdict == "block"
 
 
 def test_no_python(spark):
@@ -64,4 +93,4 @@ def test_queries_are_registered(n):
     import __spark_entry__ as entry
 
     found = [k for k in entry.queries() if k.startswith("op")]
-    assert [int(k[2:].split("_")[0]) for k in found] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(k[2:].split("_")[0]) for k in found] == list(range(1, 14)) and "pipeline" in entry.queries()
