@@ -1,8 +1,9 @@
 """Finding passages of evaluation items in transcripts, by winnowing.
 
-A window of L words is stood for by the least hash of its k-word grams. Equal
-windows have equal least hashes, so a transcript's windows whose least hash is
-no item's are done with at once: every shared span of L words or more is found.
+Each window of L words selects its k-word gram with the least hash, and the
+selected grams are the fingerprints of a text. Equal windows select the same
+gram, so joining fingerprints and extending each match word by word finds every
+shared span of L words or more.
 """
 
 from __future__ import annotations
@@ -23,77 +24,101 @@ GRAM = 7
 #: The filter of least hashes has at most this many bits (16 MB), however many there are.
 MAX_FILTER_BITS = 27
 
-WINDOW = "start int, span int, low bigint, h1 bigint, h2 bigint"
+#: A fingerprint: its place, the window length it was selected for, the hash of the gram,
+#: and the hashes of the words before it (nearest first) and after it that a window can reach.
+PRINT = ["start", "span", "low", "before", "after"]
 
 
-def windows(words: Words, span: int, rolls: tuple[Rolling, Rolling, Rolling]):
-    """Least gram hash of every ``span`` words and a function giving two hashes of chosen ones."""
-    gram = min(GRAM, span)
-    low = window_min(rolls[0].grams(words.hashes, gram), span - gram + 1)
-    sums = [r.prefix(words.hashes) for r in rolls[1:]]
-
-    def exact(at: np.ndarray) -> list[np.ndarray]:
-        return [r.runs(s, at, at + span) for r, s in zip(rolls[1:], sums)]
-
-    return low, exact
+def selected(words: Words, span: int, roll: Rolling, maybe=None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of words) and hashes of the grams that the windows of ``span`` words select.
 
-
-def _item_windows(span: int):
+    ``maybe`` tells of least hashes which are worth looking at.
+    """
+    gram = min(GRAM, span)
+    width = span - gram + 1
+    hashes = roll.grams(words.hashes, gram)
+    low = window_min(hashes, width)
+    at = np.flatnonzero(same_text(words.first, span)[: len(low)])
+    if maybe is not None:
+        at = at[maybe(low[at])]
+    place = np.full(len(at), -1)
+    for k in range(width - 1, -1, -1):  # the leftmost of equal ones
+        place[hashes[at + k] == low[at]] = k
+    place = np.unique(at + place)
+    return place, hashes[place]
+
+
+def around(words: Words, text: np.ndarray, place: np.ndarray, span: int) -> list[pa.ListArray]:
+    """Hashes of the up to ``span - gram`` words of the same text on either side of each gram."""
+    gram = min(GRAM, span)
+    step = np.arange(span - gram)
+    out = []
+    for at, ok in ((place[:, None] - 1 - step, lambda x: x >= words.first[text[place]][:, None]),
+                   (place[:, None] + gram + step, lambda x: x < words.first[text[place] + 1][:, None])):
+        inside = ok(at)
+        offsets = np.concatenate(([0], np.cumsum(inside.sum(axis=1)))).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.hashes[at[inside]].view(np.int64))))
+    return out
+
+
+def _prints(words: Words, spans: list[int], fits=None, maybe=None) -> tuple[np.ndarray, pa.StructArray]:
+    """The number of the text of each fingerprint, and the fingerprints, by text and place."""
+    roll, text = Rolling(2), words.text_of()
+    which, parts = [], []
+    for n in spans:
+        place, low = selected(words, n, roll, maybe)
+        if fits is not None:
+            ok = fits(text[place], n)
+            place, low = place[ok], low[ok]
+        which.append(text[place])
+        parts.append(pa.StructArray.from_arrays(
+            [pa.array((place - words.first[text[place]]).astype(np.int32)), pa.array(np.full(len(place), n, np.int32)),
+             pa.array(low.view(np.int64)), *around(words, text, place, n)], PRINT))
+    order = np.argsort(np.concatenate(which), kind="stable")
+    return np.concatenate(which)[order], pa.concat_arrays(parts).take(pa.array(order))
+
+
+def _item_prints(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolls = Rolling(2), Rolling(3), Rolling(4)
         for batch in batches:
             data, bounds = buffers(batch.column(1))
             words = Words(data, bounds, ALNUM, LOWER)
             sizes = np.diff(words.first)
-            text, first = words.text_of(), words.first
-            parts = []
-            for n in sorted({min(int(s), span) for s in sizes if s}):
-                low, exact = windows(words, n, rolls)
-                inside = same_text(first, n)[: len(low)]
-                if n < span:  # an item of fewer words is one window
-                    inside &= sizes[text[: len(low)]] == n
-                at = np.flatnonzero(inside)
-                parts.append((text[at], np.full(len(at), n), low[at], *exact(at)))
-            which, *columns = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(which)), pa.array(columns[0].astype(np.int32)),
-                 *[pa.array(c.view(np.int64)) for c in columns[1:]]], ["item_id", "span", "low", "h1", "h2"])
+            spans = sorted({min(int(s), span) for s in sizes if s})
+            if spans:  # an item of fewer words than ``span`` is one window
+                text, found = _prints(words, spans, lambda t, n: np.minimum(sizes[t], span) == n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *found.flatten()[1:]], ["item_id", *PRINT[1:]])
 
     return run
 
 
 def _scan(spans: list[int], bits: np.ndarray, shift: int):
+    def maybe(low: np.ndarray) -> np.ndarray:
+        cell = low >> np.uint64(shift)
+        return ((bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolls = Rolling(2), Rolling(3), Rolling(4)
-        kinds = [np.int32, np.int32, np.int64, np.int64, np.int64]
         for batch in batches:
             data, bounds = buffers(batch.column(1))
             for a, b in portions(bounds):
                 words = Words(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a], ALNUM, LOWER)
-                text, first, parts = words.text_of(), words.first, []
-                for n in spans:
-                    low, exact = windows(words, n, rolls)
-                    cell = low >> np.uint64(shift)
-                    maybe = (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1
-                    at = np.flatnonzero(maybe)
-                    at = at[at + n <= first[text[at] + 1]]
-                    parts.append((at, np.full(len(at), n), low[at], *exact(at)))
-                at, *rest = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
-                order = np.argsort(at, kind="stable")
-                at, rest = at[order], [c[order] for c in rest]
-                offsets = np.searchsorted(at, first)
-                columns = [at - first[text[at]], *rest]
-                items = pa.StructArray.from_arrays(
-                    [pa.array(c.view(np.int64).astype(k)) for c, k in zip(columns, kinds)],
-                    ["start", "span", "low", "h1", "h2"])
+                # Without items there is no length of window, and nothing to find.
+                text, found = _prints(words, spans or [SPAN], maybe=maybe)
+                offsets = np.searchsorted(text, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(first)),
-                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items)],
-                    ["id", "text_hash", "n_words", "windows"])
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(words.first)),
+                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), found)],
+                    ["id", "text_hash", "n_words", "prints"])
 
     return run
 
 
+def _alike(a: str, b: str) -> str:
+    """SQL for how many first elements of two arrays are equal."""
+    first = f"array_position(zip_with({a}, {b}, (x, y) -> coalesce(x = y, false)), false)"
+    return f"if({first} = 0, size({a}), cast({first} - 1 AS int))"
+
+
 def find_contamination(
     transcripts: DataFrame, held_out: DataFrame, span: int = SPAN, min_percent: int = 5,
 ) -> DataFrame:
@@ -113,15 +138,18 @@ def find_contamination(
     hits but is not listed. An empty table of items leaves all clean.
 
     Texts are read once and never shuffled. What is broadcast is a bit filter
-    of at most ``2 ** MAX_FILTER_BITS`` bits; if items outgrow it, more windows
-    go into the join, and the result is the same.
+    of at most ``2 ** MAX_FILTER_BITS`` bits; if items outgrow it, more fingerprints
+    go into the join, and the result is the same. A fingerprint carries the hashes of
+    the words that a window around it can reach, so matches are extended where they
+    meet: by up to ``span - GRAM`` words on each side, which covers every window that
+    selected it; longer spans are the union of their windows.
     """
     spark = transcripts.sparkSession
     item_rows = held_out.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = item_rows.schema["item_id"].dataType.simpleString()
     known = settle(item_rows.mapInArrow(
-        _item_windows(span), f"item_id {schema}, span int, low bigint, h1 bigint, h2 bigint").distinct(), "item_windows")
-    lows = known.select("low", "span").distinct()
+        _item_prints(span), f"item_id {schema}, span int, low bigint, before array<bigint>, after array<bigint>").distinct(), "item_prints")
+    lows = known.select("low").distinct()
     n = max(1, lows.count())
     width = min(MAX_FILTER_BITS, max(10, math.ceil(math.log2(16 * n))))
     cells = F.shiftrightunsigned("low", 64 - width)
@@ -132,18 +160,26 @@ def find_contamination(
 
     texts = transcripts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    scanned = texts.mapInArrow(_scan(spans, bits, 64 - width), f"id {kind}, text_hash bigint, n_words bigint, windows array<struct<{WINDOW.replace(' ', ':').replace(',:', ',')}>>")
+    scanned = texts.mapInArrow(_scan(spans, bits, 64 - width), f"id {kind}, text_hash bigint, n_words bigint, prints array<"
+                               "struct<start:int,span:int,low:bigint,before:array<bigint>,after:array<bigint>>>")
     rows = settle(scanned.withColumn("row", F.monotonically_increasing_id()), "contamination")
-    occurring = rows.select("row", F.inline("windows")).join(known, ["span", "low", "h1", "h2"])
+    # Items that agree around a gram are met once, whatever their number.
+    places = known.groupBy("span", "low", "before", "after").agg(F.collect_set("item_id").alias("ids")).selectExpr(
+        "span", "low", "before AS b", "after AS a", "ids")
+    gram = f"least({GRAM}, span)"
+    occurring = rows.select("row", F.inline("prints")).join(places, ["span", "low"]).selectExpr(
+        "row", "start", "span", "ids", f"{_alike('before', 'b')} AS back", f"{_alike('after', 'a')} AS on"
+    ).where(f"back + {gram} + on >= span").selectExpr(
+        "row", "start - back AS start", f"back + {gram} + on AS span", "ids")
     per_text = occurring.groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct("start", "span"))).alias("w"),
-        F.sort_array(F.collect_set("item_id")).alias("items"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     hit = F.aggregate("w", zero, lambda acc, x: F.struct(
         (acc["n"] + F.greatest(F.lit(0), x["start"] + x["span"] - F.greatest(x["start"], acc["end"]))).alias("n"),
         F.greatest(acc["end"], x["start"] + x["span"]).alias("end")), lambda acc: acc["n"])
     found = per_text.select("row", hit.cast("bigint").alias("n_hit"), "items")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
-    return rows.drop("windows").join(found, "row", "left").select(
+    return rows.drop("prints").join(found, "row", "left").select(
         "id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast(f"array<{schema}>")).alias("items"),
         ((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * min_percent)).alias("contaminated"))

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+import pytest
+
 from cribble.llm.contamination import find_contamination
 from cribble.llm.line_dedup import LineIndex, PerfectHash, drop_shared_lines
 from cribble.llm.quality import quality_verdicts, source_rates
@@ -121,3 +123,67 @@ def test_contamination_beyond_the_filter(spark, monkeypatch):
     want = sorted(map(str, find_contamination(docs, items).collect()))
     monkeypatch.setattr(contamination, "MAX_FILTER_BITS", 4)
     assert sorted(map(str, find_contamination(docs, items).collect())) == want
+
+
+def brute_hits(texts, items, span=13):
+    """Per text: words in windows of items, and the items."""
+    import re
+
+    split = lambda t: tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")))
+    windows = {}
+    for i, t in items:
+        w = split(t)
+        n = min(span, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(w[k: k + n], set()).add(i)
+    out = []
+    for i, t in texts:
+        w, hit, found = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if w[k: k + n] in windows:
+                    hit.update(range(k, k + n))
+                    found |= windows[w[k: k + n]]
+        out.append((i, len(w), len(hit), sorted(found - {None})))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contamination_against_brute_force(spark, messy, seed):
+    """Few different words, so that grams tie, recur and are shared by several items of all lengths."""
+    import random
+
+    from conftest import LONG
+
+    rng = random.Random(seed)
+    def some(n, letters="abc"):
+        return " ".join(rng.choice(letters) for _ in range(n))
+    items = [(i, some(rng.choice([1, 3, 6, 7, 8, 12, 13, 14, 30]), "abcdefgh")) for i in range(12)] + [(90, "a " * 40), (91, some(20)), (91, some(9)), (None, some(16))]
+    items += [(92, " ".join(LONG.split()[500:520])), (93, None)]
+    texts = []
+    for i in range(40):
+        parts = [some(rng.randint(0, 30), "abcdefgh")]
+        for _ in range(rng.randint(0, 3)):
+            w = (rng.choice(items)[1] or "").split()
+            at = rng.randint(0, len(w))
+            parts += [" ".join(w[at: at + rng.randint(5, 30)]), some(rng.randint(0, 3), "abcdefgh")]
+        texts.append((i, " ".join(parts)))
+    texts += [(r.id, r.text) for r in messy.collect()]
+    df = spark.createDataFrame(texts, "id bigint, text string").selectExpr("*", "1 AS start", "2 AS low", "3 AS ids").repartition(3)
+    got = find_contamination(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    key = lambda x: str(x)
+    assert sorted(((r.id, r.n_words, r.n_hit, r["items"]) for r in got), key=key) == sorted(brute_hits(texts, items), key=key)
+
+
+def test_fingerprints_are_selected_minima():
+    """Every window selects one of its grams, and far fewer grams are selected than there are words."""
+    import numpy as np
+
+    from cribble.llm.contamination import GRAM, SPAN, selected
+    from cribble.llm.words import ALNUM, LOWER, Rolling, Words
+
+    text = " ".join(f"w{i % 701}x{i % 13}" for i in range(5_000)).encode()
+    words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ALNUM, LOWER)
+    place, _ = selected(words, SPAN, Rolling(2))
+    gaps = np.diff(np.concatenate(([-1], place, [5_000 - GRAM + 1])))
+    assert gaps.max() <= SPAN - GRAM + 1 and len(place) < 0.35 * 5_000
