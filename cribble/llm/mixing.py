@@ -107,14 +107,16 @@ def route_flow(
 def take_in_order(sized: DataFrame, quota: DataFrame, seed: int = SEED, small: bool = False) -> DataFrame:
     """Add ``taken``: a pattern's quota laid over its transcripts in a seeded order.
 
-    ``sized``: ``id, size, pattern, ...``; ``quota``: ``pattern, words,
+    ``sized``: ``id, size, pattern, text_hash, ...``; ``quota``: ``pattern, words,
     pattern_size``. Every transcript is used ``words div pattern_size`` times,
     and the remainder goes once more to those that come first, the last of them
     in part. No pattern is sorted in one task: a histogram of the order's first
     hex digits finds the bucket where the remainder ends, and only that bucket
     is ranked. ``small`` says that the quotas were counted and may be broadcast.
+    Transcripts without an id are ordered by their text; those with the same id by
+    size and text, so that a rerun can only swap equal ones.
     """
-    order = F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(str(seed))))
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), "text_hash"), F.lit(str(seed))))
     rows = sized.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, PREFIX))
     buckets = rows.groupBy("pattern", "_bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,14 +133,14 @@ def take_in_order(sized: DataFrame, quota: DataFrame, seed: int = SEED, small: b
     plan = plan.join(cut, "pattern", "left")
     placed = rows.join(F.broadcast(plan) if small else plan, "pattern", "left")
     at_cut = placed.where(F.col("_bucket") == F.col("_cut"))
-    upto = Window.partitionBy("pattern").orderBy("_order", "id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("pattern").orderBy("_order", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     ranked = at_cut.withColumn("_more", F.greatest(F.lit(0), F.least(
         F.col("size"), F.col("_inside") - F.coalesce(F.sum("size").over(upto), F.lit(0)))))
     others = placed.where(~F.col("_bucket").eqNullSafe(F.col("_cut"))).withColumn(
         "_more", F.when(F.col("_bucket") < F.col("_cut"), F.col("size")).otherwise(F.lit(0)))
     both = ranked.unionByName(others)
     return both.withColumn("taken", (F.col("_full") * F.col("size") + F.col("_more")).cast("bigint")) \
-        .drop("_order", "_bucket", "_cut", "_inside", "_full", "_rest", "_more")
+        .drop("_order", "_bucket", "_cut", "_inside", "_full", "_rest", "_more", "text_hash")
 
 
 def mix_sources(
@@ -165,18 +167,23 @@ def mix_sources(
     spark = transcripts.sparkSession
     nameless = F.array(F.lit(None).cast("string"))
     sets = F.when(F.size(F.coalesce("sources", F.array())) > 0, F.array_sort(F.array_distinct("sources"))).otherwise(nameless)
-    sized = settle(transcripts.select("id", text_size(F.col("text")).alias("size"), sets.alias("sources"))
+    sized = settle(transcripts.select("id", text_size(F.col("text")).alias("size"), sets.alias("sources"),
+                                      F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"))
                    .withColumn("pattern", F.to_json(F.struct("sources"), {"ignoreNullFields": "false"})), "mix")
     found = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("n")).collect()
     found.sort(key=lambda r: r.pattern)
     names = sorted({s for r in found for s in r.sources}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(r.n for r in found if s in r.sources) for s in names}
+    sizes = dict.fromkeys(names, 0)
+    for r in found:
+        for s in r.sources:
+            sizes[s] += r.n
+    number = {s: i for i, s in enumerate(names)}
     share = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     # A transcript of several sources is one transcript: the budget counts it once.
     total = sum(r.n for r in found)
     scale = total / sum(sizes.values()) if total else 1.0
     targets = source_targets(sizes, share, budget * scale if scale != 1.0 else budget, max_uses)
-    flow = route_flow([(tuple(names.index(s) for s in r.sources), r.n) for r in found],
+    flow = route_flow([(tuple(number[s] for s in r.sources), r.n) for r in found],
                       [round(targets[s]) for s in names], max_uses)
     quota = spark.createDataFrame(
         [(r.pattern, sum(t.values()), r.n, [targets[s] for s in r.sources], [sizes[s] for s in r.sources])

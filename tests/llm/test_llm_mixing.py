@@ -73,3 +73,25 @@ def test_messy_rows(spark, messy, empty):
         assert abs(sum(r.taken for r in found) - found[0].targets[0]) <= 1
         assert sum(r.size for r in found) == found[0].source_sizes[0]
     assert mix_sources(empty.withColumn("sources", F.array("source")), [1.0]).count() == 0
+
+
+def test_reruns_agree_without_ids(spark):
+    """Null and shared ids: the same texts are taken as often, however the rows are dealt."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, None, 7, i]), f"{i % 500} " * rng.randint(1, 30), [rng.choice("ab")]) for i in range(3_000)]
+    def taken(rows, parts):
+        df = spark.createDataFrame(rows, "id bigint, text string, sources array<string>").repartition(parts)
+        return sorted(((r.id or -1, r.size, r.sources[0], r.taken) for r in mix_sources(df, [5.0, 2.0], budget=1.1).collect()))
+    first = taken(rows, 1)
+    rng.shuffle(rows)
+    assert taken(rows, 9) == first and any(0 < x[3] < x[1] for x in first)
+
+
+def test_many_sources(spark):
+    """100,000 sources are planned in seconds."""
+    from time import time
+
+    df = spark.range(100_000).selectExpr("id", "repeat('w ', cast(id % 5 AS int)) AS text", "array(concat('feed', id)) AS sources")
+    start = time()
+    got = mix_sources(df, [5.0, 2.0, 1.0]).selectExpr("count(*) AS n", "sum(size) AS size", "sum(taken) AS taken").first()
+    assert got.n == 100_000 and 0 < got.taken <= 2 * got["size"] and time() - start < 60
