@@ -4,14 +4,16 @@ The induction runs bucket by bucket. Within a bucket it goes in waves: what a
 stretch of the array induces is placed at once, and what falls into the same
 bucket makes the next stretch, so the work in Python grows with the alphabet
 and the longest run of one symbol, and everything else is linear in numpy.
+Names of substrings, the symbols of every level below the first, are mostly
+rare; there the same induction runs suffix by suffix, linear as well.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: A level whose symbols are rarer than this on average is sorted by doubling: buckets
-#: of a few suffixes leave numpy nothing to do at once.
+#: A level whose symbols are rarer than this on average is induced suffix by suffix:
+#: buckets of a few suffixes leave numpy nothing to do at once.
 LEAST_BUCKET = 64
 
 
@@ -82,6 +84,32 @@ def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.nd
     return order
 
 
+def _induce_rare(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What ``_induce`` gives, suffix by suffix: for alphabets whose buckets hold a few suffixes each."""
+    ends = np.cumsum(sizes)
+    head, tail = (ends - sizes).tolist(), ends.tolist()
+    # The symbol before each suffix if the suffix there is greater (smaller) than this one, else -1.
+    before = np.concatenate([[-1], text[:-1]])
+    falls = np.where(np.concatenate([[True], smaller[:-1]]), -1, before).tolist()
+    rises = np.where(np.concatenate([[False], smaller[:-1]]), before, -1).tolist()
+    order = [0] * len(text)  # a place still free induces nothing, as nothing is before suffix 0
+    for at, c in zip(lms[::-1].tolist(), text[lms[::-1]].tolist()):
+        tail[c] -= 1
+        order[tail[c]] = at
+    for at in order:  # it grows ahead of the place that is read
+        c = falls[at]
+        if c >= 0:
+            order[head[c]] = at - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for at in reversed(order):
+        c = rises[at]
+        if c >= 0:
+            tail[c] -= 1
+            order[tail[c]] = at - 1
+    return np.array(order)
+
+
 def _name(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Names of sorted substrings that start at ``lms``: equal ones share a name."""
     n = len(text)
@@ -99,48 +127,31 @@ def _name(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, length: np.nda
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def _by_doubling(text: np.ndarray) -> np.ndarray:
-    n = len(text)
-    rank, k = text.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        k *= 2
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of all suffixes. ``text`` holds integers of 0 and up and ends in its only 0."""
     n = len(text)
     if n <= 2:
         return np.arange(n)[::-1].copy()
     sizes = np.bincount(text)
-    if len(sizes) > 512 and n < LEAST_BUCKET * np.count_nonzero(sizes):
-        return _by_doubling(text)
+    rare = n < LEAST_BUCKET * np.count_nonzero(sizes)
+    induce = _induce_rare if rare else _induce
     smaller = suffix_types(text)
     is_lms = smaller.copy()
     is_lms[0] = False
     is_lms[1:] &= ~smaller[:-1]
     lms = np.flatnonzero(is_lms)
     if len(lms) < 2:
-        return _induce(text, smaller, lms, sizes)
+        return induce(text, smaller, lms, sizes)
     length = np.empty(n, np.int64)
     length[lms] = np.append(np.diff(lms) + 1, 1)  # up to and with the next such place
-    rough = _induce(text, smaller, lms, sizes)
+    rough = induce(text, smaller, lms, sizes)
     in_order = rough[is_lms[rough]]
     names = _name(text, smaller, in_order, length[in_order])
     if names[-1] + 1 < len(lms):
         reduced = np.empty(n, np.int64)
         reduced[in_order] = names
         in_order = lms[suffix_array(reduced[lms])]
-    return _induce(text, smaller, in_order, sizes)
+    return induce(text, smaller, in_order, sizes)
 
 
 def permuted_lcp(text: np.ndarray, order: np.ndarray) -> np.ndarray:

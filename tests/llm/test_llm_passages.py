@@ -162,16 +162,31 @@ def test_a_string_shared_by_all_texts_of_a_wide_group_is_not_gathered(spark, mon
     assert len({x[1] for x in got.values()}) > 1
 
 
-def test_a_level_of_many_rare_symbols_is_sorted_by_doubling(monkeypatch):
+@pytest.mark.parametrize("seed", range(20))
+def test_both_ways_of_inducing_give_the_same_order(seed):
+    from cribble.llm.suffixes import _induce, _induce_rare, suffix_types
+
+    rng = np.random.default_rng(seed)
+    text = np.append(rng.integers(1, rng.integers(2, 40), rng.integers(3, 300)), 0)
+    smaller = suffix_types(text)
+    lms = np.flatnonzero(smaller & np.append(False, ~smaller[:-1]))
+    items = text.tolist()
+    lms = np.array(sorted(lms.tolist(), key=lambda i: items[i:]), np.int64)
+    want = sorted(range(len(items)), key=lambda i: items[i:])
+    for induce in (_induce, _induce_rare):
+        assert induce(text, smaller, lms, np.bincount(text)).tolist() == want
+
+
+def test_every_level_of_a_long_text_is_induced(monkeypatch):
     from cribble.llm import suffixes
 
-    sorted_by_doubling = []
-    usual = suffixes._by_doubling
-    monkeypatch.setattr(suffixes, "_by_doubling", lambda text: sorted_by_doubling.append(len(text)) or usual(text))
+    levels = []
+    usual = suffixes._induce_rare
+    monkeypatch.setattr(suffixes, "_induce_rare", lambda text, *rest: levels.append(len(text)) or usual(text, *rest))
     rng = np.random.default_rng(4)
     base = rng.integers(1, 200, 6_000)
     text = np.concatenate([base, base[1_000:4_000], rng.integers(1, 200, 3_000), base[:2_500], [0]])
     items = text.astype(">u2").tobytes()
     want = sorted(range(len(text)), key=lambda i: items[2 * i:])
-    assert suffix_array(text).tolist() == want and sorted_by_doubling
-    assert usual(text).tolist() == want
+    assert suffix_array(text).tolist() == want
+    assert len(set(levels)) > 1  # more than one level below, or beside, the first
