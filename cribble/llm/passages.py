@@ -32,6 +32,8 @@ PIECE = 1 << 20
 SHARD = 1 << 21
 #: Groups with more different segments are collapsed string by string, dealt by the string.
 WIDE = 2_000
+#: Segments, equal ones included, that one task streams past the passages of a shard.
+PART = 50_000
 
 
 @dataclass(frozen=True)
@@ -107,7 +109,8 @@ def segments(values: np.ndarray, bounds: np.ndarray, unit: Unit) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-SEGMENT = "deal bigint, v bigint, s bigint, id bigint, part bigint, start int, run int"
+SEGMENT = "deal bigint, v bigint, s bigint, anchor bigint, id bigint, part bigint, start int, run int, twin boolean"
+SIFTED = "v bigint, anchor bigint, id bigint, part bigint, start int, run int, twin boolean"
 
 
 def _collapsed(rows: list[tuple[np.ndarray, ...]], unit: Unit) -> pa.RecordBatch:
@@ -122,14 +125,19 @@ def _collapsed(rows: list[tuple[np.ndarray, ...]], unit: Unit) -> pa.RecordBatch
     if not unit.across:
         later |= (part != part[first]) | (start != start[first])
     deal = np.where(later, ids * 31 + start, v.view(np.int64))
+    twin = np.zeros(len(v), bool)
+    heads = np.flatnonzero(new)
+    if len(heads):
+        twin[heads] = np.logical_or.reduceat(later, heads)
     return pa.RecordBatch.from_arrays(
         [pa.array(deal), pa.array(v.view(np.int64), mask=later), pa.array(s.view(np.int64), mask=later),
-         pa.array(ids), pa.array(part), pa.array(start.astype(np.int32)), pa.array(run.astype(np.int32))],
-        ["deal", "v", "s", "id", "part", "start", "run"])
+         pa.array(v.view(np.int64)), pa.array(ids), pa.array(part), pa.array(start.astype(np.int32)),
+         pa.array(run.astype(np.int32)), pa.array(twin)],
+        ["deal", "v", "s", "anchor", "id", "part", "start", "run", "twin"])
 
 
 def _segment_rows(unit: Unit):
-    """Segments to deal out by anchor (``v`` set), and those known to repeat (``v`` null)."""
+    """Segments to deal out by anchor (``v`` set), and those known to repeat (``v`` null, ``anchor`` set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -155,16 +163,18 @@ def _segment_rows(unit: Unit):
 
 def _sift(unit: Unit):
     """Streams segments sorted by ``v, s, id, part, start``: gives those that repeat an equal
-    one (``v`` null), and all different ones of an anchor that has several."""
+    one (``v`` null), and all different ones of an anchor that has several. Across texts, the
+    first of equal ones is given once more (``twin``), as what its copies are located by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row that the next batch goes on from
         head = None  # the first row of the current (v, s)
         waiting = None  # the only segment so far of the current v
+        marked = False  # the current head is known to have copies
         for batch in batches:
             done, batch = batch.filter(batch.column("v").is_null()), batch.filter(batch.column("v").is_valid())
             if done.num_rows:
-                yield done.select(["v", "id", "part", "start", "run"])
+                yield done.select(["v", "anchor", "id", "part", "start", "run", "twin"])
             if not batch.num_rows:
                 continue
             v, s, ids, part, start, n = (batch.column(x).to_numpy() for x in ("v", "s", "id", "part", "start", "run"))
@@ -201,12 +211,24 @@ def _sift(unit: Unit):
             else:
                 out = rows
             gone = np.stack([x[later & ~new].astype(np.int64) for x in (v, ids, part, start, n)])
-            both = np.concatenate([out, gone], 1)
-            null = np.arange(both.shape[1]) >= out.shape[1]
+            of_group = np.cumsum(new)  # 0: the group that the batch before ended in
+            copied = np.bincount(of_group, later | batch.column("twin").to_numpy(zero_copy_only=False)) > 0
+            marks = out[:, :0]
+            if unit.across:
+                tell = copied.copy()
+                tell[0] &= not marked
+                begins = np.flatnonzero(np.diff(of_group, prepend=-1))
+                begins = begins[tell[of_group[begins]]]
+                marks = np.stack([v[begins], *[x[begins] for x in of], n[begins]]).astype(np.int64)
+            marked = bool(copied[-1]) or (len(copied) == 1 and marked)
+            both = np.concatenate([out, marks, gone], 1)
+            place = np.arange(both.shape[1])
+            null = place >= out.shape[1] + marks.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(both[0], mask=null), pa.array(both[1]), pa.array(both[2]),
-                 pa.array(both[3].astype(np.int32)), pa.array(both[4].astype(np.int32))],
-                ["v", "id", "part", "start", "run"])
+                [pa.array(both[0], mask=null), pa.array(both[0]), pa.array(both[1]), pa.array(both[2]),
+                 pa.array(both[3].astype(np.int32)), pa.array(both[4].astype(np.int32)),
+                 pa.array((place >= out.shape[1]) & ~null)],
+                ["v", "anchor", "id", "part", "start", "run", "twin"])
             last = (v[-1], s[-1])
             if first[-1] >= 0:
                 head = tuple(int(x[first[-1]]) for x in (ids, part, start))
@@ -225,7 +247,9 @@ def _string_rows(unit: Unit):
             ids, part = (batch.column(x).to_numpy() for x in ("id", "part"))
             wanted = batch.column("wanted")
             at = wanted.offsets.to_numpy()
-            start, n, wide = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            start, n, wide, chosen, twin = (
+                wanted.values.field(k).to_numpy(zero_copy_only=False) for k in range(3, len(WANTED)))
+            wide = wide & chosen & ~twin
             for a, b in portions(bounds):
                 owner = np.repeat(np.arange(a, b), np.diff(at[a: b + 1]))
                 which = np.flatnonzero(wide[at[a]: at[b]])
@@ -261,47 +285,56 @@ def _string_rows(unit: Unit):
     return run
 
 
-CUT = "shard bigint, v bigint, id bigint, part bigint, start int, seg binary"
+WANTED = ("anchor", "shard", "salt", "start", "run", "wide", "compared", "twin")
+CUT = "shard bigint, salt int, id bigint, part bigint, start int, run int, twin boolean, seg binary"
 
 
-def _cut_out(unit: Unit, shards: int):
-    """The text of wanted segments; strings of wide groups are looked at elsewhere."""
+def _cut_out(unit: Unit, compared: bool):
+    """The text of segments, of those to compare alone or of all, without those of wide groups.
+
+    A segment asked for twice, once as the first of equal ones, is given once, as that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             wanted = batch.column("wanted")
             at = wanted.offsets.to_numpy()
-            v, start, n, wide = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            _, shard, salt, start, n, wide, chosen, twin = (
+                wanted.values.field(k).to_numpy(zero_copy_only=False) for k in range(len(WANTED)))
+            use = ~wide & (chosen if compared else ~twin)
             rows: list[tuple] = []
             for k, text in enumerate(texts):
-                if wide[at[k]: at[k + 1]].all():
+                which = np.flatnonzero(use[at[k]: at[k + 1]]) + at[k]
+                if not len(which):
                     continue
+                which = which[np.lexsort((~twin[which], start[which]))]
+                begins = start[which]
+                which = which[np.concatenate([[True], begins[1:] != begins[:-1]])]
                 begin = None
                 if unit.words:
                     data = np.frombuffer(text, np.uint8)
                     found = Words(data, np.array([0, len(data)]), NOT_SPACE, AS_IS)
                     begin, end = found.starts, found.ends
-                for i in range(at[k], at[k + 1]):
-                    if wide[i]:
-                        continue
+                for i in which.tolist():
                     a = int(start[i])
                     to = a + int(n[i]) - 1 + unit.span
                     seg = text[a:to] if begin is None else text[int(begin[a]): int(end[to - 1])]
-                    rows.append((int(np.uint64(v[i].view(np.uint64))) % shards, int(v[i]), k, a, seg))
+                    rows.append((k, i, seg))
                 if len(rows) > 20_000:
-                    yield packed(batch, rows)
+                    yield packed(batch, rows, shard, salt, start, n, twin)
                     rows = []
             if rows:
-                yield packed(batch, rows)
+                yield packed(batch, rows, shard, salt, start, n, twin)
 
-    def packed(batch, rows) -> pa.RecordBatch:
-        shard, v, k, start, seg = zip(*rows)
-        which = pa.array(k, pa.int64())
+    def packed(batch, rows, shard, salt, start, n, twin) -> pa.RecordBatch:
+        k, i, seg = zip(*rows)
+        k, i = pa.array(k, pa.int64()), np.array(i)
         return pa.RecordBatch.from_arrays(
-            [pa.array(shard, pa.int64()), pa.array(v, pa.int64()), batch.column("id").take(which),
-             batch.column("part").take(which), pa.array(start, pa.int32()), pa.array(seg, pa.binary())],
-            ["shard", "v", "id", "part", "start", "seg"])
+            [pa.array(shard[i], pa.int64()), pa.array(salt[i], pa.int32()), batch.column("id").take(k),
+             batch.column("part").take(k), pa.array(start[i], pa.int32()), pa.array(n[i], pa.int32()),
+             pa.array(twin[i]), pa.array(seg, pa.binary())],
+            ["shard", "salt", "id", "part", "start", "run", "twin", "seg"])
 
     return run
 
@@ -317,14 +350,25 @@ def runs_of(ids, part, start) -> pa.Table:
                      "run": pa.array(np.diff(np.append(first, len(ids))), pa.int32())})
 
 
+RUNS = "id bigint, part bigint, start int, run int"
+#: What ``confirm`` gives: passages of a shard and, for each of their strings, the least id that holds it.
+PASSAGE = "shard bigint, passage binary, least binary"
+
+
 def repeated_spans(
-    transcripts: DataFrame, unit: Unit, compare: Callable[[pa.Table], pa.Table], name: str,
+    transcripts: DataFrame, unit: Unit, name: str, compare: Callable[[pa.Table], pa.Table],
+    locate: Callable[[pa.Table, pa.Table], pa.Table] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Texts as ``id, part, text``, and per text the starts of its repeated strings.
 
-    ``compare`` gets the segments of a shard (``v, id, part, start, seg``) and
-    gives the starts (``id, part, start, run``) of strings that repeat an
-    earlier one. ``part`` is 0, or a hash of the text where an id is used more
+    Without ``locate``, ``compare`` gets the different segments of a shard (``id,
+    part, start, run, twin, seg``) and gives the starts (``id, part, start,
+    run``) of strings that repeat an earlier one; equal segments are told by
+    their hash. With ``locate`` (only across texts), ``compare`` gives the
+    passages of a shard instead, and ``locate`` gets them and any part of the
+    segments with the shard's anchors, every equal one among them, and gives the
+    starts. A shard with many segments is dealt to several tasks, each with
+    the same passages. ``part`` is 0, or a hash of the text where an id is used more
     than once: rows with equal id and text count as one text given twice.
     """
     texts = keyed(transcripts)
@@ -337,28 +381,46 @@ def repeated_spans(
     dealt = texts.select("id", "part", "text").mapInArrow(_segment_rows(unit), SEGMENT)
     sifted = settle(
         dealt.repartition(parts, "deal").sortWithinPartitions("v", "s", "id", "part", "start")
-        .mapInArrow(_sift(unit), "v bigint, id bigint, part bigint, start int, run int"), name)
-    several = sifted.where(F.col("v").isNotNull())
-    wide = settle(several.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE)
-                  .select("v", F.lit(True).alias("wide")), name)
-    wanted = several.join(wide, "v", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
-    length = F.when(F.col("wide"), 0).otherwise(F.col("run") + unit.span)
-    total = wanted.agg(F.sum(length.cast("bigint"))).first()[0] or 0
-    shards = max(1, -(-total * (6 if unit.words else 1) // SHARD))
-    per_text = wanted.groupBy("id", "part").agg(F.collect_list(F.struct("v", "start", "run", "wide")).alias("wanted"))
+        .mapInArrow(_sift(unit), SIFTED), name)
+    different = F.col("v").isNotNull() & ~F.col("twin")
+    held = F.count_if(~F.col("twin"))
+    busy = settle(
+        sifted.groupBy("anchor").agg(F.count_if(different).alias("different"), held.alias("held"))
+        .where((F.col("different") > WIDE) | (F.col("held") > PART))
+        .select("anchor", (F.col("different") > WIDE).alias("wide"), F.ceil(F.col("held") / PART).cast("int").alias("salts")), name)
+    rows = sifted if locate else sifted.where(F.col("v").isNotNull())
+    rows = rows.join(busy, "anchor", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    length = F.when(F.col("wide") | F.col("v").isNull(), 0).otherwise(F.col("run") + unit.span)
+    total, count = rows.agg(F.sum(length.cast("bigint")), F.count(F.lit(1))).first()
+    shards = max(1, -(-(total or 0) * (6 if unit.words else 1) // SHARD))
+    usual = max(1, -(-count // (shards * PART)))
+    shard = F.pmod(F.col("anchor"), F.lit(shards)).cast("bigint")
+    salts = F.greatest(F.lit(usual), F.coalesce("salts", F.lit(1)))
+    wanted = rows.select(
+        "id", "part", F.struct(
+            "anchor", shard.alias("shard"), F.pmod(F.xxhash64("id", "part", "start"), salts).cast("int").alias("salt"),
+            "start", "run", "wide", F.col("v").isNotNull().alias("compared"), "twin").alias("w"))
+    per_text = wanted.groupBy("id", "part").agg(F.collect_list("w").alias("wanted"))
     # All joins below deal the texts out alike, so that exchange runs once.
     asked = texts.join(per_text, ["id", "part"]).select("id", "part", "text", "wanted")
     if not twice.isEmpty():
         asked = asked.dropDuplicates(["id", "part"])  # a repeated row would repeat itself
-    compared = (
-        asked.mapInArrow(_cut_out(unit, shards), CUT)
-        .groupBy("shard").applyInArrow(compare, "id bigint, part bigint, start int, run int")
-    )
-    gone = sifted.where(F.col("v").isNull()).select("id", "part", "start", "run").unionByName(compared)
-    if not wide.isEmpty():
+    segs = asked.mapInArrow(_cut_out(unit, True), CUT).groupBy("shard")
+    if locate is None:
+        compared = segs.applyInArrow(compare, RUNS)
+        by_hash = sifted.where(F.col("v").isNull())
+    else:
+        most = busy.groupBy(shard.alias("shard")).agg(F.max("salts").alias("salts"))
+        passages = segs.applyInArrow(compare, PASSAGE).join(most, "shard", "left").select(
+            "shard", "passage", "least", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        stream = asked.mapInArrow(_cut_out(unit, False), CUT)
+        compared = passages.groupBy("shard", "salt").cogroup(stream.groupBy("shard", "salt")).applyInArrow(locate, RUNS)
+        by_hash = rows.where(F.col("v").isNull() & F.col("wide"))  # strings of wide groups reach no passage
+    gone = by_hash.select("id", "part", "start", "run").unionByName(compared)
+    if not busy.where("wide").isEmpty():
         strings = asked.where(F.exists("wanted", lambda x: x["wide"])).mapInArrow(_string_rows(unit), SEGMENT)
         judged = strings.repartition(parts, "deal").sortWithinPartitions("v", "s", "id", "part", "start") \
-            .mapInArrow(_sift(unit), "v bigint, id bigint, part bigint, start int, run int")
+            .mapInArrow(_sift(unit), SIFTED)
         gone = gone.unionByName(judged.where(F.col("v").isNull()).select("id", "part", "start", "run"))
     spans = gone.groupBy("id", "part").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
     return texts, texts.join(spans, ["id", "part"], "left").select("id", "part", "text", "spans")

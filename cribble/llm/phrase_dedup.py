@@ -3,114 +3,161 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribble.llm.passages import Unit, covered, repeated_spans, runs_of
 from cribble.llm.shared import NULL_ID
-from cribble.llm.words import AS_IS, NOT_SPACE, Rolling, Words
+from cribble.llm.words import AS_IS, NOT_SPACE, Rolling, Words, buffers
 
 SPAN = 50
 GRAM = 25
+#: Segments that are numbered together, and matches that are compared together.
+STREAM = 10_000
+MATCHES = 20_000
 
 
-def recurring(rows: list[np.ndarray], ids: np.ndarray, span: int) -> list[np.ndarray]:
-    """For each sequence, which of its windows occur in texts with different ids."""
-    rolls = Rolling(21), Rolling(22)
-    hashes = [np.stack([r.grams(row.astype(np.uint64) + np.uint64(1), span) for r in rolls]) for row in rows]
-    owner = np.repeat(np.arange(len(rows)), [h.shape[1] for h in hashes])
-    both = np.concatenate(hashes, 1)
-    order = np.lexsort((ids[owner], both[1], both[0]))
-    h, i = both[:, order], ids[owner][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (h[:, 1:] != h[:, :-1]).any(0)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(order)) - 1
-    several = np.repeat(i[first] != i[last], np.diff(np.append(first, len(order))))
-    flags = np.zeros(len(order), bool)
-    flags[order] = several
-    return np.split(flags, np.cumsum([x.shape[1] for x in hashes])[:-1])
-
-
-def passages_of(rows: list[np.ndarray], flags: list[np.ndarray], span: int) -> list[np.ndarray]:
-    """Distinct maximal stretches of recurring windows."""
-    found: dict[bytes, np.ndarray] = {}
-    for row, flag in zip(rows, flags):
-        edge = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))
-        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-            passage = row[a: b - 1 + span]
-            found.setdefault(passage.tobytes(), passage)
-    return list(found.values())
-
-
-def phrase_automaton(passages: list[np.ndarray], tile: int):
-    """An automaton over the passages' consecutive tiles; a tile knows where it stands.
-
-    Every window of ``2 * tile`` words or more of a passage contains a whole tile, and
-    the automaton has about as many nodes as the passages have words.
-    """
-    import ahocorasick
-
-    places: dict[tuple, list[tuple[int, int]]] = {}
-    for p, passage in enumerate(passages):
-        for at in range(0, len(passage) - tile + 1, tile):
-            places.setdefault(tuple(passage[at: at + tile].tolist()), []).append((p, at))
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, value in places.items():
-        machine.add_word(key, value)
-    machine.make_automaton()
-    return machine
-
+def _comparing(span: int):
+    """The passages of a shard: stretches of windows found under different ids.
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+    Windows are told by 128 bits of hash; each different one lies in one passage.
+    """
+    rolls = Rolling(21), Rolling(22)
 
+    def confirm(table: pa.Table) -> pa.Table:
+        data, bounds = buffers(pc.binary_join_element_wise(table.column("seg"), pa.scalar(b"\n"), pa.scalar(b"")))
+        words = Words(data, bounds, NOT_SPACE, AS_IS)
+        ids, twin = table.column("id").to_numpy(), table.column("twin").to_numpy()
+        both = np.stack([rolls[0].grams(words.hashes, span),
+                         rolls[1].grams(Words(data, bounds, NOT_SPACE, AS_IS, 2).hashes, span)])
+        owner = words.text_of()[: both.shape[1]]
+        at = np.flatnonzero(np.arange(both.shape[1]) + span <= words.first[owner + 1])
+        order = np.lexsort((at, both[1][at], both[0][at]))
+        at = at[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (both[:, at[1:]] != both[:, at[:-1]]).any(0)
+        first = np.flatnonzero(new)
+        passages, least = [], []
+        if len(first):
+            low, high = np.minimum.reduceat(ids[owner[at]], first), np.maximum.reduceat(ids[owner[at]], first)
+            recurs = (low != high) | np.logical_or.reduceat(twin[owner[at]], first)
+            mine, held = at[first[recurs]], low[recurs]
+            order = np.argsort(mine)
+            mine, held = mine[order], held[order]
+            cut = np.flatnonzero((np.diff(mine) != 1) | np.diff(owner[mine])) + 1
+            for a, b in zip(np.concatenate([[0], cut]), np.append(cut, len(mine))):
+                if a < b:
+                    passages.append(data[words.starts[mine[a]]: words.ends[mine[b - 1] + span - 1]].tobytes())
+                    least.append(held[a:b].astype(np.int64).tobytes())
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()] * len(passages), pa.int64()),
+                         "passage": pa.array(passages, pa.binary()), "least": pa.array(least, pa.binary())})
+
+    return confirm
+
+
+class Phrases:
+    """Passages of words compiled into an automaton over their consecutive tiles.
+
+    Each word of the passages is one character to the automaton, other words are
+    character 0, and a tile knows the places where it stands. Every window of
+    ``2 * tile`` words or more of a passage contains a whole tile, and the
+    automaton has about as many nodes as the passages have words.
+    """
 
-def _comparing(span: int):
-    tile = span // 2
-
-    def compare(table: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        rows = [np.array([number.setdefault(w, len(number)) for w in seg.split()], np.int64)
-                for seg in table.column("seg").to_pylist()]
-        ids = table.column("id").to_numpy()
-        flags = recurring(rows, ids, span)
-        passages = passages_of(rows, flags, span)
+    def __init__(self, passages: list[bytes], least: list[bytes], span: int):
+        import ahocorasick
+
+        self.span, self.tile = span, span // 2
+        rows = [p.split() for p in passages]
+        self.number: dict[bytes, int] = {}
+        for row in rows:
+            for word in row:
+                self.number.setdefault(word, len(self.number) + 1)
+        self.flat = np.array([self.number[w] for row in rows for w in row], np.uint32)
+        self.bounds = np.cumsum([0] + [len(row) for row in rows])
+        self.least = np.frombuffer(b"".join(least), np.int64)
+        self.of_least = self.bounds[:-1] - (span - 1) * np.arange(len(rows))
+        places: dict[str, list[tuple[int, int]]] = {}
+        text = self.flat.tobytes().decode("utf-32-le", "surrogatepass")
+        for p in range(len(rows)):
+            for at in range(self.bounds[p], self.bounds[p + 1] - self.tile + 1, self.tile):
+                places.setdefault(text[at: at + self.tile], []).append((p, at))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, phrase in enumerate(places):
+            self.machine.add_word(phrase, k)
+        self.machine.make_automaton()
+        self.first = np.cumsum([0] + [len(x) for x in places.values()])
+        self.place = np.array([x for one in places.values() for x in one], np.int64)
+
+    def least_ids(self, segs: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the joined segments the least id whose text holds the window
+        from there on (the greatest integer: none known), and where segments begin.
+
+        Segments of ``sizes`` words are joined with one place between them.
+        """
+        span = self.span
+        begin = np.cumsum(sizes + 1) - (sizes + 1)
+        found = np.full(int((sizes + 1).sum()), np.iinfo(np.int64).max)
+        units = np.zeros(len(found), np.uint32)
+        inside = np.ones(len(units), bool)
+        inside[begin + sizes] = False
+        words = b"\n".join(segs).split()
+        units[inside] = np.fromiter(map(self.number.get, words, repeat(0)), np.uint32, len(words))
+        hits = list(self.machine.iter(units.tobytes().decode("utf-32-le", "surrogatepass")))
+        if not hits:
+            return found, begin
+        end, key = np.array(hits, np.int64).T
+        n = self.first[key + 1] - self.first[key]
+        which = np.repeat(self.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        passage, there = self.place[which].T
+        at = np.repeat(end - self.tile + 1, n)
+        # Hits of one passage at one offset are one match; it is compared word by word.
+        seg = np.searchsorted(begin, at, "right") - 1
+        match = np.unique(np.stack([passage, at - there, seg]), axis=1)
+        for k in range(0, match.shape[1], MATCHES):
+            passage, offset, seg = match[:, k: k + MATCHES]
+            low = np.maximum(begin[seg], self.bounds[passage] + offset)
+            high = np.minimum(begin[seg] + sizes[seg], self.bounds[passage + 1] + offset)
+            long = np.maximum(high - low - span + 1, 0)  # windows that both could hold
+            room = np.where(long, high - low, 0)
+            step = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
+            here = np.repeat(low, room) + step
+            differs = units[here] != self.flat[here - np.repeat(offset, room)]
+            sums = np.concatenate([[0], np.cumsum(differs)])
+            step = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+            start = np.repeat(np.cumsum(room) - room, long) + step
+            same = sums[start + span] == sums[start]
+            window = (np.repeat(low, long) + step)[same]
+            origin = np.repeat(self.of_least[passage] - self.bounds[passage] - offset, long)[same]
+            np.minimum.at(found, window, self.least[window + origin])
+        return found, begin
+
+
+def _locating(span: int):
+    """Streams a part of the segments through the automaton of their shard's passages."""
+
+    def locate(passages: pa.Table, table: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
-        if not passages:
+        if not passages.num_rows or not table.num_rows:
             return runs_of(none, none, none)
-        machine = phrase_automaton(passages, tile)
-        least = [np.full(len(p) - span + 1, np.iinfo(np.int64).max) for p in passages]
-        found = []  # segment, passage, window in the segment, window in the passage, windows
-        for k, row in enumerate(rows):
-            seen = set()
-            for end, places in machine.iter(tuple(row.tolist())):
-                at = end - tile + 1
-                for p, offset in places:
-                    if (p, at - offset) in seen:
-                        continue
-                    passage = passages[p]
-                    back = _common(row[:at][::-1], passage[:offset][::-1])
-                    ahead = _common(row[at:], passage[offset:])
-                    if back + ahead >= span:
-                        seen.add((p, at - offset))
-                        found.append((k, p, at - back, offset - back, back + ahead - span + 1))
-                        window = least[p][offset - back: offset + ahead - span + 1]
-                        np.minimum(window, ids[k], out=window)
-        repeated = [np.zeros(max(0, len(row) - span + 1), bool) for row in rows]
-        for k, p, at, offset, n in found:
-            repeated[k][at: at + n] |= least[p][offset: offset + n] < ids[k]
-        owner = np.concatenate([np.full(int(r.sum()), k) for k, r in enumerate(repeated)])
-        where = np.concatenate([np.flatnonzero(r) for r in repeated])
-        return runs_of(ids[owner], table.column("part").to_numpy()[owner],
-                       table.column("start").to_numpy()[owner] + where)
-
-    return compare
+        phrases = Phrases(passages.column("passage").to_pylist(), passages.column("least").to_pylist(), span)
+        out = []
+        for k in range(0, table.num_rows, STREAM):
+            rows = table.slice(k, STREAM)
+            ids, part, start, run = (rows.column(c).to_numpy() for c in ("id", "part", "start", "run"))
+            found, begin = phrases.least_ids(rows.column("seg").to_pylist(), run.astype(np.int64) + span - 1)
+            owner = np.searchsorted(begin, np.arange(len(found)), "right") - 1
+            at = np.flatnonzero(found < ids[owner])
+            owner = owner[at]
+            out.append(runs_of(ids[owner], part[owner], start[owner] + at - begin[owner]))
+        return pa.concat_tables(out)
+
+    return locate
 
 
 def _removing(span: int):
@@ -142,8 +189,11 @@ def remove_repeated_phrases(transcripts: DataFrame, span: int = SPAN) -> DataFra
     separated by ASCII white space and compared as they are; earlier means a
     smaller id; windows are judged on the input. Segments that may recur are
     dealt into shards by anchor (see ``passages``). In a shard, passages found
-    under different ids are confirmed and compiled into an automaton, and all
-    segments stream through it to locate every occurrence.
+    under different ids are confirmed by hashes and compiled into an automaton, and
+    all segments with the shard's anchors, exact copies included, stream
+    through it in as many tasks as they need, to locate every occurrence.
+    Only where an anchor has over ``passages.WIDE`` different segments do hashes
+    of windows decide alone.
 
     Returns one row per input row: ``id, text`` (words left, joined by one
     space), ``n_words`` (before), ``n_removed``. A null or empty text has no
@@ -151,7 +201,7 @@ def remove_repeated_phrases(transcripts: DataFrame, span: int = SPAN) -> DataFra
     count as earlier than each other.
     """
     unit = Unit(words=True, span=span, gram=span // 2, across=True)
-    _, rows = repeated_spans(transcripts, unit, _comparing(span), "phrases")
+    _, rows = repeated_spans(transcripts, unit, "phrases", _comparing(span), _locating(span))
     return rows.mapInArrow(
         _removing(span), "id bigint, text string, n_words bigint, n_removed bigint",
     ).withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id")))

@@ -92,7 +92,7 @@ def remove_repeated_bytes(transcripts: DataFrame, span: int = SPAN, gram: int =
     earlier.
     """
     unit = Unit(words=False, span=span, gram=gram, across=False)
-    _, rows = repeated_spans(transcripts, unit, _comparing(span), "suffixes")
+    _, rows = repeated_spans(transcripts, unit, "suffixes", _comparing(span))
     return rows.mapInArrow(
         _removing(span), "id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint",
     ).withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id")))

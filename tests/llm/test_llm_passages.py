@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from cribble.llm import passages
+from cribble.llm import passages, phrase_dedup
 from cribble.llm.phrase_dedup import remove_repeated_phrases
 from cribble.llm.suffix_dedup import remove_repeated_bytes
 from cribble.llm.suffixes import permuted_lcp, suffix_array
@@ -77,11 +77,14 @@ def brute_words(docs, span):
     return out
 
 
-@pytest.fixture(params=["usual", "all limits small"])
+@pytest.fixture(params=["usual", "all limits small", "few segments a task"])
 def limits(request, monkeypatch):
     if request.param != "usual":
-        for name, value in (("WIDE", 3), ("COMBINE", 3000), ("PIECE", 700), ("SHARD", 3000)):
+        small = (("WIDE", 3), ("COMBINE", 3000), ("PIECE", 700), ("SHARD", 3000), ("PART", 7))
+        for name, value in small[request.param == "few segments a task":]:
             monkeypatch.setattr(passages, name, value)
+        for name in ("STREAM", "MATCHES"):
+            monkeypatch.setattr(phrase_dedup, name, 2)
 
 
 @pytest.mark.parametrize("alphabet", ["abcdé ", "a b"])
@@ -100,6 +103,31 @@ def test_repeated_phrases(spark, limits, alphabet):
     assert got == brute_words(docs, 10)
 
 
+def test_every_repeated_passage_is_located_by_an_automaton(spark, monkeypatch):
+    """Exact copies of texts and of passages stay if the automata locate nothing."""
+    rng = random.Random(9)
+    some = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    same, shared = some(200), some(60)
+    docs = [(i, " ".join(same if i % 3 == 0 else some(30) + shared + some(30))) for i in range(90)]
+    df = spark.createDataFrame(docs, "id bigint, text string").repartition(3)
+    want = brute_words(docs, 20)
+    assert {r.id: (r.n_words, r.n_removed, r.text) for r in remove_repeated_phrases(df, span=20).collect()} == want
+    assert sum(x[1] for x in want.values()) > 0.5 * sum(x[0] for x in want.values())
+    streamed = spark.sparkContext.accumulator(0)
+
+    def nothing(span):
+        def locate(found, table):
+            streamed.add(table.num_rows)
+            none = np.zeros(0, np.int64)
+            return passages.runs_of(none, none, none)
+
+        return locate
+
+    monkeypatch.setattr(phrase_dedup, "_locating", nothing)
+    assert {r.n_removed for r in remove_repeated_phrases(df, span=20).collect()} == {0}
+    assert streamed.value > 90
+
+
 def test_bytes_of_messy_rows(messy, empty):
     rows = remove_repeated_bytes(messy).collect()
     assert len(rows) == 11
