@@ -297,44 +297,38 @@ def _cut_out(unit: Unit, compared: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            data, bounds = buffers(batch.column("text"))
             wanted = batch.column("wanted")
-            at = wanted.offsets.to_numpy()
+            at = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
             _, shard, salt, start, n, wide, chosen, twin = (
-                wanted.values.field(k).to_numpy(zero_copy_only=False) for k in range(len(WANTED)))
-            use = ~wide & (chosen if compared else ~twin)
-            rows: list[tuple] = []
-            for k, text in enumerate(texts):
-                which = np.flatnonzero(use[at[k]: at[k + 1]]) + at[k]
-                if not len(which):
-                    continue
-                which = which[np.lexsort((~twin[which], start[which]))]
-                begins = start[which]
-                which = which[np.concatenate([[True], begins[1:] != begins[:-1]])]
-                begin = None
+                x.to_numpy(zero_copy_only=False) for x in wanted.flatten().flatten())
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            which = np.flatnonzero(~wide & (chosen if compared else ~twin))
+            which = which[np.lexsort((~twin[which], start[which], owner[which]))]
+            new = np.ones(len(which), bool)
+            new[1:] = (owner[which[1:]] != owner[which[:-1]]) | (start[which[1:]] != start[which[:-1]])
+            which = which[new]
+            for a, b in portions(bounds):
+                mine = which[np.searchsorted(owner[which], a): np.searchsorted(owner[which], b)]
+                text, first = data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a]
+                low = start[mine].astype(np.int64)
+                high = low + n[mine] - 1 + unit.span
                 if unit.words:
-                    data = np.frombuffer(text, np.uint8)
-                    found = Words(data, np.array([0, len(data)]), NOT_SPACE, AS_IS)
-                    begin, end = found.starts, found.ends
-                for i in which.tolist():
-                    a = int(start[i])
-                    to = a + int(n[i]) - 1 + unit.span
-                    seg = text[a:to] if begin is None else text[int(begin[a]): int(end[to - 1])]
-                    rows.append((k, i, seg))
-                if len(rows) > 20_000:
-                    yield packed(batch, rows, shard, salt, start, n, twin)
-                    rows = []
-            if rows:
-                yield packed(batch, rows, shard, salt, start, n, twin)
-
-    def packed(batch, rows, shard, salt, start, n, twin) -> pa.RecordBatch:
-        k, i, seg = zip(*rows)
-        k, i = pa.array(k, pa.int64()), np.array(i)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(shard[i], pa.int64()), pa.array(salt[i], pa.int32()), batch.column("id").take(k),
-             batch.column("part").take(k), pa.array(start[i], pa.int32()), pa.array(n[i], pa.int32()),
-             pa.array(twin[i]), pa.array(seg, pa.binary())],
-            ["shard", "salt", "id", "part", "start", "run", "twin", "seg"])
+                    found = Words(text, first, NOT_SPACE, AS_IS)
+                    first = found.first[owner[mine] - a]
+                    low, high = found.starts[first + low], found.ends[first + high - 1]
+                else:
+                    low, high = low + first[owner[mine] - a], high + first[owner[mine] - a]
+                raw = text.tobytes()
+                for k in range(0, len(mine), 20_000):
+                    i = mine[k: k + 20_000]
+                    segs = [raw[x:y] for x, y in zip(low[k: k + 20_000].tolist(), high[k: k + 20_000].tolist())]
+                    of = pa.array(owner[i])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(shard[i], pa.int64()), pa.array(salt[i], pa.int32()), batch.column("id").take(of),
+                         batch.column("part").take(of), pa.array(start[i], pa.int32()), pa.array(n[i], pa.int32()),
+                         pa.array(twin[i]), pa.array(segs, pa.binary())],
+                        ["shard", "salt", "id", "part", "start", "run", "twin", "seg"])
 
     return run
 

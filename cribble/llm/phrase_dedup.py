@@ -16,10 +16,9 @@ from cribble.llm.shared import NULL_ID
 from cribble.llm.words import AS_IS, NOT_SPACE, Rolling, Words, buffers
 
 SPAN = 50
-GRAM = 25
 #: Segments that are numbered together, and matches that are compared together.
-STREAM = 10_000
-MATCHES = 20_000
+STREAM = 2_000
+MATCHES = 5_000
 
 
 def _comparing(span: int):
@@ -118,9 +117,13 @@ class Phrases:
         at = np.repeat(end - self.tile + 1, n)
         # Hits of one passage at one offset are one match; it is compared word by word.
         seg = np.searchsorted(begin, at, "right") - 1
-        match = np.unique(np.stack([passage, at - there, seg]), axis=1)
-        for k in range(0, match.shape[1], MATCHES):
-            passage, offset, seg = match[:, k: k + MATCHES]
+        # One number says which: the offset lies within the length of all passages of the segment.
+        width = len(self.flat) + int(sizes.max()) + 1
+        match = np.unique((seg * len(self.of_least) + passage) * width + (at - begin[seg]) - there + len(self.flat))
+        for k in range(0, len(match), MATCHES):
+            rest, offset = np.divmod(match[k: k + MATCHES], width)
+            seg, passage = np.divmod(rest, len(self.of_least))
+            offset += begin[seg] - len(self.flat)
             low = np.maximum(begin[seg], self.bounds[passage] + offset)
             high = np.minimum(begin[seg] + sizes[seg], self.bounds[passage + 1] + offset)
             long = np.maximum(high - low - span + 1, 0)  # windows that both could hold
@@ -200,7 +203,7 @@ def remove_repeated_phrases(transcripts: DataFrame, span: int = SPAN) -> DataFra
     words. A null id comes before all others. Rows with the same id do not
     count as earlier than each other.
     """
-    unit = Unit(words=True, span=span, gram=span // 2, across=True)
+    unit = Unit(words=True, span=span, gram=max(1, span // 4), across=True)
     _, rows = repeated_spans(transcripts, unit, "phrases", _comparing(span), _locating(span))
     return rows.mapInArrow(
         _removing(span), "id bigint, text string, n_words bigint, n_removed bigint",
